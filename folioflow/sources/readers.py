@@ -39,9 +39,7 @@ def list_documents(df: DataFrame, limit: int = 1000, key: str = "doc_id") -> Dat
 def read_text_dir(spark: SparkSession, path: str, exts: Sequence[str] = TEXT_TYPES) -> DataFrame:
     """One row per allowed file below a folder."""
     raw = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .text(path)
+        spark.read.text(path, wholetext=True, recursiveFileLookup=True)
         .select(
             F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_size").alias("size"),
