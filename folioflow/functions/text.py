@@ -1,7 +1,7 @@
 """Column expressions on text. All of them run inside the JVM.
 
-The white-space class lists what Python's ``str.split`` and ``str.strip`` treat
-as space. It is spelled out, since ``\\s`` means ASCII space in Java.
+White space and word characters follow Python's ``str.split`` and ``re``: the Unicode
+flag makes ``\\s`` Unicode space in Java, and four separator controls are added to it.
 """
 
 from __future__ import annotations
@@ -11,16 +11,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Space characters and word characters as the reference's language defines them.
-SPACE_CHARS = (
-    r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-)
+UNICODE = "(?U)"
+SPACE_CHARS = r"\s\x1C-\x1F"
 SPACE = f"[{SPACE_CHARS}]"
 WORD_CHARS = r"\p{L}\p{N}_"
 
 # URL pattern of the text cleaner.
-URL_PATTERN = f"http[^{SPACE_CHARS}]+|www[^{SPACE_CHARS}]+|https[^{SPACE_CHARS}]+"
+URL_PATTERN = f"{UNICODE}http[^{SPACE_CHARS}]+|www[^{SPACE_CHARS}]+|https[^{SPACE_CHARS}]+"
 
 # English stop words.
 STOP_WORDS = (
@@ -45,13 +42,13 @@ def _col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Remove leading and trailing white space of any kind."""
-    head_gone = F.regexp_replace(_col(c), f"^{SPACE}+", "")
-    return F.regexp_replace(head_gone, SPACE + r"+\z", "")
+    head_gone = F.regexp_replace(_col(c), f"{UNICODE}^{SPACE}+", "")
+    return F.regexp_replace(head_gone, UNICODE + SPACE + r"+\z", "")
 
 
 def words(c: Column | str) -> Column:
     """White-space separated words, no empty ones."""
-    return F.filter(F.split(_col(c), f"{SPACE}+"), lambda t: t != "")
+    return F.filter(F.split(_col(c), f"{UNICODE}{SPACE}+"), lambda t: t != "")
 
 
 def token_set(c: Column | str) -> Column:
@@ -88,7 +85,7 @@ def preview(c: Column | str, limit: int = 100) -> Column:
 def clean_text(c: Column | str, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     """Drop URLs, characters that are neither word nor space, and stop words."""
     no_urls = F.regexp_replace(_col(c), URL_PATTERN, "")
-    plain = F.regexp_replace(no_urls, f"[^{WORD_CHARS}{SPACE_CHARS}]", "")
+    plain = F.regexp_replace(no_urls, f"{UNICODE}[^{WORD_CHARS}{SPACE_CHARS}]", "")
     stops = list(stop_words)
     kept = F.filter(words(plain), lambda t: ~F.lower(t).isin(stops))
     return F.array_join(kept, " ")

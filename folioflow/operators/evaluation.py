@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.text import ngrams, overlap_share, strip, token_set, words
 from folioflow.operators.aggregates import mean_scores
-from folioflow.operators.scale import heavy_light_join
+from folioflow.operators.scale import each, heavy_light_join
 
 ROUGE_TOKEN = r"[a-z0-9]+"
 # Limits of the answer check and its issue texts, in this order.
@@ -73,7 +73,7 @@ def _ngram_counts(pairs: DataFrame, tokens, orders: Sequence[int]) -> DataFrame:
         "pair_id", tokens("reference").alias("_r"), tokens("candidate").alias("_c")
     ).repartition("pair_id")
     arrays = [side(t, n, ref) for n in orders for t, ref in (("_r", 1), ("_c", 0))]
-    grams = layout.select("pair_id", F.explode(F.concat(*arrays)).alias("g"))
+    grams = each(layout, ["pair_id"], F.concat(*arrays), "g")
     counts = grams.groupBy("pair_id", "g.n", "g.gram").agg(
         F.sum("g.r").alias("r"), F.sum("g.c").alias("c")
     )
@@ -295,7 +295,7 @@ def _bigrams(df: DataFrame, key: str, text: str) -> DataFrame:
         ngrams(F.col("_toks"), 2),
         lambda g: F.struct(F.substring_index(g, " ", 1).alias("w1"), F.substring_index(g, " ", -1).alias("w2")),
     )
-    return toks.select("_id", F.explode(grams).alias("g")).select("_id", "g.w1", "g.w2")
+    return each(toks, ["_id"], grams, "g").select("_id", "g.w1", "g.w2")
 
 
 def ngram_perplexity(
@@ -309,7 +309,7 @@ def ngram_perplexity(
     counts = _bigrams(train, key, text).groupBy("w1", "w2").agg(F.count("*").alias("n12"))
     contexts = counts.groupBy("w1").agg(F.sum("n12").alias("n1"))
     vocabulary = (
-        train.select(F.explode(words(F.lower(text))).alias("w")).agg(F.count_distinct("w").alias("v")).scalar()
+        each(train, [], words(F.lower(text)), "w").agg(F.count_distinct("w").alias("v")).scalar()
     )
     seen = _bigrams(df, key, text).groupBy("_id", "w1", "w2").agg(F.count("*").alias("n"))
     # Every (w1, w2) of the training rows; unseen ones count 0 and fall to the base part.

@@ -168,16 +168,17 @@ def _scored(
 
         return rows.mapInArrow(one_block, schema)
 
+    zero = F.lit(0).cast("long")
     blocks = math.ceil(questions.count() / MAX_QUESTIONS)
     cells = math.ceil(rows.count() / ROWS_PER_CELL)
     q_grid = questions.toDF("query_id", "payload").select(
         F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_block"),
-        F.explode(F.sequence(F.lit(0), F.lit(max(cells - 1, 0)))).cast("long").alias("_cell"),
+        F.explode(F.sequence(zero, F.lit(max(cells - 1, 0)).cast("long"))).alias("_cell"),
         "query_id",
         "payload",
     )
     r_grid = rows.toDF(id_col, "payload").select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("_block"),
+        F.explode(F.sequence(zero, F.lit(blocks - 1).cast("long"))).alias("_block"),
         F.pmod(F.xxhash64(id_col), F.lit(max(cells, 1))).alias("_cell"),
         id_col,
         "payload",

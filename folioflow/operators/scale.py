@@ -24,6 +24,29 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def each(df: DataFrame, keep: Sequence, array: Column | str, item: str, position: str | None = None) -> DataFrame:
+    """One row per array item.
+
+    A plain explode lets the optimizer filter on the array's size first, which computes
+    a derived array a second time; the outer form followed by a filter does not.
+    """
+    at = position or "_at"
+    rows = df.select(*keep, F.posexplode_outer(array).alias(at, item)).filter(F.col(at).isNotNull())
+    return rows if position else rows.drop(at)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input that has fewer partitions than there are cores.
+
+    Only small inputs are like that (one file of one row group); larger ones stay as
+    they are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Mark a frame for broadcast once its row count is known to be within the limit."""
     return F.broadcast(df) if at_most(df, rows) else df

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import strip, token_windows, words
+from folioflow.operators.scale import each
 
 # Separators of the recursive split, tried in this order.
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -90,7 +91,7 @@ def split_sentences(df: DataFrame, text: str = "text") -> DataFrame:
 def number_chunks(df: DataFrame, chunks: str, key: str = "doc_id") -> DataFrame:
     """Array of chunk texts to rows with ordinal and a chunk id unique in the table."""
     rest = [c for c in df.columns if c != chunks]
-    return df.select(*rest, F.posexplode(chunks).alias("chunk_index", "chunk_text")).withColumn(
+    return each(df, rest, chunks, "chunk_text", "chunk_index").withColumn(
         "chunk_id", F.concat_ws("-", F.col(key).cast("string"), F.col("chunk_index").cast("string"))
     )
 
@@ -141,7 +142,7 @@ def line_sections(df: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     """Sections of a document: its distinct non-empty lines, white space made single."""
     lines = F.transform(F.split(F.col(text), "\n"), lambda s: F.array_join(words(s), " "))
     full = F.array_distinct(F.filter(lines, lambda s: s != ""))
-    return df.select(key, F.explode(full).alias("section"))
+    return each(df, [key], full, "section")
 
 
 def found_sections(chunks: DataFrame, sections: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -151,12 +152,7 @@ def found_sections(chunks: DataFrame, sections: DataFrame, key: str = "doc_id")
     """
     lists = sections.groupBy(key).agg(F.collect_set("section").alias("_sections"))
     hits = F.filter(F.col("_sections"), lambda s: F.contains(F.col("chunk_text"), s))
-    return (
-        chunks.select(key, "chunk_text")
-        .join(lists, key)
-        .select(key, F.explode(hits).alias("section"))
-        .distinct()
-    )
+    return each(chunks.select(key, "chunk_text").join(lists, key), [key], hits, "section").distinct()
 
 
 def section_preservation(chunks: DataFrame, sections: DataFrame, key: str = "doc_id") -> DataFrame:

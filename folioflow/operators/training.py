@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from folioflow.functions.text import (
     SPACE,
     SPACE_CHARS,
+    UNICODE,
     WORD_CHARS,
     clean_text,
     count_tokens,
@@ -19,7 +20,7 @@ from folioflow.functions.text import (
     words,
 )
 from folioflow.operators.filters import validate_conversation
-from folioflow.operators.scale import broadcast_if_small
+from folioflow.operators.scale import broadcast_if_small, each
 from folioflow.operators.windows import pair_turns
 
 # Expansions per question word, in this order.
@@ -123,7 +124,7 @@ def extract_entities(df: DataFrame, text: str = "text") -> DataFrame:
 
     rest = [c for c in df.columns if c != text]
     tagged = df.withColumn("_e", tag(F.col(text)))
-    return tagged.select(*rest, F.explode("_e").alias("_e")).select(*rest, "_e.*")
+    return each(tagged, rest, "_e", "_row").select(*rest, "_row.*")
 
 
 def entity_confidence(entity: Column | str, label: Column | str) -> Column:
@@ -141,7 +142,7 @@ def sentiment(
     df: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "text", bound: float = 0.6
 ) -> DataFrame:
     """Mean polarity of the words a lexicon knows (0 if none) and its label."""
-    toks = df.select(key, F.explode(words(F.lower(text))).alias("word"))
+    toks = each(df, [key], words(F.lower(text)), "word")
     mean = toks.join(broadcast_if_small(lexicon), "word").groupBy(key).agg(
         F.avg("polarity").alias("_mean")
     )
@@ -180,7 +181,7 @@ def expand_query(
     parts.append(F.when(q.endswith("?"), _forms(REFORMULATIONS, base)).otherwise(none))
     trimmed = F.transform(F.array_distinct(F.concat(*parts)), lambda e: strip(e))
     full = F.array_distinct(F.filter(trimmed, lambda e: e != ""))
-    return df.select(key, F.posexplode(full).alias("position", "expanded"))
+    return each(df, [key], full, "expanded", "position")
 
 
 def rule_questions(text: Column | str, n: int = 3) -> Column:
@@ -192,12 +193,12 @@ def rule_questions(text: Column | str, n: int = 3) -> Column:
     by_entity = F.transform(entities, lambda e: F.replace(F.lit(ENTITY_QUESTION), F.lit("%s"), e))
     general = F.array(*[F.lit(g) for g in GENERIC_QUESTIONS])
     phrase = (
-        f"(?:^|[^{WORD_CHARS}])(?:regarding|about|on|for){SPACE}+([a-zA-Z{SPACE_CHARS}]+)"
+        f"{UNICODE}(?:^|[^{WORD_CHARS}])(?:regarding|about|on|for){SPACE}+([a-zA-Z{SPACE_CHARS}]+)"
     )
     has_topic = lowered.contains("topic") & lowered.rlike(phrase)
     topic = strip(F.regexp_extract(lowered, phrase, 1))
     by_topic = F.when(has_topic, _forms([TOPIC_QUESTION], topic)).otherwise(none)
-    subject = rf"(?:the|a|an){SPACE}+([a-zA-Z]{{5,}}(?:{SPACE}+[a-zA-Z]+){{0,2}})"
+    subject = rf"{UNICODE}(?:the|a|an){SPACE}+([a-zA-Z]{{5,}}(?:{SPACE}+[a-zA-Z]+){{0,2}})"
     found = F.regexp_extract_all(lowered, F.lit(subject), F.lit(1))
     subjects = F.slice(
         F.array_distinct(F.transform(F.filter(found, lambda s: F.length(s) > 5), lambda s: strip(s))),
@@ -234,7 +235,7 @@ def to_sharegpt(
     def turn(who: str, value: Column) -> Column:
         return F.struct(F.lit(who).alias("from"), value.alias("value"))
 
-    rows = chunks.filter(strip(text) != "").withColumn("_q", F.explode(questions))
+    rows = each(chunks.filter(strip(text) != ""), chunks.columns, questions, "_q")
     turns = [turn("human", F.col("_q")), turn("gpt", F.col(text))]
     if system_prompt:
         turns.insert(0, turn("system", F.lit(system_prompt)))

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import preprocess_query
+from folioflow.operators.scale import spread
 from folioflow.operators.splitting import split_tokens
 from folioflow.session import table
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents")
+    return spread(table(spark, folder, "documents"))
 
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from folioflow.functions.text import SPACE, SPACE_CHARS
+# DuckDB's patterns know no Unicode flag, so the space characters are listed.
+SPACE_CHARS = (
+    r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+)
+SPACE = f"[{SPACE_CHARS}]"
+WORD_CHARS = r"\p{L}\p{N}_"
+URL_PATTERN = f"http[^{SPACE_CHARS}]+|www[^{SPACE_CHARS}]+|https[^{SPACE_CHARS}]+"
 
 
 def quoted(text: str) -> str:
@@ -94,5 +101,3 @@ CENTROIDS = """
              round(list_cosine_similarity(c.v, e.embedding::DOUBLE[]), 10) AS score
       FROM centroids c, embeddings e)
 """
-
-__all__ = [n for n in globals() if not n.startswith("_")] + ["SPACE_CHARS"]

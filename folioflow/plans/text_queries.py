@@ -56,8 +56,8 @@ def truncate_context(spark, folder):
 
 
 _PLAIN = (
-    f"regexp_replace(regexp_replace(text, '{text.URL_PATTERN}', '', 'g'), "
-    f"'[^{text.WORD_CHARS}{text.SPACE_CHARS}]', '', 'g')"
+    f"regexp_replace(regexp_replace(text, '{q.URL_PATTERN}', '', 'g'), "
+    f"'[^{q.WORD_CHARS}{q.SPACE_CHARS}]', '', 'g')"
 )
 _STOPS = q.string_list(text.STOP_WORDS)
 

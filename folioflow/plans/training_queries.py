@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioflow.functions.text import WORD_CHARS
 from folioflow.operators import training as tr
 from folioflow.operators.filters import trimmed_questions
+from folioflow.operators.scale import each
 from folioflow.plans import sqltext as q
 from folioflow.plans.inputs import chunks, documents, questions, r6
 from folioflow.plans.registry import query
@@ -69,7 +70,7 @@ def extract_entities(spark, folder):
 )
 def entity_confidence(spark, folder):
     found = F.array_distinct(tr.capitalised_words("text"))
-    rows = documents(spark, folder).select("doc_id", F.explode(found).alias("entity"))
+    rows = each(documents(spark, folder), ["doc_id"], found, "entity")
     scored = rows.withColumn("confidence", r6(tr.entity_confidence("entity", F.lit("ORG"))))
     return scored.filter(F.col("confidence") >= 0.8)
 
@@ -152,7 +153,7 @@ def parse_questions(spark, folder):
     rows = table(spark, folder, "conversations").select(
         "conv_id", "turn", trimmed_questions(parsed).alias("questions")
     )
-    return rows.select("conv_id", "turn", F.posexplode("questions").alias("position", "question"))
+    return each(rows, ["conv_id", "turn"], "questions", "question", "position")
 
 
 @query(
