@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from folioflow.functions.text import ngrams, overlap_share, strip, token_set, words
 from folioflow.operators.aggregates import mean_scores
 from folioflow.operators.scale import each, heavy_light_join
+from folioflow.session import stored
 
 ROUGE_TOKEN = r"[a-z0-9]+"
 # Limits of the answer check and its issue texts, in this order.
@@ -180,7 +181,7 @@ def rouge_lsum_hits(reference: Sequence[Sequence[str]], candidate: Sequence[Sequ
     for sentence in reference:
         on: set[int] = set()
         for other in candidate:
-            if sentence and other:
+            if len(sentence) and len(other):
                 on |= _lcs_positions(*_codes(sentence, other))
         for i in sorted(on):
             t = sentence[i]
@@ -291,10 +292,11 @@ def wer(pairs: DataFrame) -> DataFrame:
 
 def _bigrams(df: DataFrame, key: str, text: str) -> DataFrame:
     toks = df.select(F.col(key).alias("_id"), words(F.lower(text)).alias("_toks"))
-    grams = F.transform(
-        ngrams(F.col("_toks"), 2),
-        lambda g: F.struct(F.substring_index(g, " ", 1).alias("w1"), F.substring_index(g, " ", -1).alias("w2")),
-    )
+    n = F.greatest(F.size("_toks") - 1, F.lit(0))
+    grams = F.zip_with(
+        F.slice("_toks", F.lit(1), n), F.slice("_toks", F.lit(2), n),
+        lambda a, b: F.struct(a.alias("w1"), b.alias("w2")),
+    )
     return each(toks, ["_id"], grams, "g").select("_id", "g.w1", "g.w2")
 
 
@@ -303,40 +305,34 @@ def ngram_perplexity(
 ) -> DataFrame:
     """Perplexity per row under add-k bigrams of the training rows.
 
-    Log probabilities are split: the bigram part joins on (w1, w2) and the context part
-    on w1; words with a large share of the corpus take the heavy path of the join.
+    The counts of the training rows are written once and reused. Every training bigram
+    gets its log probability first, so a scored bigram needs one join. Bigrams the training rows lack shrink to one row per (id, first word) before
+    they look up their context. Frequent keys take the heavy path of the join.
     """
-    counts = _bigrams(train, key, text).groupBy("w1", "w2").agg(F.count("*").alias("n12"))
-    contexts = counts.groupBy("w1").agg(F.sum("n12").alias("n1"))
+    counts = stored(
+        _bigrams(train, key, text).groupBy("w1", "w2").agg(F.count("*").alias("n12")), "bigrams"
+    )
     vocabulary = (
         each(train, [], words(F.lower(text)), "w").agg(F.count_distinct("w").alias("v")).scalar()
     )
-    seen = _bigrams(df, key, text).groupBy("_id", "w1", "w2").agg(F.count("*").alias("n"))
-    # Every (w1, w2) of the training rows; unseen ones count 0 and fall to the base part.
-    hits = heavy_light_join(seen, counts.withColumn("c12", F.col("n12")), ["w1", "w2"], "n12", "c12")
-    gain = hits.groupBy("_id").agg(F.sum(F.col("n") * F.ln(F.col("c12") + k)).alias("gain"),
-                                   F.sum("n").alias("known"))
-    by_context = seen.groupBy("_id", "w1").agg(F.sum("n").alias("n"))
-    met = heavy_light_join(by_context, contexts.withColumn("c1", F.col("n1")), ["w1"], "n1", "c1")
-    kv = F.lit(k) * vocabulary
-    cost = met.groupBy("_id").agg(
-        F.sum(F.col("n") * (F.ln(F.col("c1") + kv) - F.ln(kv))).alias("cost")
+    unseen = (F.ln(F.lit(k)) - F.ln(F.col("n1") + k * vocabulary)).alias("lp0")
+    contexts = stored(
+        counts.groupBy("w1").agg(F.sum("n12").alias("n1")).select("w1", "n1", unseen), "contexts"
     )
-    sizes = by_context.groupBy("_id").agg(F.sum("n").alias("bigrams"))
-    zero = F.lit(0.0)
-    total_log = (
-        F.coalesce("gain", zero)
-        + (F.col("bigrams") - F.coalesce("known", F.lit(0))) * F.ln(F.lit(k))
-        - F.coalesce("cost", zero)
-        - F.col("bigrams") * F.ln(kv)
+    known = counts.join(contexts, "w1").select(
+        "w1", "w2", "n12", (F.col("lp0") + F.ln(F.col("n12") + k) - F.ln(F.lit(k))).alias("lp")
     )
-    return (
-        sizes.join(gain, "_id", "left")
-        .join(cost, "_id", "left")
-        .select(
-            F.col("_id").alias(key), "bigrams",
-            F.exp(-total_log / F.col("bigrams")).alias("perplexity"),
-        )
+    scored = heavy_light_join(_bigrams(df, key, text), known, ["w1", "w2"], "n12", "lp", "left")
+    missing = F.when(F.col("lp").isNull(), F.col("w1"))
+    summed = scored.groupBy("_id", missing.alias("w1")).agg(
+        F.count("*").alias("n"), F.sum("lp").alias("lp")
+    )
+    met = heavy_light_join(summed, contexts, ["w1"], "n1", "lp0", "left")
+    # A first word that the training rows lack leaves a flat distribution.
+    flat = F.ln(F.lit(k)) - F.ln(F.lit(k) * vocabulary)
+    total = F.coalesce("lp", F.col("n") * F.coalesce("lp0", flat))
+    return met.groupBy(F.col("_id").alias(key)).agg(
+        F.sum("n").alias("bigrams"), F.exp(-F.sum(total) / F.sum("n")).alias("perplexity")
     )
 
 

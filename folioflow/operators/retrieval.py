@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from folioflow.functions.text import overlap_share, token_set
 from folioflow.operators.scale import at_most
 
-MAX_QUESTIONS = 1024
+MAX_QUESTIONS = 16_384
 ROWS_PER_CELL = 50_000
-ROWS_PER_SLICE = 256
+SCORES_PER_SLICE = 262_144
 SCORE_DIGITS = 10
 
 Scorer = Callable[[pa.Array], np.ndarray]
@@ -79,33 +79,41 @@ class _Best:
 
     def __init__(self, n_questions: int, k: int, floor: float):
         self.k, self.floor = k, floor
-        self.bar = np.full(n_questions, -np.inf)
-        self.kept: list[tuple | None] = [None] * n_questions
+        self.scores = np.full((k, n_questions), -np.inf)
+        self.ids: np.ndarray | None = None
 
     def push(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        wanted = (scores >= self.bar) & (scores > self.floor)
-        for q in np.flatnonzero(wanted.any(axis=0)):
-            rows = np.flatnonzero(wanted[:, q])
-            s, i = scores[rows, q], ids[rows]
-            if self.kept[q] is not None:
-                s = np.concatenate([self.kept[q][0], s])
-                i = np.concatenate([self.kept[q][1], i])
-            order = np.lexsort((i, -s))[: self.k]
-            self.kept[q] = (s[order], i[order])
-            if len(order) == self.k:
-                self.bar[q] = s[order[-1]]
+        by_id = np.argsort(ids, kind="stable")
+        ids, scores = ids[by_id], scores[by_id]
+        peak = scores.max(axis=0)
+        open_ = np.flatnonzero((peak > self.floor) & (peak >= self.scores[-1]))
+        if not len(open_):
+            return
+        if self.ids is None:
+            self.ids = np.zeros(self.scores.shape, dtype=ids.dtype)
+        elif self.ids.dtype != ids.dtype:
+            self.ids = self.ids.astype(np.promote_types(self.ids.dtype, ids.dtype))
+        fresh = scores[:, open_]
+        top = np.argsort(-fresh, axis=0, kind="stable")[: self.k]
+        fresh = np.take_along_axis(fresh, top, axis=0)
+        fresh = np.where(fresh > self.floor, fresh, -np.inf)
+        both = np.concatenate([self.scores[:, open_], fresh])
+        both_ids = np.concatenate([self.ids[:, open_], ids[top]])
+        keep = np.lexsort((both_ids, -both), axis=0)[: self.k]
+        self.scores[:, open_] = np.take_along_axis(both, keep, axis=0)
+        self.ids[:, open_] = np.take_along_axis(both_ids, keep, axis=0)
 
     def rows(self) -> tuple[np.ndarray, list, np.ndarray]:
-        full = [(q, *pair) for q, pair in enumerate(self.kept) if pair is not None]
-        if not full:
-            return np.empty(0, dtype=np.int64), [], np.empty(0)
-        q = np.concatenate([np.full(len(s), q) for q, s, _ in full])
-        return q, np.concatenate([i for *_, i in full]).tolist(), np.concatenate([s for _, s, _ in full])
+        at, q = np.nonzero(self.scores > -np.inf)
+        ids = self.ids[at, q].tolist() if self.ids is not None else []
+        return q, ids, self.scores[at, q]
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, pa.Array]]:
-    for at in range(0, batch.num_rows, ROWS_PER_SLICE):
-        part = batch.slice(at, ROWS_PER_SLICE)
+def _slices(batch: pa.RecordBatch, n_questions: int) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """Slices whose score matrix has about a quarter million cells."""
+    step = min(max(SCORES_PER_SLICE // n_questions, 16), 1024)
+    for at in range(0, batch.num_rows, step):
+        part = batch.slice(at, step)
         ids = part.column(0)
         as_numpy = ids.to_numpy(zero_copy_only=False)
         yield (as_numpy.astype(str) if pa.types.is_string(ids.type) else as_numpy), part.column(1)
@@ -140,7 +148,7 @@ def _scored(
     def results(q_ids: list, scorer: Scorer, batches, out_schema: pa.Schema):
         best = _Best(len(q_ids), k, floor) if k else None
         for batch in batches:
-            for ids, payload in _slices(batch):
+            for ids, payload in _slices(batch, len(q_ids)):
                 scores = scorer(payload)
                 if best:
                     best.push(ids, scores)
@@ -170,16 +178,17 @@ def _scored(
 
     zero = F.lit(0).cast("long")
     blocks = math.ceil(questions.count() / MAX_QUESTIONS)
-    cells = math.ceil(rows.count() / ROWS_PER_CELL)
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    cells = max(math.ceil(rows.count() / ROWS_PER_CELL), math.ceil(cores / blocks))
     q_grid = questions.toDF("query_id", "payload").select(
         F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_block"),
-        F.explode(F.sequence(zero, F.lit(max(cells - 1, 0)).cast("long"))).alias("_cell"),
+        F.explode(F.sequence(zero, F.lit(cells - 1).cast("long"))).alias("_cell"),
         "query_id",
         "payload",
     )
     r_grid = rows.toDF(id_col, "payload").select(
         F.explode(F.sequence(zero, F.lit(blocks - 1).cast("long"))).alias("_block"),
-        F.pmod(F.xxhash64(id_col), F.lit(max(cells, 1))).alias("_cell"),
+        F.pmod(F.xxhash64(id_col), F.lit(cells)).alias("_cell"),
         id_col,
         "payload",
     )

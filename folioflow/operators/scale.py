@@ -112,31 +112,38 @@ def bucketed_previous(
 
 
 def heavy_light_join(
-    facts: DataFrame, totals: DataFrame, keys: Sequence[str], weight: str, value: str
-) -> DataFrame:
-    """Inner join of many fact rows with one total per key, hot keys apart.
+    facts: DataFrame, totals: DataFrame, keys: Sequence[str], weight: str, value: str,
+    how: str = "inner",
+) -> DataFrame:
+    """Join of many fact rows with one total per key, hot keys apart.
 
     ``totals`` holds one row per key with its weight. A key with more than a
     1/1024 share of the whole weight is heavy; there are at most 1024 of those, so
     their totals are broadcast and their fact rows spread over salts. All others meet
-    in a plain shuffle join, in the same pass over the facts.
+    in a plain shuffle join, in the same pass over the facts. Rows with a null key meet
+    nothing and are spread too.
     """
     keys = list(keys)
     bar = totals.agg((F.sum(weight) / HEAVY_SHARE).alias("bar")).scalar()
     heavy = totals.filter(F.col(weight) > bar).select(*keys, F.col(value).alias("_hot"))
+    # 0 for every row, but not a literal: a literal key would be taken out of the shuffle.
+    none = F.when(F.col(weight) < 0, F.lit(-1)).otherwise(F.lit(0)).cast("long")
     light = totals.filter(F.col(weight) <= bar).select(
-        *keys, F.lit(0).cast("long").alias("_salt"), F.col(value).alias("_cold")
+        *keys, none.alias("_salt"), F.col(value).alias("_cold")
     )
-    spread = F.pmod(F.xxhash64(*facts.columns), F.lit(HEAVY_SHARE)) + 1
+    settled = F.col("_hot").isNotNull()
+    for k in keys:
+        settled = settled | F.col(k).isNull()
+    spread_out = F.pmod(F.xxhash64(*facts.columns), F.lit(HEAVY_SHARE)) + 1
     marked = facts.join(F.broadcast(heavy), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(spread)
+        "_salt", F.when(settled, spread_out).otherwise(F.lit(0).cast("long"))
     )
-    return (
+    joined = (
         marked.join(light, [*keys, "_salt"], "left")
         .withColumn(value, F.coalesce("_hot", "_cold"))
-        .filter(F.col(value).isNotNull())
         .drop("_hot", "_cold", "_salt")
     )
+    return joined if how == "left" else joined.filter(F.col(value).isNotNull())
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.text import content_hash, stable_doc_id, strip
 from folioflow.operators.joins import new_only
-from folioflow.operators.scale import global_ordinal
+from folioflow.operators.scale import global_ordinal, heavy_light_join
 
 
 def union_corpora(*frames: DataFrame) -> DataFrame:
@@ -31,11 +31,21 @@ def dedupe_queries(df: DataFrame, keys: Sequence[str], query: str = "query") ->
 def drop_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per content hash, that of the smallest id.
 
-    Only (hash, id) is aggregated, before the shuffle, so a text with millions of copies
-    costs one row per task; the kept ids then select the rows.
+    Only (hash, id) is aggregated and joined, and a text with very many copies is spread
+    over tasks. The texts themselves move only if the ids to drop are too many to
+    broadcast.
     """
-    kept = df.groupBy(content_hash(text).alias("doc_hash")).agg(F.min(key).alias(key))
-    return df.join(kept, key)
+    ids = df.select(content_hash(text).alias("doc_hash"), key)
+    copies = (
+        ids.groupBy("doc_hash")
+        .agg(F.min(key).alias("_first"), F.count("*").alias("_n"))
+        .filter(F.col("_n") > 1)
+    )
+    extra = heavy_light_join(ids, copies, ["doc_hash"], "_n", "_first").filter(
+        F.col(key) != F.col("_first")
+    )
+    kept = df.join(extra.select(key), key, "left_anti")
+    return kept.withColumn("doc_hash", content_hash(text))
 
 
 def idempotent_load(stored: DataFrame, src: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
