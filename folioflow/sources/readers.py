@@ -161,7 +161,9 @@ def read_conversations(
         .withColumn("path", F.col("_metadata.file_path"))
     )
     good = raw.filter(F.col("_bad").isNull()).drop("_bad")
-    bad = raw.filter(F.col("_bad").isNotNull()).select("path", F.col("_bad").alias("raw"))
+    # The reader wants a real column next to the one for bad records.
+    unread = F.col("_bad").isNotNull() & F.col("conversations").isNull()
+    bad = raw.filter(unread).select("path", F.col("_bad").alias("raw"))
     return good, bad
 
 
