@@ -177,12 +177,17 @@ def rouge_lsum_hits(reference: Sequence[Sequence[str]], candidate: Sequence[Sequ
     """Matched tokens of the union LCS of every reference sentence, each token used once."""
     have = Counter(t for s in candidate for t in s)
     left = Counter(t for s in reference for t in s)
+    known = {t: i for i, t in enumerate(have.keys() | left.keys())}
+    others = [(set(s), np.array([known[t] for t in s])) for s in candidate if len(s)]
     hits = 0
     for sentence in reference:
+        if not len(sentence):
+            continue
+        bag, codes = set(sentence), np.array([known[t] for t in sentence])
         on: set[int] = set()
-        for other in candidate:
-            if len(sentence) and len(other):
-                on |= _lcs_positions(*_codes(sentence, other))
+        for other_bag, other in others:
+            if not bag.isdisjoint(other_bag):
+                on |= _lcs_positions(codes, other)
         for i in sorted(on):
             t = sentence[i]
             if have[t] > 0 and left[t] > 0:
@@ -312,9 +317,12 @@ def ngram_perplexity(
     counts = stored(
         _bigrams(train, key, text).groupBy("w1", "w2").agg(F.count("*").alias("n12")), "bigrams"
     )
-    vocabulary = (
-        each(train, [], words(F.lower(text)), "w").agg(F.count_distinct("w").alias("v")).scalar()
+    # Every word of a text with two words or more is part of a counted bigram.
+    lone = train.select(words(F.lower(text)).alias("_toks")).filter(F.size("_toks") == 1)
+    terms = each(counts, [], F.array("w1", "w2"), "w").unionByName(
+        lone.select(F.col("_toks")[0].alias("w"))
     )
+    vocabulary = terms.agg(F.count_distinct("w").alias("v")).scalar()
     unseen = (F.ln(F.lit(k)) - F.ln(F.col("n1") + k * vocabulary)).alias("lp0")
     contexts = stored(
         counts.groupBy("w1").agg(F.sum("n12").alias("n1")).select("w1", "n1", unseen), "contexts"

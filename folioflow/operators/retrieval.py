@@ -22,9 +22,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import overlap_share, token_set
-from folioflow.operators.scale import at_most
 
+# A block of questions that goes to every task: at most so many, with so many items in all.
 MAX_QUESTIONS = 16_384
+MAX_ITEMS = 4_000_000
 ROWS_PER_CELL = 50_000
 SCORES_PER_SLICE = 262_144
 SCORE_DIGITS = 10
@@ -159,7 +160,10 @@ def _scored(
         if best:
             yield arrow(q_ids, *best.rows(), out_schema)
 
-    if at_most(questions, MAX_QUESTIONS):
+    load = questions.limit(MAX_QUESTIONS + 1).agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(F.size(questions.columns[1])), F.lit(0)).alias("items")
+    ).first()
+    if load.n <= MAX_QUESTIONS and load.items <= MAX_ITEMS:
         block = questions.toPandas()
         if block.empty:
             return rows.sparkSession.createDataFrame([], schema)
@@ -177,7 +181,10 @@ def _scored(
         return rows.mapInArrow(one_block, schema)
 
     zero = F.lit(0).cast("long")
-    blocks = math.ceil(questions.count() / MAX_QUESTIONS)
+    whole = questions.agg(
+        F.count("*").alias("n"), F.sum(F.size(questions.columns[1])).alias("items")
+    ).first()
+    blocks = max(math.ceil(whole.n / MAX_QUESTIONS), math.ceil(whole.items / MAX_ITEMS))
     cores = rows.sparkSession.sparkContext.defaultParallelism
     cells = max(math.ceil(rows.count() / ROWS_PER_CELL), math.ceil(cores / blocks))
     q_grid = questions.toDF("query_id", "payload").select(

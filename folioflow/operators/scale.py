@@ -147,48 +147,52 @@ def heavy_light_join(
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Exact median per key from value counts.
+    """Exact median per key without gathering a key's values.
 
-    Equal values are merged first. Then a key's value range is cut into 1024 parts,
-    part sizes tell which part holds the middle ranks, and only rows of those parts
-    are ordered.
+    A quantile sketch brackets the median (its rank error is far below the width of the
+    bracket). Rows below the bracket are only counted. Values inside it, a few in a
+    thousand, are merged when equal, cut into 256 ranges, and ordered range by range.
     """
     keys = list(keys)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    span = counts.groupBy(*keys).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_n").alias("_total")
+    known = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    span = known.groupBy(*keys).agg(
+        F.percentile_approx("_v", [0.499, 0.501], 10_000).alias("_b"), F.count("*").alias("_total")
     )
-    part = F.when(
-        F.col("_hi") > F.col("_lo"),
-        F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 1023),
-    ).otherwise(F.lit(0))
-    placed = counts.join(span, keys).withColumn("_part", part)
-    upto = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, 0)
-    low_rank = F.floor((F.col("_total") + 1) / 2)
-    high_rank = F.floor(F.col("_total") / 2) + 1
-    parts = (
-        placed.groupBy(*keys, "_part")
-        .agg(F.sum("_n").alias("_part_n"), F.first("_total").alias("_part_total"))
-        .withColumn("_end", F.sum("_part_n").over(upto))
-        .withColumn("_start", F.col("_end") - F.col("_part_n"))
-        .withColumnRenamed("_part_total", "_total")
-        .filter((low_rank <= F.col("_end")) & (high_rank > F.col("_start")))
-        .select(*keys, "_part", "_start")
+    bracket = span.select(
+        *keys, "_total",
+        F.struct(F.col("_b")[0].alias("lo"), F.col("_b")[1].alias("hi"), F.col("_total").alias("n")).alias("_m"),
+    )
+    near = heavy_light_join(known, bracket, keys, "_total", "_m").filter(F.col("_v") <= F.col("_m.hi"))
+    width = F.col("_m.hi") - F.col("_m.lo")
+    part = (
+        F.when(F.col("_v") < F.col("_m.lo"), -1)
+        .when(width > 0, F.floor((F.col("_v") - F.col("_m.lo")) / width * 255))
+        .otherwise(0)
     )
-    inner = W.partitionBy(*keys, "_part").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    # Rows below the bracket share part -1 and lose their value.
+    inside = F.when(F.col("_v") >= F.col("_m.lo"), F.col("_v"))
+    counts = near.groupBy(*keys, part.cast("int").alias("_part"), inside.alias("_v")).agg(
+        F.count("*").alias("_n"), F.first("_m.n").alias("_total")
+    )
+    upto = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = (
+        counts.groupBy(*keys, "_part")
+        .agg(F.sum("_n").alias("_part_n"))
+        .withColumn("_start", F.coalesce(F.sum("_part_n").over(upto), F.lit(0)))
+        .drop("_part_n")
+    )
+    inner = W.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     ranked = (
-        placed.join(parts, [*keys, "_part"])
+        counts.join(starts, [*keys, "_part"])
         .withColumn("_end", F.col("_start") + F.sum("_n").over(inner))
         .withColumn("_begin", F.col("_end") - F.col("_n"))
     )
-    low_hit = (low_rank > F.col("_begin")) & (low_rank <= F.col("_end"))
-    high_hit = (high_rank > F.col("_begin")) & (high_rank <= F.col("_end"))
-    return ranked.groupBy(*keys).agg(
-        (
-            (F.max(F.when(low_hit, F.col(value))) + F.max(F.when(high_hit, F.col(value)))) / 2
-        ).alias(name)
-    )
 
+    def at(rank) -> Column:
+        return F.max(F.when((rank > F.col("_begin")) & (rank <= F.col("_end")), F.col("_v")))
+
+    low, high = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
+    return ranked.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias(name))
 
 
 def bucketed_running_sum(

@@ -14,7 +14,12 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.text import content_hash, stable_doc_id, strip
 from folioflow.operators.joins import new_only
-from folioflow.operators.scale import global_ordinal, heavy_light_join
+from folioflow.operators.scale import (
+    bucketed_ordinal,
+    bucketed_running_sum,
+    heavy_light_join,
+    range_bucket,
+)
 
 
 def union_corpora(*frames: DataFrame) -> DataFrame:
@@ -165,10 +170,26 @@ def hash_split(df: DataFrame, key: Column, train: int = 90) -> DataFrame:
 
 
 def positional_split(
-    df: DataFrame, bucket: Column, order: Sequence[Column], share: float = 0.9
+    df: DataFrame, group: str = "conv_id", order: str = "turn", share: float = 0.9
 ) -> DataFrame:
-    """First ``int(share * n)`` rows in the given order are the training part."""
-    total = df.agg(F.count("*").alias("n")).scalar()
-    placed = global_ordinal(df, bucket, order, "ordinal")
-    cut = F.floor(total * F.lit(share))
-    return placed.withColumn("split", F.when(F.col("ordinal") < cut, "train").otherwise("validation"))
+    """First ``int(share * n)`` rows by (group, order) are the training part.
+
+    A row's position is the size of all groups before its own plus its place in the
+    group; both sums are bucketed, so neither the table nor a long group meets in one task.
+    """
+    sizes = df.groupBy(group).agg(F.count("*").alias("_size")).withColumn("_all", F.lit(1))
+    ends = bucketed_running_sum(
+        sizes, ["_all"], range_bucket(sizes, group), [F.asc(group)], "_size", "_end"
+    )
+    starts = ends.select(group, "_size", (F.col("_end") - F.col("_size")).alias("_start"))
+    placed = bucketed_ordinal(df, [group], F.floor(F.col(order) / 256), [F.asc(order)], "_place")
+    total = sizes.agg(F.sum("_size").alias("n")).scalar()
+    return (
+        heavy_light_join(placed, starts, [group], "_size", "_start")
+        .withColumn("ordinal", F.col("_start") + F.col("_place"))
+        .withColumn(
+            "split",
+            F.when(F.col("ordinal") < F.floor(total * F.lit(share)), "train").otherwise("validation"),
+        )
+        .drop("_start", "_place")
+    )

@@ -215,9 +215,9 @@ def cache_verdict(
 ) -> DataFrame:
     """Hit when the same query ran within ``ttl`` seconds before; a hit renews the entry."""
     timed = log.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    hour = F.floor(F.col("_us") / F.lit(HOUR * 1_000_000))
+    minute = F.floor(F.col("_us") / F.lit(MINUTE * 1_000_000))
     order = [F.col("_us").asc(), F.col(tie).asc()]
-    seen = bucketed_previous(timed, [query], "_us", hour, order, "_prev")
+    seen = bucketed_previous(timed, [query], "_us", minute, order, "_prev")
     return seen.withColumn(
         "is_hit", F.coalesce(F.col("_us") - F.col("_prev") <= ttl * 1_000_000, F.lit(False))
     ).drop("_us", "_prev")

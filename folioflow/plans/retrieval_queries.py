@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from folioflow.functions import vectors as vec
 from folioflow.functions.text import strip
 from folioflow.operators import retrieval, tables, training, vectorstore
-from folioflow.operators.scale import range_bucket
 from folioflow.plans import sqltext as q
 from folioflow.plans.inputs import centroids, chunks, documents, questions, r6
 from folioflow.plans.registry import query
@@ -180,8 +179,7 @@ def sample_n(spark, folder):
 )
 def train_val_split(spark, folder):
     rows = training.to_prompt_pairs(table(spark, folder, "conversations")).select("conv_id", "turn")
-    bucket = range_bucket(table(spark, folder, "conversations"), "conv_id")
-    return tables.positional_split(rows, bucket, [F.asc("conv_id"), F.asc("turn")])
+    return tables.positional_split(rows, "conv_id", "turn")
 
 
 @query("hash_split")

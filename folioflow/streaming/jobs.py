@@ -212,7 +212,9 @@ def stream_rate_limit(
 ) -> DataFrame:
     """Verdict per request, counters anchored at a key's first request.
 
-    Needs the RocksDB state store. The clock ticks like that of the batch form.
+    Needs the RocksDB state store. The clock ticks like that of the batch form. A task
+    orders the requests of one key and one micro-batch, so ``maxFilesPerTrigger`` bounds
+    what it holds.
     """
     at = F.floor(F.unix_micros("ts") / F.lit(int(tick_seconds * 1e6))) * tick_seconds
     rows = log.withWatermark("ts", delay).select("event_id", key, "ts", at.alias("at"))
