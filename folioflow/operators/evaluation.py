@@ -322,7 +322,7 @@ def ngram_perplexity(
     terms = each(counts, [], F.array("w1", "w2"), "w").unionByName(
         lone.select(F.col("_toks")[0].alias("w"))
     )
-    vocabulary = terms.agg(F.count_distinct("w").alias("v")).scalar()
+    vocabulary = stored(terms.agg(F.count_distinct("w").alias("v")), "vocabulary").scalar()
     unseen = (F.ln(F.lit(k)) - F.ln(F.col("n1") + k * vocabulary)).alias("lp0")
     contexts = stored(
         counts.groupBy("w1").agg(F.sum("n12").alias("n1")).select("w1", "n1", unseen), "contexts"

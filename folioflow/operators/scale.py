@@ -36,10 +36,10 @@ def each(df: DataFrame, keep: Sequence, array: Column | str, item: str, position
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of an input that has fewer partitions than there are cores.
+    """Give every core a share of a table that is read in fewer partitions than cores.
 
-    Only small inputs are like that (one file of one row group); larger ones stay as
-    they are read.
+    Only small tables are like that (one file of one row group); larger ones stay as
+    they are read. For work that is heavy per row, on a table as it is read.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.isStreaming or df.rdd.getNumPartitions() >= cores:

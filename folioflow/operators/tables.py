@@ -132,10 +132,19 @@ def upsert_actions(stored: DataFrame, src: DataFrame, key: str, text: str = "tex
 
 
 def upsert(stored: DataFrame, src: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Table after the load: source rows that are new or changed, all other stored rows."""
-    todo = upsert_actions(stored, src, key, text).filter(F.col("action").isin("insert", "update"))
-    fresh = src.join(todo.select(key), key, "left_semi")
-    return stored.join(todo.select(key), key, "left_anti").unionByName(fresh)
+    """Table after the load: changed rows replaced, new ones added, all others as they were.
+
+    A small load is broadcast against the stored rows, whose texts then stay where they
+    are; only the stored ids are read a second time, to find the new rows.
+    """
+    fields = [c for c in stored.columns if c != key]
+    new = src.select(key, F.struct(*fields).alias("_new"))
+    changed = F.col("_new").isNotNull() & ~F.col(f"_new.{text}").eqNullSafe(F.col(text))
+    kept = stored.join(new, key, "left").select(
+        key, *[F.when(changed, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in fields]
+    )
+    added = src.select(key, *fields).join(stored.select(key), key, "left_anti")
+    return kept.unionByName(added).select(*stored.columns)
 
 
 def split_failures(df: DataFrame, error: Column) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from folioflow.functions.text import count_tokens, file_extension, file_name
 from folioflow.operators import aggregates as agg
 from folioflow.operators import evaluation
 from folioflow.plans import sqltext as q
-from folioflow.plans.inputs import chunks, documents, log, pairs, r6
+from folioflow.plans.inputs import chunks, documents, log, pairs, r6, texts
 from folioflow.plans.registry import query
 from folioflow.session import table
 
@@ -165,7 +165,7 @@ def timing_summary(spark, folder):
 def ingest_summary(spark, folder):
     toks = count_tokens("text")
     made = F.when(toks > 0, F.greatest(F.ceil((toks - 256) / 128), F.lit(0)) + 1).otherwise(0)
-    docs = documents(spark, folder).select(
+    docs = texts(spark, folder).select(
         "source", made.alias("chunks"), (F.length("text") > 5000).alias("failed")
     )
     out = agg.ingest_summary(docs, F.col("failed"), "chunks", ["source"])

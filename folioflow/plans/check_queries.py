@@ -8,7 +8,7 @@ from folioflow.functions import security
 from folioflow.functions.text import count_tokens, file_extension, file_name
 from folioflow.operators import filters, retrieval, training
 from folioflow.plans import sqltext as q
-from folioflow.plans.inputs import answers, centroids, documents, log, r6
+from folioflow.plans.inputs import answers, centroids, documents, log, r6, texts
 from folioflow.plans.registry import query
 from folioflow.session import table
 
@@ -60,7 +60,7 @@ def relevance_filter(spark, folder):
                THEN 'Input contains sensitive information' END AS reason FROM documents)""",
 )
 def validate_input(spark, folder):
-    return filters.validate_input(documents(spark, folder)).select("doc_id", "is_valid", "reason")
+    return filters.validate_input(texts(spark, folder)).select("doc_id", "is_valid", "reason")
 
 
 _FILE_EXT = r"lower(regexp_extract(string_split(url, '/')[-1], '^\.*[^.].*(\.[^.]*)$', 1))"
@@ -175,7 +175,7 @@ _TRIMMED = f"list_transform(string_split(text, chr(10)), lambda t: {q.strip('t')
           AS questions FROM documents""",
 )
 def filter_questions(spark, folder):
-    docs = documents(spark, folder).select("doc_id", F.split("text", "\n").alias("questions"))
+    docs = texts(spark, folder).select("doc_id", F.split("text", "\n").alias("questions"))
     out = filters.filter_questions(docs, "questions", cap=5)
     return out.select("doc_id", F.array_join("questions", "|").alias("questions"))
 

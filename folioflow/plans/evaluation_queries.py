@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioflow.operators import evaluation as ev
 from folioflow.operators import retrieval
 from folioflow.plans import sqltext as q
-from folioflow.plans.inputs import answers, chunks, documents, pairs, questions, r6
+from folioflow.plans.inputs import answers, chunks, pairs, questions, r6, texts
 from folioflow.plans.join_queries import MARKED, answer_hits, cited_sets, marked_answers
 from folioflow.plans.registry import query
 
@@ -105,18 +105,18 @@ def wer(spark, folder):
         FROM b JOIN c12 USING (w1, w2) JOIN c1 USING (w1), v GROUP BY 1""",
 )
 def ngram_perplexity(spark, folder):
-    docs = documents(spark, folder).select("doc_id", "text")
+    docs = texts(spark, folder).select("doc_id", "text")
     return ev.ngram_perplexity(docs, docs).withColumn("perplexity", F.round("perplexity", 4))
 
 
 @query("evaluate")
 def evaluate(spark, folder):
-    return ev.evaluate(pairs(spark, folder), documents(spark, folder).select("doc_id", "text"))
+    return ev.evaluate(pairs(spark, folder), texts(spark, folder).select("doc_id", "text"))
 
 
 @query("evaluate_batch")
 def evaluate_batch(spark, folder):
-    return ev.evaluate_batch(pairs(spark, folder), documents(spark, folder).select("doc_id", "text"))
+    return ev.evaluate_batch(pairs(spark, folder), texts(spark, folder).select("doc_id", "text"))
 
 
 _ANSWER_HITS = f"""{q.ANSWERS}, {q.chunk_ctes()},

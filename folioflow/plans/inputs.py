@@ -12,11 +12,16 @@ from folioflow.session import table
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "documents"))
+    return table(spark, folder, "documents")
+
+
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents for work that is heavy per row."""
+    return spread(documents(spark, folder))
 
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
-    docs = documents(spark, folder).select("doc_id", "lang", "source", "text")
+    docs = texts(spark, folder).select("doc_id", "lang", "source", "text")
     return split_tokens(docs, 256, 128)
 
 

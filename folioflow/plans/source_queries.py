@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import preview
+from folioflow.operators.scale import spread
 from folioflow.plans.inputs import documents
 from folioflow.plans.registry import query
 from folioflow.session import scratch_path, table
@@ -81,7 +82,7 @@ def flatten_json_list(spark, folder):
 
 @query("html_to_text")
 def html_to_text(spark, folder):
-    return readers.html_to_text(table(spark, folder, "pages")).select("page_id", "url", "title", "text")
+    return readers.html_to_text(spread(table(spark, folder, "pages"))).select("page_id", "url", "title", "text")
 
 
 def _conversation_rows(spark, folder):

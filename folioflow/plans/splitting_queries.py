@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from folioflow.operators import splitting
 from folioflow.plans import sqltext as q
-from folioflow.plans.inputs import chunks, documents, r6
+from folioflow.plans.inputs import chunks, documents, r6, texts
 from folioflow.plans.registry import query
 
 
 @query("split_recursive")
 def split_recursive(spark, folder):
-    return splitting.split_recursive(documents(spark, folder).select("doc_id", "text"))
+    return splitting.split_recursive(texts(spark, folder).select("doc_id", "text"))
 
 
 @query(
@@ -31,7 +31,7 @@ def split_tokens(spark, folder):
               lambda s: s <> '') AS p FROM documents))""",
 )
 def split_sentences(spark, folder):
-    out = splitting.split_sentences(documents(spark, folder).select("doc_id", "source", "text"))
+    out = splitting.split_sentences(texts(spark, folder).select("doc_id", "source", "text"))
     return out.select("doc_id", "source", "chunk_index", "chunk_text")
 
 
@@ -83,7 +83,7 @@ _RETRY = f"""
         FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM kept)""",
 )
 def split_with_retry(spark, folder):
-    out = splitting.split_with_retry(documents(spark, folder).select("doc_id", "text"), max_chars=1800)
+    out = splitting.split_with_retry(texts(spark, folder).select("doc_id", "text"), max_chars=1800)
     return out.select("doc_id", "status", "chunk_index", F.md5("chunk_text").alias("chunk_hash"))
 
 

@@ -8,7 +8,7 @@ from folioflow.functions import security, text
 from folioflow.operators import filters, tables, training
 from folioflow.operators.evaluation import answer_issues
 from folioflow.plans import sqltext as q
-from folioflow.plans.inputs import answers, documents, r6
+from folioflow.plans.inputs import answers, documents, r6, texts
 from folioflow.plans.registry import query
 from folioflow.session import table
 
@@ -30,7 +30,7 @@ def preprocess_query(spark, folder):
 )
 def token_set(spark, folder):
     terms = text.token_set("text")
-    return documents(spark, folder).select(
+    return texts(spark, folder).select(
         "doc_id", F.size(terms).alias("terms"),
         F.md5(F.array_join(F.sort_array(terms), " ")).alias("term_hash"),
     )
@@ -38,7 +38,7 @@ def token_set(spark, folder):
 
 @query("count_tokens", f"SELECT doc_id, len({q.words('text')})::INT AS tokens FROM documents")
 def count_tokens(spark, folder):
-    return documents(spark, folder).select("doc_id", text.count_tokens("text").alias("tokens"))
+    return texts(spark, folder).select("doc_id", text.count_tokens("text").alias("tokens"))
 
 
 @query(
@@ -48,7 +48,7 @@ def count_tokens(spark, folder):
                ELSE array_to_string(({q.words('text')})[1:100], ' ') END AS by_words FROM documents""",
 )
 def truncate_context(spark, folder):
-    return documents(spark, folder).select(
+    return texts(spark, folder).select(
         "doc_id",
         text.truncate_words("text", 100).alias("by_words"),
         text.truncate_chars("text", 100).alias("by_chars"),
@@ -68,7 +68,7 @@ _STOPS = q.string_list(text.STOP_WORDS)
           lambda t: NOT list_contains({_STOPS}, lower(t))), ' ') AS text FROM documents""",
 )
 def process_text(spark, folder):
-    return documents(spark, folder).select("doc_id", text.clean_text("text").alias("text"))
+    return texts(spark, folder).select("doc_id", text.clean_text("text").alias("text"))
 
 
 @query(
@@ -77,7 +77,7 @@ def process_text(spark, folder):
           lambda t: length(t) BETWEEN 3 AND 20), ' ') AS text FROM documents""",
 )
 def filter_word_length(spark, folder):
-    return documents(spark, folder).select("doc_id", text.keep_word_lengths("text").alias("text"))
+    return texts(spark, folder).select("doc_id", text.keep_word_lengths("text").alias("text"))
 
 
 @query(
@@ -185,7 +185,7 @@ for _p in security.MASK_PATTERNS:
 
 @query("redact", f"SELECT doc_id, {_MASKED} AS text FROM documents")
 def redact(spark, folder):
-    return documents(spark, folder).select("doc_id", security.mask_sensitive("text").alias("text"))
+    return texts(spark, folder).select("doc_id", security.mask_sensitive("text").alias("text"))
 
 
 @query(

@@ -9,7 +9,7 @@ from folioflow.operators import training as tr
 from folioflow.operators.filters import trimmed_questions
 from folioflow.operators.scale import each
 from folioflow.plans import sqltext as q
-from folioflow.plans.inputs import chunks, documents, questions, r6
+from folioflow.plans.inputs import chunks, questions, r6, texts
 from folioflow.plans.registry import query
 from folioflow.plans.text_queries import _PLAIN, _STOPS
 from folioflow.plans.window_queries import PAIRS
@@ -59,7 +59,7 @@ def expand_query(spark, folder):
 
 @query("extract_entities")
 def extract_entities(spark, folder):
-    return tr.extract_entities(documents(spark, folder).select("doc_id", "text"))
+    return tr.extract_entities(texts(spark, folder).select("doc_id", "text"))
 
 
 @query(
@@ -70,7 +70,7 @@ def extract_entities(spark, folder):
 )
 def entity_confidence(spark, folder):
     found = F.array_distinct(tr.capitalised_words("text"))
-    rows = each(documents(spark, folder), ["doc_id"], found, "entity")
+    rows = each(texts(spark, folder), ["doc_id"], found, "entity")
     scored = rows.withColumn("confidence", r6(tr.entity_confidence("entity", F.lit("ORG"))))
     return scored.filter(F.col("confidence") >= 0.8)
 
@@ -100,7 +100,7 @@ def _sentiment_sql(rows: str, words: str) -> str:
         FROM documents LEFT JOIN mean USING (doc_id)""",
 )
 def sentiment(spark, folder):
-    out = tr.sentiment(documents(spark, folder).select("doc_id", "text"), lexicon(spark))
+    out = tr.sentiment(texts(spark, folder).select("doc_id", "text"), lexicon(spark))
     return out.withColumn("polarity", r6("polarity"))
 
 
@@ -186,7 +186,7 @@ _CLEAN = f"array_to_string(list_filter({q.words(_PLAIN)}, lambda t: NOT list_con
         FROM c JOIN ti USING (doc_id) LEFT JOIN mean USING (doc_id)""",
 )
 def payload_to_conversation(spark, folder):
-    posts = documents(spark, folder).withColumn("title", F.split("text", "\n")[0])
+    posts = texts(spark, folder).withColumn("title", F.split("text", "\n")[0])
     rows = tr.payload_to_conversation(
         posts, lexicon(spark), "doc_id", "title", "text",
         F.concat(F.lit("reddit/r/"), "source"), F.lit("2024-01-01T00:00:00"),
