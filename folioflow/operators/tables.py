@@ -174,7 +174,7 @@ def sample_n(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
 
 def hash_split(df: DataFrame, key: Column, train: int = 90) -> DataFrame:
     """Train / validation by hash of the key: no shuffle, stable under growth."""
-    slot = F.pmod(F.xxhash64(key), F.lit(100))
+    slot = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long") % 100
     return df.withColumn("split", F.when(slot < train, "train").otherwise("validation"))
 
 

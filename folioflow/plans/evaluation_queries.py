@@ -84,9 +84,27 @@ def bleu(spark, folder):
     return out.withColumns({c: r6(c) for c in rounded})
 
 
-@query("meteor")
+def _spots_sql(name: str, side: str) -> str:
+    """Words of one side with their position and their number from the end per word."""
+    return f"""{name} AS (SELECT query_id, i, t[i] AS w, row_number() OVER (PARTITION BY query_id, t[i] ORDER BY i DESC) AS k
+      FROM (SELECT query_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT query_id, {q.words(f"lower({side})")} AS t FROM answers)))"""
+
+
+@query(
+    "meteor",
+    f"""WITH {q.ANSWERS}, {_spots_sql("ref", "question")}, {_spots_sql("cand", "answer")},
+          met AS (SELECT c.query_id, c.i AS ci, r.i AS ri FROM cand c JOIN ref r USING (query_id, w, k)),
+          cut AS (SELECT query_id, CASE WHEN ci - lag(ci) OVER o = 1 AND ri - lag(ri) OVER o = 1 THEN 0 ELSE 1 END AS fresh
+                  FROM met WINDOW o AS (PARTITION BY query_id ORDER BY ci)),
+          n AS (SELECT query_id, count(*)::DOUBLE AS m, sum(fresh)::DOUBLE AS chunks FROM cut GROUP BY 1),
+          pr AS (SELECT query_id, m, chunks, m / (SELECT count(*) FROM cand c WHERE c.query_id = n.query_id) AS p,
+                   m / (SELECT count(*) FROM ref r WHERE r.query_id = n.query_id) AS r FROM n)
+        SELECT a.query_id AS pair_id,
+          round(coalesce(p * r / (0.9::DOUBLE * p + 0.1::DOUBLE * r) * (1 - 0.5::DOUBLE * pow(chunks / m, 3)), 0), 6) AS meteor
+        FROM answers a LEFT JOIN pr USING (query_id)""",
+)
 def meteor(spark, folder):
-    return ev.meteor(pairs(spark, folder))
+    return ev.meteor(pairs(spark, folder)).withColumn("meteor", r6("meteor"))
 
 
 @query("wer")

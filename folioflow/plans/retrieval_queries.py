@@ -182,7 +182,11 @@ def train_val_split(spark, folder):
     return tables.positional_split(rows, "conv_id", "turn")
 
 
-@query("hash_split")
+@query(
+    "hash_split",
+    f"""WITH {PAIRS} SELECT conv_id, turn, CASE WHEN ('0x' || substring(md5(conv_id::VARCHAR), 1, 8))::BIGINT % 100 < 90
+          THEN 'train' ELSE 'validation' END AS split FROM paired""",
+)
 def hash_split(spark, folder):
     rows = training.to_prompt_pairs(table(spark, folder, "conversations")).select("conv_id", "turn")
     return tables.hash_split(rows, F.col("conv_id"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from folioflow.plans import sqltext as q
 from folioflow.plans.inputs import r6
 from folioflow.plans.registry import query
+from folioflow.plans.window_queries import ANCHORED
 from folioflow.session import ROCKSDB_PROVIDER
 from folioflow.streaming import jobs
 
@@ -73,7 +74,7 @@ def stream_metrics(spark, folder):
     )
 
 
-@query("stream_rate_limit")
+@query("stream_rate_limit", ANCHORED)
 def stream_rate_limit(spark, folder):
     with _rocksdb(spark):
         verdicts = jobs.stream_rate_limit(_events(spark, folder), "event_type", 1, 3)
