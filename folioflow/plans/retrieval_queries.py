@@ -96,7 +96,26 @@ def hits_relevant(spark, folder):
     return retrieval.hits_relevant(retrieval.retrieve(questions(spark, folder), chunks(spark, folder)))
 
 
-@query("mmr")
+def _mmr_sql(k: int, lam: float) -> str:
+    """One step per choice: the candidate with the best mix of score and distance to the chosen."""
+    steps = [f"""
+      near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored QUALIFY rank <= 20),
+      cand AS (SELECT near.*, embedding::DOUBLE[] AS e FROM near JOIN embeddings USING (vec_id)),
+      sims AS (SELECT a.query_id, a.vec_id, b.vec_id AS other, list_cosine_similarity(a.e, b.e) AS s FROM cand a JOIN cand b USING (query_id)),
+      done1 AS (SELECT query_id, vec_id, 1 AS rank, {lam}::DOUBLE * score AS mmr FROM cand WHERE rank = 1)"""]
+    for n in range(2, k + 1):
+        steps.append(f"""
+      done{n} AS (SELECT * FROM done{n - 1} UNION ALL (
+        SELECT query_id, vec_id, {n} AS rank, mmr FROM (
+          SELECT c.query_id, c.vec_id, any_value(c.rank) AS place,
+            any_value({lam}::DOUBLE * c.score) - {1 - lam:.6f}::DOUBLE * max(s.s) AS mmr
+          FROM cand c JOIN sims s USING (query_id, vec_id) JOIN done{n - 1} d ON d.query_id = c.query_id AND d.vec_id = s.other
+          WHERE NOT EXISTS (FROM done{n - 1} x WHERE x.query_id = c.query_id AND x.vec_id = c.vec_id)
+          GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(mmr, 10) DESC, place) = 1))""")
+    return f"WITH {q.CENTROIDS}, {','.join(steps)} SELECT query_id, vec_id, rank, round(mmr, 6) AS mmr FROM done{k}"
+
+
+@query("mmr", _mmr_sql(5, 0.7))
 def mmr(spark, folder):
     rows = vectors(spark, folder)
     near = retrieval.knn(centroids(spark, folder), rows, 20)

@@ -80,7 +80,18 @@ def flatten_json_list(spark, folder):
     return readers.flatten_json_list(docs).select("doc_id", "text")
 
 
-@query("html_to_text")
+_BARE = "html"
+for _pattern in ("(?is)<script[^>]*>.*?</script>", "(?is)<style[^>]*>.*?</style>", "(?s)<!--.*?-->", "(?s)<[a-zA-Z/!][^>]*>"):
+    _BARE = f"regexp_replace({_BARE}, '{_pattern}', '', 'g')"
+for _mark, _plain in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&amp;", "&")):
+    _BARE = f"replace({_BARE}, '{_mark}', '{_plain}')"
+
+
+@query(
+    "html_to_text",
+    f"""SELECT page_id, url, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, {_BARE} AS text
+        FROM pages""",
+)
 def html_to_text(spark, folder):
     return readers.html_to_text(spread(table(spark, folder, "pages"))).select("page_id", "url", "title", "text")
 

@@ -57,9 +57,22 @@ def expand_query(spark, folder):
     return tr.expand_query(asked)
 
 
-@query("extract_entities")
+_ENTITY_LISTS = " UNION ALL ".join(
+    f"SELECT doc_id, '{label}' AS label, unnest("
+    + (caps("text") if label == "ORG" else f"regexp_extract_all(text, '{p}')")
+    + ") AS entity FROM documents"
+    for label, p in tr.ENTITY_RULES
+)
+
+
+@query(
+    "extract_entities",
+    f"""WITH e AS ({_ENTITY_LISTS})
+        SELECT doc_id, label, entity, count(*) AS mentions FROM e GROUP BY ALL""",
+)
 def extract_entities(spark, folder):
-    return tr.extract_entities(texts(spark, folder).select("doc_id", "text"))
+    rows = tr.extract_entities(texts(spark, folder).select("doc_id", "text"))
+    return rows.groupBy("doc_id", "label", "entity").agg(F.count("*").alias("mentions"))
 
 
 @query(
