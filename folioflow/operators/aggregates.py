@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import count_tokens
-from folioflow.operators.scale import bucketed_ordinal, exact_median
+from folioflow.operators.scale import bucketed_ordinal, exact_median, join_same
 
 
 def rate(part: Column, whole: Column, scale: float = 1.0) -> Column:
@@ -72,7 +72,8 @@ def latency_stats(
     ]
     if approximate:
         return log.groupBy(*keys).agg(*basics, F.percentile_approx(latency, 0.5).alias("median"))
-    return log.groupBy(*keys).agg(*basics).join(exact_median(log, keys, latency, "median"), list(keys))
+    medians = exact_median(log, keys, latency, "median")
+    return join_same(log.groupBy(*keys).agg(*basics), medians, list(keys), "left")
 
 
 def hit_rate(log: DataFrame, hit: Column, keys: Sequence[str] = ()) -> DataFrame:

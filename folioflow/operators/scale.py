@@ -9,9 +9,11 @@ so a recomputed task gives the same rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 # Row limits under which a side may be broadcast or a block held by one task.
@@ -52,6 +54,26 @@ def broadcast_if_small(df: DataFrame, rows: int = MAX_BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if at_most(df, rows) else df
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join in which nulls meet as they do in a group, so no group is lost."""
+    named = {k: f"_of_{k}" for k in keys}
+    meets = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(n)) for k, n in named.items()))
+    return left.join(right.withColumnsRenamed(named), meets, how).drop(*named.values())
+
+
+def _cells(df: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
+    """Adds ``_cell``, the (key, bucket) of a row as one struct.
+
+    A struct with null fields equals itself, so rows without a key or bucket stay; and
+    the join and the window on ``_cell`` share one shuffle.
+    """
+    return df.withColumn("_cell", F.struct(F.struct(*keys).alias("k"), bucket.alias("b")))
+
+
+def _earlier_cells() -> WindowSpec:
+    return W.partitionBy("_cell.k").orderBy("_cell.b")
+
+
 def bucketed_ordinal(
     df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], name: str
 ) -> DataFrame:
@@ -60,20 +82,18 @@ def bucketed_ordinal(
     ``bucket`` must not decrease along ``order``. Each (key, bucket) is numbered by
     itself; bucket sizes, summed before, give the offset.
     """
-    keys = list(keys)
-    cut = df.withColumn("_bucket", bucket)
-    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    cut = _cells(df, keys, bucket)
+    before = _earlier_cells().rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        cut.groupBy(*keys, "_bucket")
+        cut.groupBy("_cell")
         .agg(F.count("*").alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
+        .select("_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
-    inner = W.partitionBy(*keys, "_bucket").orderBy(*order)
+    inner = W.partitionBy("_cell").orderBy(*order)
     return (
-        cut.join(offsets, [*keys, "_bucket"])
+        cut.join(offsets, "_cell")
         .withColumn(name, F.col("_offset") + F.row_number().over(inner) - 1)
-        .drop("_bucket", "_offset")
+        .drop("_cell", "_offset")
     )
 
 
@@ -95,25 +115,23 @@ def bucketed_previous(
     ``value`` must not decrease along ``order``; then the last value of a bucket is its
     maximum, and the first row of a bucket takes that of the nearest bucket before.
     """
-    keys = list(keys)
-    cut = df.withColumn("_bucket", bucket)
+    cut = _cells(df, keys, bucket)
     carried = (
-        cut.groupBy(*keys, "_bucket")
+        cut.groupBy("_cell")
         .agg(F.max(value).alias("_last"))
-        .withColumn("_carried", F.lag("_last").over(W.partitionBy(*keys).orderBy("_bucket")))
-        .drop("_last")
+        .select("_cell", F.lag("_last").over(_earlier_cells()).alias("_carried"))
     )
-    inner = W.partitionBy(*keys, "_bucket").orderBy(*order)
+    inner = W.partitionBy("_cell").orderBy(*order)
     return (
-        cut.join(carried, [*keys, "_bucket"])
+        cut.join(carried, "_cell")
         .withColumn(name, F.coalesce(F.lag(value).over(inner), F.col("_carried")))
-        .drop("_bucket", "_carried")
+        .drop("_cell", "_carried")
     )
 
 
 def heavy_light_join(
     facts: DataFrame, totals: DataFrame, keys: Sequence[str], weight: str, value: str,
-    how: str = "inner",
+    how: str = "inner", same_nulls: bool = False,
 ) -> DataFrame:
     """Join of many fact rows with one total per key, hot keys apart.
 
@@ -121,7 +139,7 @@ def heavy_light_join(
     1/1024 share of the whole weight is heavy; there are at most 1024 of those, so
     their totals are broadcast and their fact rows spread over salts. All others meet
     in a plain shuffle join, in the same pass over the facts. Rows with a null key meet
-    nothing and are spread too.
+    nothing and are spread too, unless ``same_nulls`` lets nulls meet as in a group.
     """
     keys = list(keys)
     bar = totals.agg((F.sum(weight) / HEAVY_SHARE).alias("bar")).scalar()
@@ -132,14 +150,19 @@ def heavy_light_join(
         *keys, none.alias("_salt"), F.col(value).alias("_cold")
     )
     settled = F.col("_hot").isNotNull()
-    for k in keys:
-        settled = settled | F.col(k).isNull()
-    spread_out = F.pmod(F.xxhash64(*facts.columns), F.lit(HEAVY_SHARE)) + 1
-    marked = facts.join(F.broadcast(heavy), keys, "left").withColumn(
+    if not same_nulls:
+        settled = reduce(lambda a, k: a | F.col(k).isNull(), keys, settled)
+    hashed = [f.name for f in facts.schema if "map<" not in f.dataType.simpleString()]
+    spread_out = F.pmod(F.xxhash64(*hashed), F.lit(HEAVY_SHARE)) + 1
+
+    def meet(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+        return join_same(a, b, on, "left") if same_nulls else a.join(b, on, "left")
+
+    marked = meet(facts, F.broadcast(heavy), keys).withColumn(
         "_salt", F.when(settled, spread_out).otherwise(F.lit(0).cast("long"))
     )
     joined = (
-        marked.join(light, [*keys, "_salt"], "left")
+        meet(marked, light, [*keys, "_salt"])
         .withColumn(value, F.coalesce("_hot", "_cold"))
         .drop("_hot", "_cold", "_salt")
     )
@@ -155,6 +178,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> D
     """
     keys = list(keys)
     known = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    merged = known.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
     span = known.groupBy(*keys).agg(
         F.percentile_approx("_v", [0.499, 0.501], 10_000).alias("_b"), F.count("*").alias("_total")
     )
@@ -162,7 +186,9 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> D
         *keys, "_total",
         F.struct(F.col("_b")[0].alias("lo"), F.col("_b")[1].alias("hi"), F.col("_total").alias("n")).alias("_m"),
     )
-    near = heavy_light_join(known, bracket, keys, "_total", "_m").filter(F.col("_v") <= F.col("_m.hi"))
+    near = heavy_light_join(merged, bracket, keys, "_total", "_m", same_nulls=True).filter(
+        F.col("_v") <= F.col("_m.hi")
+    )
     width = F.col("_m.hi") - F.col("_m.lo")
     part = (
         F.when(F.col("_v") < F.col("_m.lo"), -1)
@@ -172,7 +198,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> D
     # Rows below the bracket share part -1 and lose their value.
     inside = F.when(F.col("_v") >= F.col("_m.lo"), F.col("_v"))
     counts = near.groupBy(*keys, part.cast("int").alias("_part"), inside.alias("_v")).agg(
-        F.count("*").alias("_n"), F.first("_m.n").alias("_total")
+        F.sum("_c").alias("_n"), F.first("_m.n").alias("_total")
     )
     upto = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     starts = (
@@ -183,7 +209,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> D
     )
     inner = W.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     ranked = (
-        counts.join(starts, [*keys, "_part"])
+        join_same(counts, starts, [*keys, "_part"])
         .withColumn("_end", F.col("_start") + F.sum("_n").over(inner))
         .withColumn("_begin", F.col("_end") - F.col("_n"))
     )
@@ -202,22 +228,18 @@ def bucketed_running_sum(
 
     ``bucket`` must not decrease along ``order``.
     """
-    keys = list(keys)
-    cut = df.withColumn("_bucket", bucket)
-    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    cut = _cells(df, keys, bucket)
+    before = _earlier_cells().rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        cut.groupBy(*keys, "_bucket")
+        cut.groupBy("_cell")
         .agg(F.sum(value).alias("_sum"))
-        .withColumn("_offset", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-        .drop("_sum")
-    )
-    inner = (
-        W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        .select("_cell", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
     )
+    inner = W.partitionBy("_cell").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return (
-        cut.join(offsets, [*keys, "_bucket"])
+        cut.join(offsets, "_cell")
         .withColumn(name, F.col("_offset") + F.sum(value).over(inner))
-        .drop("_bucket", "_offset")
+        .drop("_cell", "_offset")
     )
 
 

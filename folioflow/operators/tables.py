@@ -20,6 +20,7 @@ from folioflow.operators.scale import (
     heavy_light_join,
     range_bucket,
 )
+from folioflow.session import stored
 
 
 def union_corpora(*frames: DataFrame) -> DataFrame:
@@ -186,7 +187,9 @@ def positional_split(
     A row's position is the size of all groups before its own plus its place in the
     group; both sums are bucketed, so neither the table nor a long group meets in one task.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("_size")).withColumn("_all", F.lit(1))
+    sizes = stored(df.groupBy(group).agg(F.count("*").alias("_size")), "group-sizes").withColumn(
+        "_all", F.lit(1)
+    )
     ends = bucketed_running_sum(
         sizes, ["_all"], range_bucket(sizes, group), [F.asc(group)], "_size", "_end"
     )

@@ -28,8 +28,9 @@ CACHE_TTL = 7200
 USER_ROLES = ("human", "user")
 ASSISTANT_ROLES = ("assistant", "gpt")
 
-# Turns per bucket when a conversation is cut.
+# Turns and seconds per bucket when a conversation or a log is cut.
 TURNS_PER_BUCKET = 256
+SECONDS_PER_BUCKET = 300
 
 
 def last_n(df: DataFrame, n: int, order: Sequence[Column], keys: Sequence[str] = ()) -> DataFrame:
@@ -114,29 +115,27 @@ def rate_limit_aligned(
     A request passes if it is within the limit of its minute and, among those that are,
     within the limit of its hour. Both ordinals are taken per (key, minute).
     """
-    timed = log.withColumn("_minute", F.date_trunc("minute", ts)).withColumn(
-        "_hour", F.date_trunc("hour", ts)
-    )
+    minute, hour = F.date_trunc("minute", ts), F.date_trunc("hour", ts)
+    timed = log.withColumn("_cell", F.struct(F.col(key).alias("k"), hour.alias("h"), minute.alias("m")))
     order = [F.col(ts).asc(), F.col(tie).asc()]
-    w = W.partitionBy(key, "_minute").orderBy(*order)
-    numbered = timed.withColumn("_in_minute", F.row_number().over(w))
-    passed = F.col("_in_minute") <= minute_limit
+    numbered = timed.withColumn("_at", F.row_number().over(W.partitionBy("_cell").orderBy(*order)))
     # Requests passed in earlier minutes of the hour: at most 60 rows per (key, hour).
-    before = W.partitionBy(key, "_hour").orderBy("_minute").rowsBetween(W.unboundedPreceding, -1)
+    before = (
+        W.partitionBy("_cell.k", "_cell.h").orderBy("_cell.m").rowsBetween(W.unboundedPreceding, -1)
+    )
     minutes = (
-        timed.groupBy(key, "_hour", "_minute")
+        timed.groupBy("_cell")
         .agg(F.least(F.count("*"), F.lit(minute_limit)).alias("_passed"))
-        .withColumn("_earlier", F.coalesce(F.sum("_passed").over(before), F.lit(0)))
-        .select(key, "_minute", "_earlier")
+        .select("_cell", F.coalesce(F.sum("_passed").over(before), F.lit(0)).alias("_earlier"))
     )
-    reason = F.when(~passed, MINUTE_DENIED).when(
-        F.col("_earlier") + F.col("_in_minute") > hour_limit, HOUR_DENIED
+    reason = F.when(F.col("_at") > minute_limit, MINUTE_DENIED).when(
+        F.col("_earlier") + F.col("_at") > hour_limit, HOUR_DENIED
     )
     return (
-        numbered.join(minutes, [key, "_minute"])
+        numbered.join(minutes, "_cell")
         .withColumn("reason", reason)
         .withColumn("is_allowed", F.col("reason").isNull())
-        .drop("_minute", "_hour", "_in_minute", "_earlier")
+        .drop("_cell", "_at", "_earlier")
     )
 
 
@@ -175,38 +174,41 @@ def rate_limit_anchored(
     pass streams sorted rows and holds one state. Verdicts join back per (key, tick).
     """
     micros = int(tick_seconds * 1_000_000)
-    ticked = log.withColumn(
+    # The key as text that is never null, so that requests without a key share a limit too.
+    who = F.concat(F.when(F.col(key).isNull(), "-").otherwise("+"), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    ticked = log.withColumn("_who", who).withColumn(
         "_tick", F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(micros))
     )
-    key_type = log.schema[key].dataType.simpleString()
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        holder, state = object(), None
+        holder, state = None, None
         for pdf in batches:
             allowed, denied = [], []
-            for k, tick, n in zip(pdf[key], pdf["_tick"], pdf["_n"], strict=True):
-                if state is None or k != holder:
+            for k, tick, n in zip(pdf["_who"], pdf["_tick"], pdf["_n"], strict=True):
+                if k != holder:
                     holder, state = k, LimiterState(minute_limit, hour_limit)
                 ok, why = state.admit(tick * micros / 1e6, n)
                 allowed.append(ok)
                 denied.append(why)
             yield pd.DataFrame(
-                {key: pdf[key], "_tick": pdf["_tick"], "_allowed": allowed, "_why": denied}
+                {"_who": pdf["_who"], "_tick": pdf["_tick"], "_allowed": allowed, "_why": denied}
             )
 
-    merged = ticked.groupBy(key, "_tick").agg(F.count("*").alias("_n"))
+    merged = (
+        ticked.filter(F.col("_tick").isNotNull()).groupBy("_who", "_tick").agg(F.count("*").alias("_n"))
+    )
     verdicts = (
-        merged.repartition(key)
-        .sortWithinPartitions(key, "_tick")
-        .mapInPandas(walk, f"{key} {key_type}, _tick long, _allowed long, _why string")
+        merged.repartition("_who")
+        .sortWithinPartitions("_who", "_tick")
+        .mapInPandas(walk, "_who string, _tick long, _allowed long, _why string")
     )
-    w = W.partitionBy(key, "_tick").orderBy(F.col(ts).asc(), F.col(tie).asc())
+    w = W.partitionBy("_who", "_tick").orderBy(F.col(ts).asc(), F.col(tie).asc())
     numbered = ticked.withColumn("_at", F.row_number().over(w))
     return (
-        numbered.join(verdicts, [key, "_tick"])
+        numbered.join(verdicts, ["_who", "_tick"], "left")
         .withColumn("reason", F.when(F.col("_at") > F.col("_allowed"), F.col("_why")))
         .withColumn("is_allowed", F.col("reason").isNull())
-        .drop("_tick", "_at", "_allowed", "_why")
+        .drop("_who", "_tick", "_at", "_allowed", "_why")
     )
 
 
@@ -215,9 +217,9 @@ def cache_verdict(
 ) -> DataFrame:
     """Hit when the same query ran within ``ttl`` seconds before; a hit renews the entry."""
     timed = log.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    minute = F.floor(F.col("_us") / F.lit(MINUTE * 1_000_000))
+    bucket = F.floor(F.col("_us") / F.lit(SECONDS_PER_BUCKET * 1_000_000))
     order = [F.col("_us").asc(), F.col(tie).asc()]
-    seen = bucketed_previous(timed, [query], "_us", minute, order, "_prev")
+    seen = bucketed_previous(timed, [query], "_us", bucket, order, "_prev")
     return seen.withColumn(
         "is_hit", F.coalesce(F.col("_us") - F.col("_prev") <= ttl * 1_000_000, F.lit(False))
     ).drop("_us", "_prev")

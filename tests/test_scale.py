@@ -13,7 +13,7 @@ from folioflow.operators import scale
 def skewed(spark):
     rng = random.Random(3)
     rows = [
-        ("hot" if rng.random() < 0.4 else f"k{rng.randrange(30)}", rng.randrange(5000), i, rng.randrange(9))
+        (rng.choice(["hot", "hot", None, *(f"k{j}" for j in range(4))]), rng.randrange(5000), i, rng.randrange(9))
         for i in range(4000)
     ]
     return spark.createDataFrame(rows, "k string, at int, id int, v int").cache()
@@ -48,13 +48,16 @@ def test_previous_and_running_sum(skewed):
 
 def test_heavy_light_join(spark, skewed, monkeypatch):
     monkeypatch.setattr(scale, "HEAVY_SHARE", 8)
-    totals = skewed.filter("k <> 'k3'").groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top"))
+    totals = skewed.filter("k <> 'k3' or k is null").groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top"))
     facts = skewed.select("k", "id").unionByName(
         spark.createDataFrame([(None, -1), ("none", -2)], "k string, id int")
     )
     want = facts.join(totals.select("k", "top"), "k", "left")
     got = scale.heavy_light_join(facts, totals, ["k"], "n", "top", "left")
     assert rows(got, "id", "k", "top") == rows(want, "id", "k", "top")
+    both = scale.heavy_light_join(facts, totals, ["k"], "n", "top", "left", same_nulls=True)
+    nulls = {r.top for r in both.filter("k is null").collect()}
+    assert nulls == {r.top for r in totals.filter("k is null").collect()}
     inner = scale.heavy_light_join(facts, totals, ["k"], "n", "top")
     assert rows(inner, "id", "top") == rows(want.filter("top is not null"), "id", "top")
 
@@ -75,6 +78,10 @@ def test_exact_median(skewed):
     want = odd.groupBy("k").agg(F.median("x").alias("m")).collect()
     got = scale.exact_median(odd, ["k"], "x", "m").collect()
     assert {r.k: pytest.approx(r.m) for r in want} == {r.k: r.m for r in got}
+    # Mostly one value, and a far outlier.
+    flat = skewed.withColumn("x", F.when(F.col("id") == 0, 1e12).otherwise(F.when(F.col("v") < 7, 1.0).otherwise(F.col("at"))))
+    want = flat.groupBy("k").agg(F.median("x").alias("m")).collect()
+    assert {r.k: r.m for r in scale.exact_median(flat, ["k"], "x", "m").collect()} == {r.k: r.m for r in want}
 
 
 def test_each_keeps_nulls_and_drops_empty(spark):
