@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +43,11 @@ def is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
 
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="folioflow-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, named by the cluster in spark.checkpoint.dir.
 
@@ -49,12 +55,10 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
-        return folder
+        return folder.rstrip("/")
     if not is_local(spark):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="folioflow-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _own_folder()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
