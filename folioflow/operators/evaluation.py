@@ -295,13 +295,14 @@ def wer(pairs: DataFrame) -> DataFrame:
 # --- language model by counts --------------------------------------------------------
 
 
-def _bigrams(df: DataFrame, key: str, text: str) -> DataFrame:
+def _bigrams(df: DataFrame, key: str, text: str, with_end: bool = False) -> DataFrame:
+    """Rows (_id, w1, w2); ``with_end`` adds the last word of a text with a null after it."""
     toks = df.select(F.col(key).alias("_id"), words(F.lower(text)).alias("_toks"))
-    n = F.greatest(F.size("_toks") - 1, F.lit(0))
-    grams = F.zip_with(
-        F.slice("_toks", F.lit(1), n), F.slice("_toks", F.lit(2), n),
-        lambda a, b: F.struct(a.alias("w1"), b.alias("w2")),
-    )
+    first = F.col("_toks")
+    if not with_end:
+        first = F.slice("_toks", F.lit(1), F.greatest(F.size("_toks") - 1, F.lit(0)))
+    after = F.slice("_toks", F.lit(2), F.size("_toks"))
+    grams = F.zip_with(first, after, lambda a, b: F.struct(a.alias("w1"), b.alias("w2")))
     return each(toks, ["_id"], grams, "g").select("_id", "g.w1", "g.w2")
 
 
@@ -310,24 +311,22 @@ def ngram_perplexity(
 ) -> DataFrame:
     """Perplexity per row under add-k bigrams of the training rows.
 
-    The counts of the training rows are written once and reused. Every training bigram
-    gets its log probability first, so a scored bigram needs one join. Bigrams the training rows lack shrink to one row per (id, first word) before
-    they look up their context. Frequent keys take the heavy path of the join.
+    The counts of the training rows are written once and reused; last words are counted
+    too, so the first words are the whole vocabulary. Every training bigram gets its log
+    probability first, so a scored bigram needs one join. Bigrams the training rows lack
+    shrink to one row per (id, first word) before they look up their context. Frequent
+    keys take the heavy path of the join.
     """
     counts = stored(
-        _bigrams(train, key, text).groupBy("w1", "w2").agg(F.count("*").alias("n12")), "bigrams"
-    )
-    # Every word of a text with two words or more is part of a counted bigram.
-    lone = train.select(words(F.lower(text)).alias("_toks")).filter(F.size("_toks") == 1)
-    terms = each(counts, [], F.array("w1", "w2"), "w").unionByName(
-        lone.select(F.col("_toks")[0].alias("w"))
+        _bigrams(train, key, text, True).groupBy("w1", "w2").agg(F.count("*").alias("n12")), "bigrams"
     )
-    vocabulary = stored(terms.agg(F.count_distinct("w").alias("v")), "vocabulary").scalar()
-    unseen = (F.ln(F.lit(k)) - F.ln(F.col("n1") + k * vocabulary)).alias("lp0")
-    contexts = stored(
-        counts.groupBy("w1").agg(F.sum("n12").alias("n1")).select("w1", "n1", unseen), "contexts"
+    followed = F.sum(F.when(F.col("w2").isNotNull(), F.col("n12")).otherwise(F.lit(0)))
+    seen = stored(counts.groupBy("w1").agg(followed.alias("n1")), "contexts")
+    vocabulary = seen.agg(F.count("*").alias("v")).scalar()
+    contexts = seen.select(
+        "w1", "n1", (F.ln(F.lit(k)) - F.ln(F.col("n1") + k * vocabulary)).alias("lp0")
     )
-    known = counts.join(contexts, "w1").select(
+    known = counts.filter(F.col("w2").isNotNull()).join(contexts, "w1").select(
         "w1", "w2", "n12", (F.col("lp0") + F.ln(F.col("n12") + k) - F.ln(F.lit(k))).alias("lp")
     )
     scored = heavy_light_join(_bigrams(df, key, text), known, ["w1", "w2"], "n12", "lp", "left")
