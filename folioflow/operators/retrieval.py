@@ -31,6 +31,7 @@ SCORES_PER_SLICE = 262_144
 SCORE_DIGITS = 10
 
 Scorer = Callable[[pa.Array], np.ndarray]
+ARROW_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
 def _cosine_scorer(payloads: list) -> Scorer:
@@ -133,20 +134,18 @@ def _scored(
     ``questions`` and ``rows`` have two columns, the id and the payload array.
     """
     q_type = questions.schema[0].dataType.simpleString()
-    id_type = rows.schema[1 if rows.columns[1] == id_col else 0].dataType.simpleString()
+    id_type = rows.schema[0].dataType.simpleString()
     schema = f"query_id {q_type}, {id_col} {id_type}, score double"
+    kinds = pa.schema(
+        [("query_id", ARROW_TYPES[q_type]), (id_col, ARROW_TYPES[id_type]), ("score", pa.float64())]
+    )
 
-    def arrow(q_ids: list, q: np.ndarray, ids: list, s: np.ndarray, out_schema: pa.Schema):
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([q_ids[i] for i in q], out_schema.field(0).type),
-                pa.array(ids, out_schema.field(1).type),
-                pa.array(s, pa.float64()),
-            ],
-            schema=out_schema,
-        )
+    def arrow(q_ids: list, q: np.ndarray, ids: list, s: np.ndarray) -> pa.RecordBatch:
+        columns = ([q_ids[i] for i in q], ids, s)
+        arrays = [pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, schema=kinds)
 
-    def results(q_ids: list, scorer: Scorer, batches, out_schema: pa.Schema):
+    def results(q_ids: list, scorer: Scorer, batches):
         best = _Best(len(q_ids), k, floor) if k else None
         for batch in batches:
             for ids, payload in _slices(batch, len(q_ids)):
@@ -156,9 +155,9 @@ def _scored(
                 else:
                     r, q = np.nonzero(scores >= floor)
                     if len(r):
-                        yield arrow(q_ids, q, ids[r].tolist(), scores[r, q], out_schema)
+                        yield arrow(q_ids, q, ids[r].tolist(), scores[r, q])
         if best:
-            yield arrow(q_ids, *best.rows(), out_schema)
+            yield arrow(q_ids, *best.rows())
 
     load = questions.limit(MAX_QUESTIONS + 1).agg(
         F.count("*").alias("n"), F.coalesce(F.sum(F.size(questions.columns[1])), F.lit(0)).alias("items")
@@ -170,13 +169,7 @@ def _scored(
         q_ids, payloads = block.iloc[:, 0].tolist(), block.iloc[:, 1].tolist()
 
         def one_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scorer = make_scorer(payloads)
-            for batch in batches:
-                kinds = pa.schema(
-                    [("query_id", _arrow_type(q_type)), (id_col, batch.schema.field(0).type),
-                     ("score", pa.float64())]
-                )
-                yield from results(q_ids, scorer, _chain(batch, batches), kinds)
+            yield from results(q_ids, make_scorer(payloads), batches)
 
         return rows.mapInArrow(one_block, schema)
 
@@ -204,27 +197,14 @@ def _scored(
         if q.empty or r.empty:
             return pd.DataFrame({"query_id": [], id_col: [], "score": []})
         batch = pa.RecordBatch.from_pandas(r[[id_col, "payload"]], preserve_index=False)
-        kinds = pa.schema(
-            [("query_id", _arrow_type(q_type)), (id_col, batch.schema.field(0).type),
-             ("score", pa.float64())]
-        )
         scorer = make_scorer(q["payload"].tolist())
-        parts = list(results(q["query_id"].tolist(), scorer, [batch], kinds))
+        parts = list(results(q["query_id"].tolist(), scorer, [batch]))
         return pa.Table.from_batches(parts, kinds).to_pandas()
 
     grid = q_grid.groupBy("_block", "_cell").cogroup(r_grid.groupBy("_block", "_cell"))
     return grid.applyInPandas(one_cell, schema)
 
 
-def _chain(first, rest):
-    yield first
-    yield from rest
-
-
-def _arrow_type(name: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
-
-
 def best_k(hits: DataFrame, k: int, id_col: str) -> DataFrame:
     """Rank hits per question by score, then id, and keep k (pruned before the shuffle)."""
     w = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))

@@ -71,7 +71,8 @@ def pair_turns(
         F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"),
         F.lower(role).alias("_role"), F.col(text).alias("_text"),
     )
-    head = F.struct(F.col("_role").alias("role"), F.col("_text").alias("text"))
+    system_text = F.when(F.col("_role") == "system", F.col("_text"))
+    head = F.struct(F.col("_role").alias("role"), system_text.alias("text"))
     convs = t.groupBy("conv_id").agg(
         F.count("*").alias("turns"), F.max(F.when(F.col("turn") == 0, head)).alias("head")
     )

@@ -34,16 +34,17 @@ def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def run_to_files(df: DataFrame, label: str, on_batch: Callable | None = None) -> str:
+def run_to_files(df: DataFrame, label: str) -> str:
     """Run an append stream until its source is read; returns the parquet folder."""
     spark = df.sparkSession
     out = scratch_path(spark, label)
-    writer = df.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{out}-state")
-    if on_batch:
-        writer = writer.foreachBatch(lambda batch, n: on_batch(batch, n, out))
-    else:
-        writer = writer.format("parquet").option("path", out)
-    finish(writer.start())
+    query = (
+        df.writeStream.format("parquet")
+        .trigger(availableNow=True)
+        .option("checkpointLocation", f"{out}-state")
+        .start(out)
+    )
+    finish(query)
     return out
 
 
