@@ -59,11 +59,7 @@ def _spread_windows(width: int, parts: int):
         for p in np.flatnonzero(np.diff(edges)).tolist():
             chosen = slice(edges[p], edges[p + 1])
             out.append(_packed(p, ids, first[chosen], hashes[kept[chosen]]))
-        columns = list(zip(*out, strict=True))
-        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "ids", "counts", "hashes"]
-        )
+        return _batch(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -96,6 +92,12 @@ def _packed(part: int, ids: np.ndarray, owner: np.ndarray, hashes: np.ndarray) -
     return part, ids[owner[begins]].astype("<i8").tobytes(), counts.tobytes(), hashes.astype("<u8").tobytes()
 
 
+def _batch(blocks: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    columns = [pa.array(c, k) for c, k in zip(zip(*blocks, strict=True), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, ["part", "ids", "counts", "hashes"])
+
+
 def _unpacked(batch: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray]:
     ids, counts, hashes = (
         np.frombuffer(batch.column(c)[r].as_buffer(), t) for c, t in (("ids", "<i8"), ("counts", "<u4"), ("hashes", "<u8"))
@@ -103,55 +105,64 @@ def _unpacked(batch: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(ids, counts), hashes
 
 
-def _later_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document the windows that a smaller doc_id has too: doc_id, hashes.
+def _later_owners(buckets: int):
+    """The windows that a smaller doc_id has too, as blocks for buckets of documents.
 
     The blocks of a task come ordered by part; each part is judged by itself.
     """
 
-    def rows(ids: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
-        order = np.argsort(ids, kind="stable")
-        ids, hashes = ids[order], hashes[order]
-        begins = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        blobs = [h.tobytes() for h in np.split(hashes, begins[1:])]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids[begins], pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "hashes"]
-        )
-
-    def judged(held: list[tuple]) -> pa.RecordBatch | None:
+    def judged(held: list[tuple], settled: bool) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
         ids, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
-        later = _later(*_first_of_equal(hashes, ids), ids)
-        return rows(ids[later], hashes[later]) if len(later) else None
-
-    part, held = None, []
-    for batch in batches:
-        for r, p in enumerate(batch.column("part").to_pylist()):
-            ids, hashes = _unpacked(batch, r)
-            if p < 0:
-                yield rows(ids, hashes)
-                continue
-            if p != part and held:
-                if (found := judged(held)) is not None:
-                    yield found
-                held = []
-            part = p
-            held.append((ids, hashes))
-    if held and (found := judged(held)) is not None:
-        yield found
-
-
-def repeated_windows(docs: DataFrame, width: int = 13, parts: int | None = None) -> DataFrame:
-    """Windows to remove: doc_id, hashes (several rows for one document are possible).
-
-    ``parts`` is the number of hash parts, by default so many that a part stays small: one
-    for every 8 MB of text, never fewer than the shuffle partitions.
-    """
+        if not settled:
+            later = _later(*_first_of_equal(hashes, ids), ids)
+            ids, hashes = ids[later], hashes[later]
+        if not len(ids):
+            return
+        bucket = np.mod(ids, buckets)
+        order = np.lexsort((ids, bucket))
+        ids, hashes, bucket = ids[order], hashes[order], bucket[order]
+        begins = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        keys, owner = np.unique(ids, return_inverse=True)
+        spans = zip(begins.tolist(), [*begins[1:].tolist(), len(ids)], strict=True)
+        yield _batch([_packed(int(bucket[a]), keys, owner[a:z], hashes[a:z]) for a, z in spans])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+        for batch in batches:
+            for r, p in enumerate(batch.column("part").to_pylist()):
+                if p != part:
+                    yield from judged(held, part == -1)
+                    held = []
+                part = p
+                held.append(_unpacked(batch, r))
+                if p == -1:
+                    yield from judged(held, True)
+                    held = []
+        yield from judged(held, part == -1)
+
+    return run
+
+
+def _next_prime(n: int) -> int:
+    """The smallest prime from n on: ids in steps of any size then spread over all buckets."""
+    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
+def _parts(docs: DataFrame) -> int:
+    """One part for every 8 MB of text, never fewer than twice the shuffle partitions."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _next_prime(max(2 * partitions, size // PART_BYTES, 2))
+
+
+def repeated_windows(docs: DataFrame, width: int, parts: int) -> DataFrame:
+    """Windows to remove, as blocks: bucket (doc_id modulo ``parts``), ids, counts, hashes."""
     rows = own_columns(docs, "doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
-    spark = docs.sparkSession
-    if parts is None:
-        size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-        parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES, 1)
     blocks = rows.mapInArrow(_spread_windows(width, parts), _BLOCK)
     # Settled repeats (part -1) need no meeting; they are spread by their content.
     place = F.when(F.col("part") >= 0, F.col("part")).otherwise(F.pmod(F.crc32("hashes"), F.lit(parts)))
@@ -160,7 +171,8 @@ def repeated_windows(docs: DataFrame, width: int = 13, parts: int | None = None)
         .repartition("place")
         .sortWithinPartitions("part")
         .select("part", "ids", "counts", "hashes")
-        .mapInArrow(_later_owners, "doc_id long, hashes binary")
+        .mapInArrow(_later_owners(parts), _BLOCK)
+        .withColumnRenamed("part", "bucket")
     )
 
 
@@ -191,40 +203,78 @@ def without_substrings(docs: DataFrame, width: int = 13) -> DataFrame:
 
 
 def _dedup(docs: DataFrame, width: int, rest: Column) -> DataFrame:
+    """Documents meet their windows bucket by bucket, windows first."""
     rows = docs.select("doc_id", "text", rest.alias("rest"))
-    marks = (
-        repeated_windows(docs, width)
-        .groupBy(F.col("doc_id").alias("marked"))
-        .agg(F.collect_list("hashes").alias("found"))
+    parts = _parts(rows)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.crc32(F.coalesce("text", F.lit(""))))
+    texts = rows.select(
+        F.pmod(key, F.lit(parts)).cast("int").alias("bucket"), F.lit(1).alias("kind"), "doc_id", "text", "rest"
     )
-
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
-            for low, high in row_blocks(offsets):
-                part = batch.slice(low, high - low)
-                yield _removed(part, Words(data, offsets[low : high + 1]), width)
-
+    marks = repeated_windows(docs, width, parts).withColumn("kind", F.lit(0))
     fields = {f.name: f for f in rows.schema}
     shape = T.StructType([fields["doc_id"]])
     shape.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept_text", "string")
     shape.add(fields["rest"])
     return (
-        rows.join(marks, F.col("doc_id") == F.col("marked"), "left")
-        .select("doc_id", "text", "rest", "found")
-        .mapInArrow(remove, shape)
+        texts.unionByName(marks, allowMissingColumns=True)
+        .repartition("bucket")
+        .sortWithinPartitions("bucket", "kind")
+        .mapInArrow(_remove(width), shape)
     )
 
 
-def _removed(batch: pa.RecordBatch, words: Words, width: int) -> pa.RecordBatch:
+class _Marks:
+    """Windows to remove from the documents of one bucket."""
+
+    def __init__(self) -> None:
+        self.blocks: list[tuple] = []
+        self.ids = np.zeros(0, np.int64)
+        self.hashes = np.zeros(0, np.uint64)
+
+    def settle(self) -> None:
+        if self.blocks:
+            self.ids, self.hashes = (np.concatenate(x) for x in zip(*self.blocks, strict=True))
+            order = np.argsort(self.ids)
+            self.ids, self.hashes, self.blocks = self.ids[order], self.hashes[order], []
+
+    def of(self, doc_id: int | None) -> np.ndarray:
+        if doc_id is None:
+            return self.hashes[:0]
+        low, high = np.searchsorted(self.ids, [doc_id, doc_id + 1])
+        return self.hashes[low:high]
+
+
+def _remove(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, marks = None, _Marks()
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "kind")])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if low == high:
+                    continue
+                if keys[0, low] != bucket:
+                    bucket, marks = keys[0, low], _Marks()
+                part = batch.slice(low, high - low)
+                if keys[1, low] == 0:
+                    marks.blocks += [_unpacked(part, r) for r in range(part.num_rows)]
+                    continue
+                marks.settle()
+                data, offsets = text_bytes(part.column("text"))
+                for a, z in row_blocks(offsets):
+                    yield _removed(part.slice(a, z - a), Words(data, offsets[a : z + 1]), width, marks)
+
+    return run
+
+
+def _removed(batch: pa.RecordBatch, words: Words, width: int, marks: _Marks) -> pa.RecordBatch:
     counts = words.counts()
     gone = np.zeros(len(words.start) + 1, np.int32)
-    marks = batch.column("found")
-    if marks.null_count < len(marks):
+    found = {r: m for r, k in enumerate(batch.column("doc_id").to_pylist()) if len(m := marks.of(k))}
+    if found:
         row, first, hashes = words.windows(width)
         edges = np.searchsorted(row, np.arange(len(counts) + 1))
-        for r in np.flatnonzero(marks.is_valid().to_numpy(zero_copy_only=False)).tolist():
-            marked = np.frombuffer(b"".join(marks[r].as_py()), "<u8")
+        for r, marked in found.items():
             here = slice(edges[r], edges[r + 1])
             begin = first[here][np.isin(hashes[here], marked)]
             gone[begin] += 1
