@@ -21,6 +21,8 @@ _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _WORD = (~_SPACE).astype(np.uint8)
+# Letters, digits and all of a multi-byte character; the other bytes end a word.
+LETTERS = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)], np.uint8)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -88,11 +90,13 @@ def row_blocks(offsets: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[i
 class Words:
     """Words of a range of rows: hash, byte range, and the first word of each row."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> None:
+    def __init__(
+        self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, inside: np.ndarray = _WORD
+    ) -> None:
         base = int(offsets[0])
         self.data = data[base : int(offsets[-1])]
         self.rows = offsets - base
-        inside = _WORD[self.data]
+        inside = inside[self.data]
         cuts = np.unique(self.rows[(self.rows > 0) & (self.rows < len(self.data))])
         before, after = np.zeros_like(inside), np.zeros_like(inside)
         if len(inside):
