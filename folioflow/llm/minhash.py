@@ -27,8 +27,8 @@ ROWS, BANDS = 6, 40
 HASHES = ROWS * BANDS
 BITS = 2
 LONGS = -(-HASHES * BITS // 64)
-MARGIN = 0.15  # five standard deviations of the estimate at a similarity of 0.8
-ASKED = 16  # candidate pairs of two components that are tested at a time
+MARGIN = 0.13  # over four standard deviations of the estimate at a similarity of 0.8
+ASKED = 256  # candidate pairs of two components that are tested first; then eight times as many
 
 _rng = np.random.Generator(np.random.PCG64(411))
 _TIMES = _rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -212,44 +212,47 @@ def _components_of(rows: DataFrame, classes: DataFrame, width: int, percent: int
         stars.groupBy("rep").agg(F.max(F.struct(F.col("shared"), (-F.col("hub")).alias("hub"))).alias("best"))
     ).select(F.least("rep", -F.col("best.hub")).alias("a"), F.greatest("rep", -F.col("best.hub")).alias("b"))
     tested = verified(likeliest.distinct(), "verified")
-    found = components(tested.filter("linked"))
-    while True:
-        # Members of groups in which more than one component is left.
-        labels = written(found, "labels")
-        placed = members.join(labels, F.col("rep") == F.col("node"), "left").select(
-            "band", "rep", F.coalesce("component", "rep").alias("component")
+    tested = tested.filter("linked").select("a", "b")
+    labels = written(components(tested), "labels")
+    # Candidates in different components, from the groups in which more than one is left.
+    placed = members.join(labels, F.col("rep") == F.col("node"), "left").select(
+        "band", "rep", F.coalesce("component", "rep").alias("component")
+    )
+    mixed = written(
+        placed.groupBy("band")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .filter("low < high"),
+        "mixed",
+    ).select("band")
+    open_members = written(placed.join(mixed, "band").join(slim, "rep"), "open")
+    x, y = open_members.alias("x"), open_members.alias("y")
+    cross = (
+        x.join(
+            y,
+            (F.col("x.band") == F.col("y.band"))
+            & (F.col("x.component") < F.col("y.component"))
+            & _may_reach("x", "y", percent),
         )
-        mixed = written(
-            placed.groupBy("band")
-            .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-            .filter("low < high"),
-            "mixed",
-        ).select("band")
-        open_members = written(placed.join(mixed, "band").join(slim, "rep"), "open")
-        x, y = open_members.alias("x"), open_members.alias("y")
-        cross = (
-            x.join(
-                y,
-                (F.col("x.band") == F.col("y.band"))
-                & (F.col("x.component") < F.col("y.component"))
-                & _may_reach("x", "y", percent),
-            )
-            .select(
-                F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"),
-                F.col("x.component").alias("p"), F.col("y.component").alias("q"),
-            )
-            .groupBy("a", "b", "p", "q").agg(F.count("*").alias("shared"))
-            .join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+        .groupBy("a", "b").agg(F.count("*").alias("shared"))
+    )
+    # Those with most shared bands of each two components first; once these are one, the rest needs no test.
+    left, asked = written(cross, "cross"), ASKED
+    while left.limit(1).count():
+        of = [labels.select(F.col("node").alias(k), F.col("component").alias(f"_{k}")) for k in ("a", "b")]
+        sides = (
+            left.join(of[0], "a", "left").join(of[1], "b", "left")
+            .withColumn("p", F.coalesce("_a", "a")).withColumn("q", F.coalesce("_b", "b"))
+            .filter("p <> q")
         )
-        first = W.partitionBy("p", "q").orderBy(F.desc("shared"), "a", "b")
-        asked = cross.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= ASKED).select("a", "b").distinct()
-        asked = written(asked, "asked")
-        if asked.limit(1).count() == 0:
-            return labels
-        more = verified(asked, "verified")
-        tested = tested.unionByName(more)
+        first = W.partitionBy(F.least("p", "q"), F.greatest("p", "q")).orderBy(F.desc("shared"), "a", "b")
+        ranked = written(sides.select("a", "b", "shared", F.row_number().over(first).alias("r")), "ranked")
+        more = verified(ranked.filter(F.col("r") <= asked).select("a", "b"), "verified")
+        tested = tested.unionByName(more.filter("linked").select("a", "b"))
         if more.filter("linked").limit(1).count():
-            found = components(tested.filter("linked").select("a", "b"))
+            labels = written(components(tested), "labels")
+        left, asked = ranked.filter(F.col("r") > asked).select("a", "b", "shared"), asked * 8
+    return labels
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
