@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 MOST_RANGES = 100_000
 
 

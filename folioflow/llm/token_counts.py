@@ -102,19 +102,27 @@ def lowered(text: str) -> str:
 
 
 class _Cache(dict):
-    """Values by key, computed when missing; long keys are not kept."""
+    """Values by key, computed when missing; long keys are not kept.
+
+    A full cache becomes the older half, from which keys that are asked for come back; the
+    half before it goes.
+    """
 
     def __init__(self, compute) -> None:
         self.compute = compute
+        self.older: dict = {}
 
     def __missing__(self, key):
-        value = self.compute(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(key) <= CACHED_CHARS:
             self[key] = value
         return value
 
     def trim(self) -> None:
         if len(self) > CACHE_ENTRIES:
+            self.older = dict(self)
             self.clear()
 
 

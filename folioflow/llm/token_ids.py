@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+import sys
+from array import array
 from functools import lru_cache
 
-import numpy as np
 import regex
 from tokenizers import Tokenizer
 
@@ -46,7 +47,7 @@ class Encoder:
         self.chunk_ids = _Cache(self._dropping if self.drops_space else self._spaced)
 
     def encode_whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _little(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -82,12 +83,19 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         symbols = word if word.isascii() and word.isalnum() else self._symbols(word)
-        return np.array([t.id for t in self.model.tokenize(symbols)], "<u4").tobytes()
+        return _little([t.id for t in self.model.tokenize(symbols)])
 
     def _symbols(self, word: str) -> str:
         return word.encode("utf-8").decode("latin-1").translate(self.symbols)
 
 
+def _little(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class _Irregular(Exception):
     """A chunk whose ids depend on its neighbours."""
 
