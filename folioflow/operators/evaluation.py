@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import ngrams, overlap_share, strip, token_set, words
+from folioflow.operators.joins import set_pairs
 from folioflow.operators.aggregates import mean_scores
 from folioflow.operators.scale import each, heavy_light_join
 from folioflow.session import stored
@@ -422,31 +423,26 @@ def validate_response(answers: DataFrame, hits: DataFrame, similarity: str | Non
 def citation_consistency(sets: DataFrame, group: str) -> DataFrame:
     """Mean Jaccard over all answer pairs of a group that both cite something.
 
-    ``sets`` comes from ``citation_sets``: at most 1023 rows per group, so the pair sum
-    runs inside one row and no pair is ever emitted. No pair gives 0.
+    ``sets`` comes from ``citation_sets``. Pairs that share a citation are summed by
+    ``set_pairs``, all others count 0. A group without a pair gives 0.
     """
-    rows = sets.groupBy(group).agg(
-        F.sum("answers").alias("answers"),
-        F.collect_list(F.struct("citation_mask", F.col("answers").alias("n"))).alias("_sets"),
+    rows = sets.groupBy(group).agg(F.sum("answers").alias("answers"))
+    summed = (
+        set_pairs(sets, group)
+        .groupBy(F.col(group).alias("_of"))
+        .agg(F.sum(F.col("pairs") * F.col("jaccard")).alias("_sum"))
+    )
+    pairs = F.col("answers") * (F.col("answers") - 1) / 2
+    mean = F.when(pairs > 0, F.coalesce("_sum", F.lit(0.0)) / pairs).otherwise(F.lit(0.0))
+    return rows.join(summed, F.col(group).eqNullSafe(F.col("_of")), "left").select(
+        group, "answers", mean.alias("consistency")
     )
 
-    def with_others(a: Column) -> Column:
-        def weigh(acc: Column, b: Column) -> Column:
-            shared = F.bit_count(a["citation_mask"].bitwiseAND(b["citation_mask"]))
-            union = F.bit_count(a["citation_mask"].bitwiseOR(b["citation_mask"]))
-            # A set with itself counts its own pairs n(n-1), with another n*m; both halves.
-            pairs = F.when(
-                a["citation_mask"] == b["citation_mask"], a["n"] * (a["n"] - 1)
-            ).otherwise(a["n"] * b["n"])
-            return acc + pairs * shared / union
-
-        return F.aggregate("_sets", F.lit(0.0), weigh)
 
-    total = F.aggregate("_sets", F.lit(0.0), lambda acc, a: acc + with_others(a))
-    pairs = F.col("answers") * (F.col("answers") - 1)
-    return rows.select(
-        group, "answers", F.when(pairs > 0, total / pairs).otherwise(F.lit(0.0)).alias("consistency")
-    )
+def refused_questions(hits: DataFrame) -> DataFrame:
+    """Questions that ``generate_citations`` refuses: query_id and error, one row each."""
+    blank = F.col("question").isNull() | (strip("question") == "")
+    return hits.filter(blank).select("query_id").distinct().withColumn("error", F.lit("Query cannot be empty"))
 
 
 def generate_citations(
@@ -454,7 +450,8 @@ def generate_citations(
 ) -> DataFrame:
     """Citation rows per question: skip empty texts, merge equal openings, keep the first.
 
-    ``hits`` holds (query_id, question, rank, source, chunk_text).
+    ``hits`` holds (query_id, question, rank, source, chunk_text). Empty questions get no
+    citations; ``refused_questions`` lists them.
     """
     if limit is not None and limit < 0:
         raise ValueError("Limit must be a non-negative integer")

@@ -9,9 +9,13 @@ from folioflow.functions.text import content_hash
 
 
 def new_only(src: DataFrame, stored: DataFrame, text: str = "text", doc_hash: str = "doc_hash") -> DataFrame:
-    """Source rows whose content hash is not stored yet; ``stored`` has a hash column."""
+    """Source rows whose content hash is not stored yet; ``stored`` has a hash column.
+
+    A null text has a null hash; one that is stored already is not new either.
+    """
+    known = stored.select(F.col(doc_hash).alias("_known"))
     return src.withColumn(doc_hash, content_hash(text)).join(
-        stored.select(doc_hash), doc_hash, "left_anti"
+        known, F.col(doc_hash).eqNullSafe(F.col("_known")), "left_anti"
     )
 
 
@@ -82,15 +86,14 @@ def citation_integrity(
 def citation_sets(df: DataFrame, group: str, citations: str) -> DataFrame:
     """Distinct citation sets per group with the number of answers that have them.
 
-    Valid citations are 1 to 10, so a set is a bit mask and a group has at most 1023
-    distinct non-empty sets however many answers it holds.
+    A set is the sorted array of an answer's distinct citations, of any number; answers
+    that cite nothing have none.
     """
-    valid = F.filter(F.array_distinct(citations), lambda n: n.between(1, 10))
-    mask = F.aggregate(valid, F.lit(0), lambda acc, n: acc + F.pow(F.lit(2), n).cast("int"))
+    cited = F.array_sort(F.array_distinct(F.array_compact(F.col(citations))))
     return (
-        df.withColumn("citation_mask", mask)
-        .filter(F.col("citation_mask") > 0)
-        .groupBy(group, "citation_mask")
+        df.withColumn("citation_set", cited)
+        .filter(F.size("citation_set") > 0)
+        .groupBy(group, "citation_set")
         .agg(F.count("*").alias("answers"))
     )
 
@@ -100,29 +103,23 @@ def set_pairs(sets: DataFrame, group: str) -> DataFrame:
 
     ``pairs`` counts the answer pairs behind a row; equal sets pair with themselves.
     Pairs of answers sharing no citation have Jaccard 0 and make no row. Sets meet on
-    (group, lowest shared citation); a group has at most 1023 sets.
+    (group, lowest shared citation), so a pair is made once.
     """
-    bits = F.filter(
-        F.sequence(F.lit(1), F.lit(10)),
-        lambda b: F.col("citation_mask").bitwiseAND(F.pow(F.lit(2), b).cast("int")) != 0,
-    )
-    keyed = sets.select(group, "citation_mask", "answers", F.explode(bits).alias("_bit"))
+    keyed = sets.select(group, "citation_set", "answers", F.explode("citation_set").alias("_cited"))
     right = keyed.select(
-        group, "_bit",
-        F.col("citation_mask").alias("other_mask"), F.col("answers").alias("other_answers"),
+        F.col(group).alias("_of"), F.col("_cited").alias("_other_cited"),
+        F.col("citation_set").alias("other_set"), F.col("answers").alias("other_answers"),
     )
-    shared = F.col("citation_mask").bitwiseAND(F.col("other_mask"))
-    low_bit = F.pow(F.lit(2), F.col("_bit")).cast("int")
-    met = keyed.join(right, [group, "_bit"]).filter(
-        (F.col("citation_mask") <= F.col("other_mask"))
-        & (shared.bitwiseAND(low_bit - 1) == 0)
-    )
+    shared = F.array_intersect("citation_set", "other_set")
+    # Arrays are ordered item by item, so each two sets meet in one direction only.
+    met = keyed.join(
+        right, F.col(group).eqNullSafe(F.col("_of")) & (F.col("_cited") == F.col("_other_cited"))
+    ).filter((F.col("citation_set") <= F.col("other_set")) & (F.array_min(shared) == F.col("_cited")))
     pairs = F.when(
-        F.col("citation_mask") == F.col("other_mask"),
+        F.col("citation_set") == F.col("other_set"),
         F.expr("answers * (answers - 1) div 2"),
     ).otherwise(F.col("answers") * F.col("other_answers"))
-    union = F.col("citation_mask").bitwiseOR(F.col("other_mask"))
+    union = F.size("citation_set") + F.size("other_set") - F.size(shared)
     return met.withColumn("pairs", pairs).filter(F.col("pairs") > 0).select(
-        group, "citation_mask", "other_mask", "pairs",
-        (F.bit_count(shared) / F.bit_count(union)).alias("jaccard"),
-    )
+        group, "citation_set", "other_set", "pairs", (F.size(shared) / union).alias("jaccard")
+    )

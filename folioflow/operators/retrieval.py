@@ -85,6 +85,7 @@ class _Best:
         self.ids: np.ndarray | None = None
 
     def push(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        scores = np.where(np.isnan(scores), -np.inf, scores)
         by_id = np.argsort(ids, kind="stable")
         ids, scores = ids[by_id], scores[by_id]
         peak = scores.max(axis=0)
@@ -211,6 +212,22 @@ def best_k(hits: DataFrame, k: int, id_col: str) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def comparable(questions: DataFrame, vectors: DataFrame, vector: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of both sides whose vectors can be compared: finite, and of the questions' usual length.
+
+    ``vectorstore.vector_health`` reports the others.
+    """
+
+    def finite(df: DataFrame) -> DataFrame:
+        odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        return df.filter(F.col(vector).isNotNull() & ~odd)
+
+    asked = finite(questions)
+    length = asked.groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), "n").first()
+    n = length["n"] if length else 0
+    return asked.filter(F.size(vector) == n), finite(vectors).filter(F.size(vector) == n)
+
+
 def knn(
     questions: DataFrame,
     vectors: DataFrame,
@@ -220,9 +237,10 @@ def knn(
     vector: str = "embedding",
 ) -> DataFrame:
     """Exact k nearest rows by cosine: (query_id, id, score, rank)."""
+    questions, vectors = comparable(questions, vectors, vector)
     found = _scored(
         questions.select(F.col(query_id).alias("query_id"), vector),
-        vectors.select(id_col, vector).filter(F.col(vector).isNotNull()),
+        vectors.select(id_col, vector),
         id_col, _cosine_scorer, k, -2.0,
     )
     return best_k(found, k, id_col)
@@ -237,9 +255,10 @@ def score_pairs(
     vector: str = "embedding",
 ) -> DataFrame:
     """All (question, row) pairs with a cosine of at least ``min_score``; others are never made."""
+    questions, vectors = comparable(questions, vectors, vector)
     return _scored(
         questions.select(F.col(query_id).alias("query_id"), vector),
-        vectors.select(id_col, vector).filter(F.col(vector).isNotNull()),
+        vectors.select(id_col, vector),
         id_col, _cosine_scorer, None, min_score,
     )
 

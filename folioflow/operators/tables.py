@@ -35,23 +35,37 @@ def dedupe_queries(df: DataFrame, keys: Sequence[str], query: str = "query") ->
 
 
 def drop_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per content hash, that of the smallest id.
+    """One row per content hash, that of the smallest id; null texts are one content.
 
-    Only (hash, id) is aggregated and joined, and a text with very many copies is spread
-    over tasks. The texts themselves move only if the ids to drop are too many to
-    broadcast.
+    An id with several contents keeps each that is its content's first; a row repeated
+    with its id stays once. Only (hash, id) is aggregated and joined, and a text with very
+    many copies is spread over tasks. Texts move only for rows whose (hash, id) repeats, or
+    if the pairs to drop are too many to broadcast.
     """
-    ids = df.select(content_hash(text).alias("doc_hash"), key)
+    hashed = df.withColumn("doc_hash", content_hash(text))
+    content = F.coalesce("doc_hash", F.lit("")).alias("_content")
+    ids = hashed.select(content, key)
     copies = (
-        ids.groupBy("doc_hash")
+        ids.groupBy("_content")
         .agg(F.min(key).alias("_first"), F.count("*").alias("_n"))
         .filter(F.col("_n") > 1)
     )
-    extra = heavy_light_join(ids, copies, ["doc_hash"], "_n", "_first").filter(
-        F.col(key) != F.col("_first")
+    extra = heavy_light_join(ids, copies, ["_content"], "_n", "_first").filter(
+        ~F.col(key).eqNullSafe(F.col("_first"))
     )
-    kept = df.join(extra.select(key), key, "left_anti")
-    return kept.withColumn("doc_hash", content_hash(text))
+    keyed = hashed.withColumn("_content", content)
+    kept = _without(keyed, extra.select("_content", key), key)
+    # The smallest (hash, id) may itself occur several times.
+    repeated = ids.groupBy("_content", key).agg(F.count("*").alias("_n")).filter(F.col("_n") > 1)
+    once = _without(kept, repeated, key)
+    again = _without(kept, repeated, key, "left_semi").dropDuplicates(["_content", key])
+    return once.unionByName(again).drop("_content")
+
+
+def _without(rows: DataFrame, pairs: DataFrame, key: str, how: str = "left_anti") -> DataFrame:
+    """Rows whose (content, id) is not among the pairs, a null id like any other."""
+    named = pairs.select(F.col("_content").alias("_c"), F.col(key).alias("_k"))
+    return rows.join(named, (F.col("_content") == F.col("_c")) & F.col(key).eqNullSafe(F.col("_k")), how)
 
 
 def idempotent_load(stored: DataFrame, src: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

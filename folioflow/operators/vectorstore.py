@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.text import words
 from folioflow.functions.vectors import l2_norm, l2_normalize
-from folioflow.operators.retrieval import SCORE_DIGITS, _scored, best_k
+from folioflow.operators.retrieval import SCORE_DIGITS, _scored, best_k, comparable
 
 
 def normalize_vectors(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -93,9 +93,10 @@ def ann(
     Candidates are scored inside the scan and cut to k per question and task, so a cell
     that holds much of the table makes no pair rows.
     """
+    questions, vectors = comparable(questions, vectors, vector)
     found = _scored(
         questions.select(F.col(query_id).alias("query_id"), vector),
-        vectors.select(id_col, vector).filter(F.col(vector).isNotNull()),
+        vectors.select(id_col, vector),
         id_col, partial(_lsh_scorer, tables=tables, bits=bits, seed=seed), k, -2.0,
     )
     return best_k(found, k, id_col)

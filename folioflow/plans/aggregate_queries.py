@@ -234,12 +234,12 @@ def log_summary(spark, folder):
     """WITH p AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS position FROM events)
        SELECT position, coalesce(max(value) FILTER (event_type = 'click'), 0) AS click,
          coalesce(max(value) FILTER (event_type = 'view'), 0) AS view,
-         coalesce(max(value) FILTER (event_type = 'error'), 0) AS error FROM p
-       WHERE event_type IN ('click', 'view', 'error') GROUP BY 1""",
+         coalesce(max(value) FILTER (event_type = 'error'), 0) AS error,
+         coalesce(max(value) FILTER (event_type = 'purchase'), 0) AS purchase,
+         coalesce(max(value) FILTER (event_type = 'signup'), 0) AS signup FROM p GROUP BY 1""",
 )
 def zip_history(spark, folder):
-    kinds = ["click", "view", "error"]
-    rows = log(spark, folder).filter(F.col("event_type").isin(kinds))
+    kinds = ["click", "view", "error", "purchase", "signup"]
     return agg.zip_history(
-        rows, "event_type", "value", kinds, F.date_trunc("hour", "ts"), [F.asc("ts"), F.asc("event_id")]
+        log(spark, folder), "event_type", "value", kinds, F.date_trunc("hour", "ts"), [F.asc("ts"), F.asc("event_id")]
     )

@@ -29,13 +29,11 @@ def keyword_search(spark, folder):
 
 @query(
     "above_threshold",
-    f"""WITH {q.CENTROIDS}, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
-          FROM scored QUALIFY rank <= 50)
-        SELECT query_id, vec_id, round(score, 6) AS score FROM top WHERE score >= 0.3""",
+    f"""WITH {q.CENTROIDS} SELECT query_id, vec_id, round(score, 6) AS score FROM scored WHERE score >= 0.3""",
 )
 def above_threshold(spark, folder):
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
-    hits = retrieval.knn(centroids(spark, folder), vectors, k=50)
+    hits = retrieval.score_pairs(centroids(spark, folder), vectors, 0.0)
     return retrieval.above_threshold(hits, 0.3).select("query_id", "vec_id", r6("score").alias("score"))
 
 

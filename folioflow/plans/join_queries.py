@@ -94,9 +94,9 @@ def eval_pairs(spark, folder):
 
 # Answers get two citation marks, taken from their length and position.
 MARKED = """
-    marked AS (SELECT role, conv_id, turn, text || ' [' || (length(text) % 5 + 1) || '] (' || (turn % 3 + 1) || ')' AS answer
+    marked AS (SELECT role, conv_id, turn, text || ' [' || (length(text) % 15 + 1) || '] (' || (turn % 3 + 1) || ')' AS answer
                FROM conversations),
-    cited AS (SELECT role, conv_id, turn, list_sort(list_distinct([length(text) % 5 + 1, turn % 3 + 1])) AS c
+    cited AS (SELECT role, conv_id, turn, list_sort(list_distinct([length(text) % 15 + 1, turn % 3 + 1])) AS c
               FROM conversations)
 """
 
@@ -105,16 +105,16 @@ def marked_answers(spark, folder):
     return table(spark, folder, "conversations").select(
         "role", "conv_id", "turn",
         F.concat(
-            "text", F.lit(" ["), (F.length("text") % 5 + 1).cast("string"), F.lit("] ("),
+            "text", F.lit(" ["), (F.length("text") % 15 + 1).cast("string"), F.lit("] ("),
             (F.col("turn") % 3 + 1).cast("string"), F.lit(")"),
         ).alias("answer"),
     )
 
 
 def cited_sets(spark, folder):
-    """Citations of each answer per role; the marks of the invented text stay out."""
+    """Citations of each answer per role."""
     marks = evaluation.citation_numbers("answer")
-    cited = marked_answers(spark, folder).withColumn("citations", F.slice(marks, -2, 2))
+    cited = marked_answers(spark, folder).withColumn("citations", marks)
     return joins.citation_sets(cited, "role", "citations")
 
 
@@ -130,14 +130,7 @@ def cited_sets(spark, folder):
 def set_pairs(spark, folder):
     out = joins.set_pairs(cited_sets(spark, folder), "role")
 
-    def listed(mask: str):
-        bits = F.filter(
-            F.sequence(F.lit(1), F.lit(10)),
-            lambda b: F.col(mask).bitwiseAND(F.pow(F.lit(2), b).cast("int")) != 0,
-        )
-        return F.array_join(bits.cast("array<string>"), ",")
-
-    a, b = listed("citation_mask"), listed("other_mask")
+    a, b = (F.array_join(F.col(c).cast("array<string>"), ",") for c in ("citation_set", "other_set"))
     return out.select(
         "role", F.least(a, b).alias("set_a"), F.greatest(a, b).alias("set_b"), "pairs", r6("jaccard").alias("jaccard")
     )

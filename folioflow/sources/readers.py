@@ -14,8 +14,8 @@ from folioflow.functions.text import file_extension, file_name, preview
 
 # JSON fields looked at for the text of a document, in this order.
 TEXT_FIELDS = ("content", "text", "body", "data")
-# File types of the folder scan.
-TEXT_TYPES = (".txt", ".pdf", ".docx", ".md")
+# File types that hold plain text; PDF and DOCX are not decoded here.
+TEXT_TYPES = (".txt", ".md")
 # Fields a listing shows with a default.
 LISTING_FIELDS = ("source", "topic", "lob", "state", "added_at")
 
@@ -162,8 +162,8 @@ def read_conversations(
     )
     good = raw.filter(F.col("_bad").isNull()).drop("_bad")
     # The reader wants a real column next to the one for bad records.
-    unread = F.col("_bad").isNotNull() & F.col("conversations").isNull()
-    bad = raw.filter(unread).select("path", F.col("_bad").alias("raw"))
+    parsed = F.coalesce(F.size("conversations"), F.lit(-1)) >= -1
+    bad = raw.filter(F.col("_bad").isNotNull() & parsed).select("path", F.col("_bad").alias("raw"))
     return good, bad
 
 

@@ -91,11 +91,15 @@ def stream_upsert(documents: DataFrame, stored_path: str, text: str = "text") ->
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         hashed = batch.withColumn("doc_hash", content_hash(text))
-        first = hashed.groupBy("doc_hash").agg(F.min("doc_id").alias("doc_id"))
-        fresh = hashed.join(first, ["doc_hash", "doc_id"])
+        # A null text is a content like others, so it has a key of its own to meet by.
+        keyed = hashed.withColumn("_content", F.coalesce("doc_hash", F.lit("")))
+        first = keyed.groupBy("_content").agg(F.min("doc_id").alias("_first"))
+        fresh = keyed.join(first, "_content").filter(F.col("doc_id").eqNullSafe(F.col("_first")))
+        fresh = fresh.dropDuplicates(["_content"]).drop("_first", "_content")
         try:
             stored = spark.read.parquet(stored_path).filter(F.col("batch") != n)
-            fresh = fresh.join(stored.select("doc_hash"), "doc_hash", "left_anti")
+            known = stored.select(F.col("doc_hash").alias("_known"))
+            fresh = fresh.join(known, F.col("doc_hash").eqNullSafe(F.col("_known")), "left_anti")
         except Exception as error:  # the first batch finds no table
             if "PATH_NOT_FOUND" not in str(error):
                 raise
