@@ -166,7 +166,7 @@ class LimiterState:
 
 def rate_limit_anchored(
     log: DataFrame, key: str, ts: str, tie: str,
-    minute_limit: int = MINUTE_LIMIT, hour_limit: int = HOUR_LIMIT, tick_seconds: float = 1.0,
+    minute_limit: int = MINUTE_LIMIT, hour_limit: int = HOUR_LIMIT, tick_seconds: float = 1e-6,
 ) -> DataFrame:
     """Verdict per request with windows that start at a key's first request.
 
@@ -174,7 +174,7 @@ def rate_limit_anchored(
     key sends at most one row per tick to the sequential pass, however hot it is; that
     pass streams sorted rows and holds one state. Verdicts join back per (key, tick).
     """
-    micros = int(tick_seconds * 1_000_000)
+    micros = max(1, round(tick_seconds * 1_000_000))
     # The key as text that is never null, so that requests without a key share a limit too.
     who = F.concat(F.when(F.col(key).isNull(), "-").otherwise("+"), F.coalesce(F.col(key).cast("string"), F.lit("")))
     ticked = log.withColumn("_who", who).withColumn(

@@ -117,17 +117,17 @@ def rate_limit_aligned(spark, folder):
 # One request per step: minute count and reset, hour count and reset.
 ANCHORED = """
     WITH RECURSIVE e AS (
-      SELECT event_id, event_type, floor(epoch_us(ts) / 1e6)::BIGINT AS t,
+      SELECT event_id, event_type, epoch_us(ts)::BIGINT AS t,
         row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
     s AS (
-      SELECT event_type, 0::BIGINT AS n, 0::BIGINT AS event_id, 0 AS mc, t + 60 AS mr, 0 AS hc, t + 3600 AS hr,
+      SELECT event_type, 0::BIGINT AS n, 0::BIGINT AS event_id, 0 AS mc, t + 60000000 AS mr, 0 AS hc, t + 3600000000 AS hr,
         false AS md, false AS hd FROM e WHERE n = 1
       UNION ALL
       SELECT event_type, n, event_id,
         CASE WHEN t > mr THEN 0 ELSE mc END + CASE WHEN md OR hd THEN 0 ELSE 1 END,
-        CASE WHEN t > mr THEN t + 60 ELSE mr END,
+        CASE WHEN t > mr THEN t + 60000000 ELSE mr END,
         CASE WHEN NOT md AND t > hr THEN 0 ELSE hc END + CASE WHEN md OR hd THEN 0 ELSE 1 END,
-        CASE WHEN NOT md AND t > hr THEN t + 3600 ELSE hr END, md, hd
+        CASE WHEN NOT md AND t > hr THEN t + 3600000000 ELSE hr END, md, hd
       FROM (SELECT *, NOT md AND t <= hr AND hc >= 3 AS hd
             FROM (SELECT e.event_type, e.n, e.event_id, e.t, s.mc, s.mr, s.hc, s.hr, e.t <= s.mr AND s.mc >= 1 AS md
                   FROM s JOIN e ON e.event_type = s.event_type AND e.n = s.n + 1)))

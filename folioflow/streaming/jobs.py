@@ -213,7 +213,7 @@ class _Limiter(StatefulProcessor):
 
 def stream_rate_limit(
     log: DataFrame, key: str, minute_limit: int = MINUTE_LIMIT, hour_limit: int = HOUR_LIMIT,
-    delay: str = "10 minutes", tick_seconds: float = 1.0,
+    delay: str = "10 minutes", tick_seconds: float = 1e-6,
 ) -> DataFrame:
     """Verdict per request, counters anchored at a key's first request.
 
@@ -221,7 +221,7 @@ def stream_rate_limit(
     orders the requests of one key and one micro-batch, so ``maxFilesPerTrigger`` bounds
     what it holds.
     """
-    at = F.floor(F.unix_micros("ts") / F.lit(int(tick_seconds * 1e6))) * tick_seconds
+    at = F.floor(F.unix_micros("ts") / F.lit(max(1, round(tick_seconds * 1e6)))) * tick_seconds
     rows = log.withWatermark("ts", delay).select("event_id", key, "ts", at.alias("at"))
     key_type = log.schema[key].dataType.simpleString()
     return rows.groupBy(key).transformWithStateInPandas(
