@@ -15,6 +15,9 @@ from folioflow.llm.token_counts import _Cache, byte_symbols, lowered
 # Fixed value: the word rule of byte-level vocabularies.
 BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+# Marks that are a word of their own after letters under either word rule.
+MARKS = frozenset(".,;:!?")
+
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers, equal to those of the library.
@@ -72,10 +75,22 @@ class Encoder:
         return b"".join(map(self.word_ids.__getitem__, self.words(text)))
 
     def _dropping(self, chunk: str) -> bytes:
-        return self._joined(lowered(chunk))
+        body = lowered(chunk)
+        plain = self._plain("", body)
+        return self._joined(body) if plain is None else plain
+
+    def _plain(self, space: str, chunk: str) -> bytes | None:
+        """Ids of most new chunks, which need no word rule: letters and perhaps a mark at the end."""
+        if chunk.isalpha():
+            return self.word_ids[space + chunk]
+        if chunk[-1:] in MARKS and chunk[:-1].isalpha():
+            return self.word_ids[space + chunk[:-1]] + self.word_ids[chunk[-1]]
+        return None
 
     def _spaced(self, chunk: str) -> bytes:
         """A chunk after a space, or one that begins with its line end."""
+        if (plain := self._plain(" ", chunk)) is not None:
+            return plain
         body = chunk.removeprefix("\n")
         if not body or body[0].isspace() or body[-1].isspace():
             raise _Irregular
