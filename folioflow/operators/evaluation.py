@@ -483,7 +483,10 @@ ROW_SCORES = ("rouge1", "rouge2", "rougeL", "rougeLsum", "meteor", "wer", "perpl
 
 
 def evaluate(pairs: DataFrame, train: DataFrame) -> DataFrame:
-    """All row scores per pair; the language model comes from ``train`` (doc_id, text)."""
+    """All row scores per pair; the language model comes from ``train`` (doc_id, text).
+
+    An answer of fewer than two words has no bigram, so its perplexity is null.
+    """
     edits = wer_rows(pairs).select(
         "pair_id",
         F.when(F.col("ref_words") > 0, F.col("edits") / F.col("ref_words")).otherwise(F.lit(0.0)).alias("wer"),
@@ -496,7 +499,6 @@ def evaluate(pairs: DataFrame, train: DataFrame) -> DataFrame:
         .join(meteor(pairs), "pair_id")
         .join(edits, "pair_id")
         .join(fluency, "pair_id", "left")
-        .na.fill(0.0, ["perplexity"])
     )
 
 
