@@ -1,10 +1,14 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, of toxic and of ordinary documents, are counted in Spark over all labelled
-documents of the training folds. A document's evidence is the difference of its log-likelihoods
+Two bigram models, of toxic and of ordinary documents, are counted in Spark over labelled
+documents of a training fold. A document's evidence is the difference of its log-likelihoods
 under the two, by its length. Rare expressions fall back on the share of distinct words a word
 follows: per class, and below that in both classes together, so that an expression seen too
 rarely to tell the classes apart says little.
+
+Words and bigrams go by 64-bit hashes. All that is counted stays in written tables that grow
+with the input. Only the most frequent expressions are sent to the tasks, to save the shuffle;
+the others meet the documents in a join, so that every expression has its own weight.
 """
 
 from __future__ import annotations
@@ -14,21 +18,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.logistic import Logistic
 from folioflow.llm.tables import own_columns, written
-from folioflow.llm.wordhash import LETTERS, Words, row_blocks, text_bytes
+from folioflow.llm.wordhash import LETTERS, Words, mix, row_blocks, text_bytes
 
 FOLDS = 3
 HELD_OUT = 1  # fold that never trains; of the others one gives counts, one the weighing of evidence
 COUNTS, WEIGHING = 0, 2
-WORDS = 1 << 18  # word numbers: hashes modulo this bound every table of the models
-BIGRAMS = 1 << 19  # bigrams kept by themselves, the most frequent; others fall back
+BEGIN = np.int64(0)  # the word before the first of a row
+HOT = 1 << 19  # expressions, at most, that are sent to the tasks: the most frequent; others are joined
+SIEVE = 1 << 18  # longs of the sieve that keeps most expressions without weight out of the join
 SAMPLE = 20_000  # labelled documents, at most, that the weighing of evidence is fitted on
 DISCOUNT = 3.0  # seen no more often than this in a class, an expression is left to what both classes share
 FLUSH = 2_000_000
+PARTS = 5  # additive parts of the evidence: in context, by word, the strong of each, the ordinary
 FEATURES = 6
 
 
@@ -38,38 +45,42 @@ def fold(doc_id: Column) -> Column:
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of a range of rows and the first of each row; words are runs of letters."""
+    """Word hashes of a range of rows and the first of each row; words are runs of letters."""
     words = Words(data, offsets, lower=True, inside=LETTERS)
-    return (words.hash % np.uint64(WORDS)).astype(np.int64), words.first
+    return words.hash.view(np.int64), words.first
 
 
-def _bigrams(numbers: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, previous word (WORDS at the beginning of a row) and word of every word."""
+def _bigrams(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, previous word (BEGIN at the beginning of a row) and bigram hash of every word."""
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    before = np.empty_like(numbers)
-    before[1:] = numbers[:-1]
-    begins = first[:-1][np.diff(first) > 0]
-    before[begins] = WORDS
-    return row, before, numbers
+    before = np.empty_like(words)
+    before[1:] = words[:-1]
+    before[first[:-1][np.diff(first) > 0]] = BEGIN
+    pair = mix(before.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) + words.view(np.uint64)
+    return row, before, mix(pair).view(np.int64)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bigrams of labelled texts, counted per class within a task."""
-    held: list[np.ndarray] = []
+    held: list[tuple] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
-        keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        toxic = (keys & 1) == 1
-        columns = [keys >> 1, np.where(toxic, 0, counts), np.where(toxic, counts, 0)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bigram", "ordinary", "toxic"])
+        bigram, before, word, toxic = (np.concatenate(x) for x in zip(*held, strict=True))
+        keys, at, which = np.unique(bigram, return_index=True, return_inverse=True)
+        n = np.bincount(which, minlength=len(keys))
+        of_toxic = np.bincount(which, toxic, len(keys)).astype(np.int64)
+        columns = [keys, before[at], word[at], n - of_toxic, of_toxic]
+        names = ["bigram", "before", "word", "ordinary", "toxic"]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
         for low, high in row_blocks(offsets):
-            row, before, word = _bigrams(*_tokens(data, offsets[low : high + 1]))
-            held.append(((before * (WORDS + 1) + word) << 1) | toxic[low + row])
+            words, first = _tokens(data, offsets[low : high + 1])
+            row, before, bigram = _bigrams(words, first)
+            held.append((bigram, before, words, toxic[low + row]))
             size += len(row)
             if size >= FLUSH:
                 yield flush()
@@ -80,118 +91,207 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class KneserNey:
-    """Tables of fixed size: word shares, weight of the fall-back, discounted bigram shares.
+    """Written tables of the models; nothing in them has a fixed size.
 
-    The first index of shares is the class: 0 ordinary, 1 toxic. The weight of what is held
-    back for the fall-back comes from both classes together: an expression that neither has
-    seen often then weighs the same in both.
+    ``words`` has the shares of every word seen, ``contexts`` the weight of the fall-back, and
+    ``weights`` what each word and each bigram that tells the classes apart adds to the parts
+    of the evidence. Class 0 is ordinary, 1 toxic. The weight of what is held back for the
+    fall-back comes from both classes together: an expression that neither has seen often then
+    weighs the same in both.
     """
 
-    share: np.ndarray
-    fallback: np.ndarray
-    bigrams: np.ndarray
-    direct: np.ndarray
+    words: DataFrame
+    contexts: DataFrame
+    weights: DataFrame
 
-    def evidence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Log-likelihood ratios of each row by its length, in context and by word; strong parts apart."""
-        numbers, first = _tokens(data, offsets)
-        row, before, word = _bigrams(numbers, first)
-        n = np.diff(first)
-        out = np.zeros((len(n), FEATURES))
-        if not len(row):
-            return out
-        shares = self.share[:, word]
-        ratio = np.log(shares[1] / shares[0])
-        mixed = self.fallback[before] * shares
-        if len(self.bigrams):
-            key = before * (WORDS + 1) + word
-            place = np.minimum(np.searchsorted(self.bigrams, key), len(self.bigrams) - 1)
-            mixed += np.where(self.bigrams[place] == key, self.direct[:, place], 0.0)
-        in_context = np.log(mixed[1] / mixed[0])
-        length = np.maximum(n, 1)
-
-        def each(values: np.ndarray) -> np.ndarray:
-            return np.bincount(row, values, len(n))
-
-        strong = np.maximum(ratio - 2.0, 0)
-        out[:, 0] = each(in_context) / length
-        out[:, 1] = each(ratio) / length
-        out[:, 2] = each(np.maximum(in_context - 2.0, 0)) / length
-        out[:, 3] = each(strong) / length
-        out[:, 4] = np.log1p(each(strong))
-        out[:, 5] = np.log1p(each(np.maximum(-1.0 - ratio, 0)))
-        return out
+    @property
+    def share(self) -> np.ndarray:
+        return self.words.select("share0", "share1").toPandas().to_numpy(float).T
 
+    @property
+    def fallback(self) -> np.ndarray:
+        return self.contexts.select("fallback").toPandas().to_numpy(float).ravel()
 
-def train_counts(labelled: DataFrame) -> KneserNey:
-    """Models of ``labelled`` (text, toxic 0 or 1). All counting is done by Spark.
+    @property
+    def bigrams(self) -> np.ndarray:
+        found = self.weights.filter("is_bigram").select("key").orderBy("key")
+        return found.toPandas()["key"].to_numpy(np.int64)
 
-    The driver gets tables of fixed size only: one row for each of ``WORDS`` word numbers as
-    word and as context, and the ``BIGRAMS`` most frequent bigrams.
-    """
-    shape = "bigram long, ordinary long, toxic long"
+
+def train_counts(labelled: DataFrame) -> KneserNey:
+    """Models of ``labelled`` (text, toxic 0 or 1). All counting is done by Spark."""
+    shape = "bigram long, before long, word long, ordinary long, toxic long"
+    classes = "ordinary", "toxic"
     grams = written(
-        labelled.select("text", "toxic").mapInArrow(_count, shape).groupBy("bigram").agg(
-            F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")
-        ),
+        labelled.select("text", "toxic")
+        .mapInArrow(_count, shape)
+        .groupBy("bigram", "before", "word")
+        .agg(*(F.sum(c).alias(c) for c in classes)),
         "bigrams",
+    )
+
+    def beyond(c: str) -> Column:
+        return F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))
+
+    counted = written(
+        grams.groupBy("word").agg(
+            *(F.count_if(F.col(c) > 0).alias(c) for c in classes),
+            F.count("*").alias("both"), F.sum(F.col("ordinary") + F.col("toxic")).alias("occurs"),
+        ),
+        "words",
     )
-    both, side = F.col("ordinary") + F.col("toxic"), F.lit(WORDS + 1)
-    # Frequent bigrams stand by themselves: the least count that leaves few enough.
-    sizes = grams.groupBy(F.least(both, F.lit(10_000)).alias("n")).agg(F.count("*").alias("k")).collect()
-    least, kept = 10_001, 0
-    for row in sorted(sizes, key=lambda r: -r["n"]):
-        if kept + row["k"] > BIGRAMS:
-            break
-        least, kept = row["n"], kept + row["k"]
-    words = (
-        grams.groupBy((F.col("bigram") % side).alias("word"))
-        .agg(*(F.count_if(F.col(c) > 0).alias(c) for c in ("ordinary", "toxic")), F.count("*").alias("both"))
-        .toPandas()
+    sums = counted.agg(
+        F.count("*").alias("kinds"), F.sum("both").alias("all"), F.sum(beyond("both")).alias("beyond"),
+        *(F.sum(c).alias(c) for c in classes),
+    ).first()
+    pooled = float(sums["all"] or 0)
+    held_back = max(1.0 - (sums["beyond"] or 0.0) / max(pooled, 1.0), 1e-6)
+    # All words never seen count as one more.
+    lowest = (F.col("both") + 0.5) / F.lit(pooled + 0.5 * (sums["kinds"] + 1))
+    words = counted.select(
+        "*",
+        *(
+            (beyond(c) / F.lit(max(float(sums[c] or 0), 1.0)) + F.lit(held_back) * lowest).alias(f"share{i}")
+            for i, c in enumerate(classes)
+        ),
+    ).withColumn("ratio", F.log(F.col("share1") / F.col("share0")))
+    contexts = grams.groupBy("before").agg(
+        *(F.sum(c).alias(f"own_{c}") for c in classes), F.sum(beyond("ordinary") + beyond("toxic")).alias("kept")
+    )
+    total = F.greatest(F.col("own_ordinary") + F.col("own_toxic"), F.lit(1))
+    contexts = written(
+        contexts.withColumn("fallback", F.greatest(1.0 - F.col("kept") / total, F.lit(1e-3))), "contexts"
     )
-    contexts = (
-        grams.groupBy(F.floor(F.col("bigram") / side).alias("context"))
-        .agg(*(F.sum(c).alias(c) for c in ("ordinary", "toxic")))
+
+    # A word or bigram that neither class has seen often weighs the same in both, and adds nothing:
+    # without one of its own, a bigram's evidence is that of its word.
+    often = (F.col("ordinary") > DISCOUNT) | (F.col("toxic") > DISCOUNT)
+    strong = F.greatest(F.col("ratio") - 2.0, F.lit(0.0))
+    none = F.lit(0.0)
+    by_word = words.filter(often).select(
+        F.col("word").alias("key"), F.col("occurs").alias("n"), F.lit(False).alias("is_bigram"),
+        F.col("ratio").alias("p0"), F.col("ratio").alias("p1"), strong.alias("p2"), strong.alias("p3"),
+        F.greatest(-1.0 - F.col("ratio"), none).alias("p4"),
+    )
+    mixed = [
+        F.col("fallback") * F.col(f"share{i}") + beyond(c) / F.greatest(F.col(f"own_{c}"), F.lit(1))
+        for i, c in enumerate(classes)
+    ]
+    in_context = F.log(mixed[1] / mixed[0])
+    by_bigram = (
+        grams.filter(often)
+        .join(words.select("word", "share0", "share1", "ratio"), "word")
+        .join(contexts, "before")
+        .select(
+            F.col("bigram").alias("key"), (F.col("ordinary") + F.col("toxic")).alias("n"),
+            F.lit(True).alias("is_bigram"), (in_context - F.col("ratio")).alias("p0"), none.alias("p1"),
+            (F.greatest(in_context - 2.0, none) - strong).alias("p2"), none.alias("p3"), none.alias("p4"),
+        )
+    )
+    return KneserNey(words, contexts, written(by_word.unionByName(by_bigram), "weights"))
+
+
+@dataclass
+class Frequent:
+    """The most frequent expressions, by key, and a sieve that all others pass."""
+
+    keys: np.ndarray
+    parts: np.ndarray
+    sieve: np.ndarray
+
+    def look_up(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Words and summed parts of each row; row, key and count of what is left to the join."""
+        words, first = _tokens(data, offsets)
+        row, _, bigrams = _bigrams(words, first)
+        n = np.diff(first)
+        row, keys = np.concatenate([row, row]), np.concatenate([words, bigrams])
+        parts = np.zeros((len(n), PARTS))
+        if len(self.keys):
+            place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            hit = self.keys[place] == keys
+            for i in range(PARTS):
+                parts[:, i] = np.bincount(row[hit], self.parts[i][place[hit]], len(n))
+            row, keys = row[~hit], keys[~hit]
+        bits = keys.view(np.uint64)
+        slot = (bits >> np.uint64(6)).astype(np.int64) & (SIEVE - 1)
+        maybe = (self.sieve[slot] >> (bits & np.uint64(63))) & np.uint64(1) == 1
+        row, keys = row[maybe], keys[maybe]
+        order = np.lexsort((keys, row))
+        row, keys = row[order], keys[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (keys[1:] != keys[:-1])
+        at = np.flatnonzero(new)
+        return n, parts, row[at], keys[at], np.diff([*at, len(row)])
+
+
+def _frequent(weights: DataFrame) -> tuple[Frequent, DataFrame]:
+    """At most HOT of the weights, the most frequent, and all the others as a table."""
+    names = [f"p{i}" for i in range(PARTS)]
+    levelled = weights.withColumn("level", F.floor(F.log2("n") * 16))
+    least, kept = 1 << 30, 0
+    for row in sorted(levelled.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        if kept + row["count"] > HOT:
+            break
+        least, kept = row["level"], kept + row["count"]
+    hot = levelled.filter(F.col("level") >= least).select("key", *names).toPandas()
+    order = np.argsort(hot["key"].to_numpy(np.int64))
+    rest = levelled.filter(F.col("level") < least).select("key", *names)
+    sieve = np.zeros(SIEVE, np.uint64)
+    slots = (
+        rest.groupBy(F.expr(f"shiftrightunsigned(key, 6) & {SIEVE - 1}L").alias("slot"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(key & 63L AS int)))").alias("bits"))
         .toPandas()
     )
-    frequent = grams.filter(both >= least).orderBy("bigram").toPandas()
-
-    pooled = np.zeros(WORDS)
-    place = words["word"].to_numpy(int)
-    pooled[place] = words["both"]
-    lowest = (pooled + 0.5) / (pooled.sum() + 0.5 * WORDS)
-    held_back = 1.0 - np.maximum(pooled - DISCOUNT, 0).sum() / max(pooled.sum(), 1.0)
-    bigrams = frequent["bigram"].to_numpy(np.int64)
-    of = bigrams // (WORDS + 1)
-    share, direct = np.empty((2, WORDS)), np.empty((2, len(bigrams)))
-    kept = np.zeros(WORDS + 1)
-    total = np.zeros(WORDS + 1)
-    at = contexts["context"].to_numpy(int)
-    total[at] = contexts["ordinary"] + contexts["toxic"]
-    for c, name in enumerate(("ordinary", "toxic")):
-        seen, own = np.zeros(WORDS), np.zeros(WORDS + 1)
-        seen[place] = words[name]
-        share[c] = np.maximum(seen - DISCOUNT, 0) / max(seen.sum(), 1.0) + max(held_back, 1e-6) * lowest
-        own[at] = contexts[name]
-        beyond = np.maximum(frequent[name].to_numpy(float) - DISCOUNT, 0)
-        direct[c] = beyond / np.maximum(own[of], 1.0)
-        kept += np.bincount(of, beyond, WORDS + 1)
-    fallback = np.maximum(1.0 - kept / np.maximum(total, 1.0), 1e-3)
-    return KneserNey(share, fallback, bigrams, direct)
-
-
-def _evidence(model) -> object:
-    names = [f"x{i}" for i in range(FEATURES)]
+    sieve[slots["slot"].to_numpy(np.int64)] = slots["bits"].to_numpy(np.int64).view(np.uint64)
+    parts = np.ascontiguousarray(hot[names].to_numpy(float)[order].T)
+    return Frequent(hot["key"].to_numpy(np.int64)[order], parts, sieve), rest
+
+
+def evidence(rows: DataFrame, model: KneserNey) -> DataFrame:
+    """``rows`` with ``text`` replaced by has_text and the features x0, x1, ... of every text.
+
+    Log-likelihood ratios by the length, in context and by word; strong parts apart.
+    """
+    frequent, rest = _frequent(model.weights)
+    sent = rows.sparkSession.sparkContext.broadcast(frequent)
+    carried = [f for f in rows.schema.fields if f.name != "text"]
+    names = [f"s{i}" for i in range(PARTS)]
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)
+    shape += ", uid long, has_text boolean, n_words long, " + ", ".join(f"{c} double" for c in names)
+    shape += ", keys array<long>, counts array<long>"
+    labels = [*(f.name for f in carried), "uid", "has_text", "n_words", *names, "keys", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
+            text = batch.column("text")
+            data, offsets = text_bytes(text)
             for low, high in row_blocks(offsets):
-                x = model.value.evidence(data, offsets[low : high + 1])
-                label = batch.column("toxic").slice(low, high - low)
-                yield pa.RecordBatch.from_arrays([label, *(pa.array(c) for c in x.T)], ["toxic", *names])
-
-    return run
+                n, parts, row, keys, counts = sent.value.look_up(data, offsets[low : high + 1])
+                begins = pa.array(np.searchsorted(row, np.arange(len(n) + 1)), pa.int32())
+                own = [batch.column(f.name).slice(low, high - low) for f in carried]
+                own += [pa.array(np.arange(uid, uid + len(n))), text.slice(low, high - low).is_valid(), pa.array(n)]
+                lists = [pa.ListArray.from_arrays(begins, pa.array(v, pa.int64())) for v in (keys, counts)]
+                yield pa.RecordBatch.from_arrays([*own, *map(pa.array, parts.T), *lists], labels)
+                uid += len(n)
+
+    looked = written(rows.mapInArrow(run, shape), "looked-up")
+    left = looked.filter("size(keys) > 0").select(
+        "uid", F.explode(F.arrays_zip("keys", "counts")).alias("of")
+    ).select("uid", F.col("of.keys").alias("key"), F.col("of.counts").alias("n"))
+    joined = (
+        left.join(rest, "key")
+        .groupBy(F.col("uid").alias("_uid"))
+        .agg(*(F.sum(F.col("n") * F.col(f"p{i}")).alias(f"_s{i}") for i in range(PARTS)))
+    )
+    s = [F.col(f"s{i}") + F.coalesce(F.col(f"_s{i}"), F.lit(0.0)) for i in range(PARTS)]
+    length = F.greatest(F.col("n_words"), F.lit(1))
+    # Differences of sums may leave a trace below zero where the sum is zero.
+    of = [s[0] / length, s[1] / length, s[2] / length, s[3] / length]
+    of += [F.log1p(F.greatest(s[3], F.lit(0.0))), F.log1p(F.greatest(s[4], F.lit(0.0)))]
+    return looked.join(joined, F.col("uid") == F.col("_uid"), "left").select(
+        *(f"`{f.name}`" for f in carried), "has_text", *(c.alias(f"x{i}") for i, c in enumerate(of))
+    )
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
@@ -206,7 +306,6 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: in
     out. Without labels of both classes every score is the share of toxic labels. An empty
     table gives no rows; extra columns are ignored; repeated rows are scored each.
     """
-    spark = docs.sparkSession
     known = (
         own_columns(labels, "doc_id", "toxic")
         .filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
@@ -214,31 +313,27 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: in
         .agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     )
     rows = own_columns(docs, "doc_id", "text")
+    chosen = rows.filter((fold(F.col("doc_id")) == COUNTS) & F.col("text").isNotNull())
+    counted = known.filter(fold(F.col("labelled")) == COUNTS)
+    model = train_counts(chosen.join(counted, F.col("doc_id") == F.col("labelled")))
+    marked = rows.withColumn("held_out", F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)))
+    found = written(evidence(marked, model), "evidence")
 
-    def of_fold(n: int, some: DataFrame) -> DataFrame:
-        chosen = rows.filter((fold(F.col("doc_id")) == n) & F.col("text").isNotNull())
-        return chosen.join(some, F.col("doc_id") == F.col("labelled")).select("text", "toxic")
-
-    model = spark.sparkContext.broadcast(
-        train_counts(of_fold(COUNTS, known.filter(fold(F.col("labelled")) == COUNTS)))
-    )
     few = known.filter(fold(F.col("labelled")) == WEIGHING).orderBy(F.xxhash64("labelled"), "labelled").limit(sample)
     names = [f"x{i}" for i in range(FEATURES)]
-    shape = "toxic int, " + ", ".join(f"{c} double" for c in names)
     # At most ``sample`` label rows are broadcast.
-    seen = of_fold(WEIGHING, F.broadcast(few)).mapInArrow(_evidence(model), shape).limit(sample).toPandas()
+    weighing = found.filter((fold(F.col("doc_id")) == WEIGHING) & F.col("has_text"))
+    seen = weighing.join(F.broadcast(few), F.col("doc_id") == F.col("labelled"))
+    seen = seen.select("toxic", *names).limit(sample).toPandas().sort_values([*names, "toxic"])
     judge = Logistic(seen[names].to_numpy(float).reshape(-1, FEATURES), seen["toxic"].to_numpy(float))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
-            for low, high in row_blocks(offsets):
-                p = judge.probability(model.value.evidence(data, offsets[low : high + 1]))
-                own = [batch.column(c).slice(low, high - low) for c in ("doc_id", "held_out")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(p)], ["doc_id", "held_out", "score"])
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+            own = [batch.column(c) for c in ("doc_id", "held_out")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(judge.probability(x))], ["doc_id", "held_out", "score"])
 
-    marked = rows.withColumn("held_out", F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    return marked.mapInArrow(judged, f"doc_id {id_type}, held_out boolean, score double").withColumn(
+    return found.mapInArrow(judged, f"doc_id {id_type}, held_out boolean, score double").withColumn(
         "predicted", F.when(F.col("score") >= threshold, 1).otherwise(0)
     )

@@ -66,6 +66,27 @@ def test_shares_add_up(spark):
     assert (np.diff(model.bigrams) > 0).all()
 
 
+def test_toxicity_tables_have_no_fixed_size(spark, monkeypatch):
+    docs, labels = marked_corpus(spark)
+    whole = {r.doc_id: r.score for r in toxicity.score(docs, labels).collect()}
+    for hot in (0, 40):
+        monkeypatch.setattr(toxicity, "HOT", hot)
+        got = {r.doc_id: r.score for r in toxicity.score(docs, labels).collect()}
+        assert got.keys() == whole.keys()
+        assert all(abs(got[k] - whole[k]) < 1e-6 for k in whole)
+
+
+def test_words_and_bigrams_are_told_apart(spark):
+    """More words than 2^18: each has its own share, and each frequent bigram its own weight."""
+    frame = spark.createDataFrame(
+        [(" ".join(f"v{i}" for i in range(at, at + 1000)), int(at % 2000 == 0)) for at in range(0, 300_000, 1000)],
+        "text string, toxic int",
+    ).repartition(8)
+    model = toxicity.train_counts(frame.unionAll(frame).unionAll(frame).unionAll(frame))
+    assert model.share.shape == (2, 300_000)
+    assert len(model.bigrams) == 300_000
+
+
 def test_quality_on_labelled_documents(spark, small):
     folder = small.replace("0.001", "0.01")
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
