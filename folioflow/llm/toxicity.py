@@ -1,10 +1,11 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, of toxic and of ordinary documents, are counted in Spark over labelled
-documents of a training fold. A document's evidence is the difference of its log-likelihoods
+Two bigram models, of toxic and of ordinary documents, are counted in Spark over all labelled
+documents of the training folds. A document's evidence is the difference of its log-likelihoods
 under the two, by its length. Rare expressions fall back on the share of distinct words a word
 follows: per class, and below that in both classes together, so that an expression seen too
-rarely to tell the classes apart says little.
+rarely to tell the classes apart says little. How much the evidence weighs is learnt crosswise:
+documents of either training fold are judged by the counts of the other.
 
 Words and bigrams go by 64-bit hashes. All that is counted stays in written tables that grow
 with the input. Only the most frequent expressions are sent to the tasks, to save the shuffle;
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -27,8 +29,10 @@ from folioflow.llm.tables import own_columns, written
 from folioflow.llm.wordhash import LETTERS, Words, mix, row_blocks, text_bytes
 
 FOLDS = 3
-HELD_OUT = 1  # fold that never trains; of the others one gives counts, one the weighing of evidence
-COUNTS, WEIGHING = 0, 2
+HELD_OUT = 1  # fold that never trains
+HALVES = 0, 2  # the training folds; both are counted
+CLASSES = "ordinary", "toxic"
+HALF_CLASSES = [f"{c}{h}" for h in range(len(HALVES)) for c in CLASSES]
 BEGIN = np.int64(0)  # the word before the first of a row
 HOT = 1 << 19  # expressions, at most, that are sent to the tasks: the most frequent; others are joined
 SIEVE = 1 << 18  # longs of the sieve that keeps most expressions without weight out of the join
@@ -61,26 +65,25 @@ def _bigrams(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bigrams of labelled texts, counted per class within a task."""
+    """Bigrams of labelled texts, counted per half and class within a task."""
     held: list[tuple] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
-        bigram, before, word, toxic = (np.concatenate(x) for x in zip(*held, strict=True))
+        bigram, before, word, kind = (np.concatenate(x) for x in zip(*held, strict=True))
         keys, at, which = np.unique(bigram, return_index=True, return_inverse=True)
-        n = np.bincount(which, minlength=len(keys))
-        of_toxic = np.bincount(which, toxic, len(keys)).astype(np.int64)
-        columns = [keys, before[at], word[at], n - of_toxic, of_toxic]
-        names = ["bigram", "before", "word", "ordinary", "toxic"]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+        n = [np.bincount(which[kind == k], minlength=len(keys)) for k in range(len(HALF_CLASSES))]
+        columns = [keys, before[at], word[at], *n]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bigram", "before", "word", *HALF_CLASSES])
 
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
-        toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
+        half, toxic = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("half", "toxic"))
+        kind = half * len(CLASSES) + toxic
         for low, high in row_blocks(offsets):
             words, first = _tokens(data, offsets[low : high + 1])
             row, before, bigram = _bigrams(words, first)
-            held.append((bigram, before, words, toxic[low + row]))
+            held.append((bigram, before, words, kind[low + row]))
             size += len(row)
             if size >= FLUSH:
                 yield flush()
@@ -120,15 +123,23 @@ class KneserNey:
 
 def train_counts(labelled: DataFrame) -> KneserNey:
     """Models of ``labelled`` (text, toxic 0 or 1). All counting is done by Spark."""
-    shape = "bigram long, before long, word long, ordinary long, toxic long"
-    classes = "ordinary", "toxic"
-    grams = written(
-        labelled.select("text", "toxic")
-        .mapInArrow(_count, shape)
-        .groupBy("bigram", "before", "word")
-        .agg(*(F.sum(c).alias(c) for c in classes)),
-        "bigrams",
-    )
+    return fitted(count_bigrams(labelled.select("text", "toxic", F.lit(0).alias("half"))), 0)
+
+
+def count_bigrams(labelled: DataFrame) -> DataFrame:
+    """Counts of every bigram of ``labelled`` (text, toxic, half 0 or 1) by half and class."""
+    shape = "bigram long, before long, word long, " + ", ".join(f"{c} long" for c in HALF_CLASSES)
+    counted = labelled.select("text", "toxic", "half").mapInArrow(_count, shape)
+    sums = counted.groupBy("bigram", "before", "word").agg(*(F.sum(c).alias(c) for c in HALF_CLASSES))
+    return written(sums, "bigrams")
+
+
+def fitted(counts: DataFrame, *halves: int) -> KneserNey:
+    """Models of the counts of the given halves."""
+    classes = CLASSES
+    of = {c: sum((F.col(f"{c}{h}") for h in halves[1:]), F.col(f"{c}{halves[0]}")) for c in classes}
+    grams = counts.select("bigram", "before", "word", *(x.alias(c) for c, x in of.items()))
+    grams = grams.filter("ordinary + toxic > 0")
 
     def beyond(c: str) -> Column:
         return F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))
@@ -248,7 +259,7 @@ def _frequent(weights: DataFrame) -> tuple[Frequent, DataFrame]:
 
 
 def evidence(rows: DataFrame, model: KneserNey) -> DataFrame:
-    """``rows`` with ``text`` replaced by has_text and the features x0, x1, ... of every text.
+    """``rows`` with ``text`` replaced by the features x0, x1, ... of every text.
 
     Log-likelihood ratios by the length, in context and by word; strong parts apart.
     """
@@ -257,20 +268,19 @@ def evidence(rows: DataFrame, model: KneserNey) -> DataFrame:
     carried = [f for f in rows.schema.fields if f.name != "text"]
     names = [f"s{i}" for i in range(PARTS)]
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)
-    shape += ", uid long, has_text boolean, n_words long, " + ", ".join(f"{c} double" for c in names)
+    shape += ", uid long, n_words long, " + ", ".join(f"{c} double" for c in names)
     shape += ", keys array<long>, counts array<long>"
-    labels = [*(f.name for f in carried), "uid", "has_text", "n_words", *names, "keys", "counts"]
+    labels = [*(f.name for f in carried), "uid", "n_words", *names, "keys", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            text = batch.column("text")
-            data, offsets = text_bytes(text)
+            data, offsets = text_bytes(batch.column("text"))
             for low, high in row_blocks(offsets):
                 n, parts, row, keys, counts = sent.value.look_up(data, offsets[low : high + 1])
                 begins = pa.array(np.searchsorted(row, np.arange(len(n) + 1)), pa.int32())
                 own = [batch.column(f.name).slice(low, high - low) for f in carried]
-                own += [pa.array(np.arange(uid, uid + len(n))), text.slice(low, high - low).is_valid(), pa.array(n)]
+                own += [pa.array(np.arange(uid, uid + len(n))), pa.array(n)]
                 lists = [pa.ListArray.from_arrays(begins, pa.array(v, pa.int64())) for v in (keys, counts)]
                 yield pa.RecordBatch.from_arrays([*own, *map(pa.array, parts.T), *lists], labels)
                 uid += len(n)
@@ -290,7 +300,7 @@ def evidence(rows: DataFrame, model: KneserNey) -> DataFrame:
     of = [s[0] / length, s[1] / length, s[2] / length, s[3] / length]
     of += [F.log1p(F.greatest(s[3], F.lit(0.0))), F.log1p(F.greatest(s[4], F.lit(0.0)))]
     return looked.join(joined, F.col("uid") == F.col("_uid"), "left").select(
-        *(f"`{f.name}`" for f in carried), "has_text", *(c.alias(f"x{i}") for i, c in enumerate(of))
+        *(f"`{f.name}`" for f in carried), *(c.alias(f"x{i}") for i, c in enumerate(of))
     )
 
 
@@ -298,9 +308,10 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: in
     """Toxicity of every row of ``docs`` (doc_id, text): doc_id, held_out, score, predicted.
 
     ``labels`` (doc_id, toxic) teach only where crc32(doc_id as text) modulo 3 is not 1
-    (``held_out``): fold 0 is counted whole, fold 2 weighs the evidence, on at most ``sample``
-    of its documents, those of least hash. A document labelled both ways counts as toxic; null
-    labels and doc_ids teach nothing. A score depends on the text alone.
+    (``held_out``). All of folds 0 and 2 is counted; the weighing of the evidence is fitted on
+    at most ``sample`` documents of both, those of least hash, each by the counts of the other
+    fold. A document labelled both ways counts as toxic; null labels and doc_ids teach nothing.
+    A score depends on the text alone.
 
     Null and empty texts get the score of a text without evidence. A null doc_id is not held
     out. Without labels of both classes every score is the share of toxic labels. An empty
@@ -313,20 +324,30 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: in
         .agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     )
     rows = own_columns(docs, "doc_id", "text")
-    chosen = rows.filter((fold(F.col("doc_id")) == COUNTS) & F.col("text").isNotNull())
-    counted = known.filter(fold(F.col("labelled")) == COUNTS)
-    model = train_counts(chosen.join(counted, F.col("doc_id") == F.col("labelled")))
-    marked = rows.withColumn("held_out", F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)))
-    found = written(evidence(marked, model), "evidence")
+    of_fold = fold(F.col("doc_id"))
+
+    def labelled(some: DataFrame) -> DataFrame:
+        chosen = rows.filter(of_fold.isin(*HALVES) & F.col("text").isNotNull())
+        half = F.when(of_fold == HALVES[0], 0).otherwise(1).alias("half")
+        return chosen.join(some, F.col("doc_id") == F.col("labelled")).select("text", "toxic", half)
 
-    few = known.filter(fold(F.col("labelled")) == WEIGHING).orderBy(F.xxhash64("labelled"), "labelled").limit(sample)
+    teaching = known.filter(fold(F.col("labelled")) != HELD_OUT)
+    counts = count_bigrams(labelled(teaching))
+    few = teaching.orderBy(F.xxhash64("labelled"), "labelled").limit(sample)
     names = [f"x{i}" for i in range(FEATURES)]
     # At most ``sample`` label rows are broadcast.
-    weighing = found.filter((fold(F.col("doc_id")) == WEIGHING) & F.col("has_text"))
-    seen = weighing.join(F.broadcast(few), F.col("doc_id") == F.col("labelled"))
-    seen = seen.select("toxic", *names).limit(sample).toPandas().sort_values([*names, "toxic"])
+    weighing = written(labelled(F.broadcast(few)).limit(sample), "weighing")
+    seen = pd.concat(
+        evidence(weighing.filter(F.col("half") == half).select("text", "toxic"), fitted(counts, 1 - half))
+        .select("toxic", *names)
+        .toPandas()
+        for half in range(len(HALVES))
+    ).sort_values([*names, "toxic"])
     judge = Logistic(seen[names].to_numpy(float).reshape(-1, FEATURES), seen["toxic"].to_numpy(float))
 
+    marked = rows.withColumn("held_out", F.coalesce(of_fold == HELD_OUT, F.lit(False)))
+    found = evidence(marked, fitted(counts, *range(len(HALVES))))
+
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])

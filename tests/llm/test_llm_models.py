@@ -87,6 +87,24 @@ def test_words_and_bigrams_are_told_apart(spark):
     assert len(model.bigrams) == 300_000
 
 
+def test_expressions_of_either_training_fold_are_learnt(spark):
+    """Only one training fold has the rude word that held-out documents use."""
+    for taught in (0, 2):
+        rows, labels = [], []
+        for i in range(900):
+            toxic, of = i % 4 == 0, zlib.crc32(str(i).encode()) % 3
+            words = llm_cases.prose(i, 60 + i % 90).split()
+            rude = ["snork"] if of == 1 else ["grumbo", "snork"] if of == taught else ["grumbo"]
+            for k in range(4 * toxic):
+                words[(7 * k + i) % len(words)] = rude[k % len(rude)]
+            rows.append((i, " ".join(words)))
+            labels.append((i, int(toxic)))
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = toxicity.score(docs, labels_of(spark, labels, "toxic")).collect()
+        held = [(r.predicted, int(r.doc_id % 4 == 0)) for r in got if r.held_out]
+        assert sum(p == y for p, y in held) / len(held) > 0.95
+
+
 def test_quality_on_labelled_documents(spark, small):
     folder = small.replace("0.001", "0.01")
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
