@@ -65,7 +65,7 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return packed, keys.view(np.int64)
 
 
-_SIGNED = "n_shingles long, key1 long, key2 long, sig array<long>, bands array<long>"
+_SIGNED = "text_hash long, n_shingles long, key1 long, key2 long, sig array<long>, bands array<long>"
 
 
 def _sign(width: int):
@@ -87,10 +87,10 @@ def _sign(width: int):
                     packed, keys = signatures([sets[i] for i in full])
                     for at, i in enumerate(full):
                         sig[i], bands[i] = packed[at], keys[at]
-                ids = batch.column("doc_id").slice(low, high - low)
-                columns = [ids, *map(pa.array, (n, key1, key2)), pa.array(sig, lists), pa.array(bands, lists)]
+                own = [batch.column(c).slice(low, high - low) for c in ("doc_id", "text_hash")]
+                columns = [*own, *map(pa.array, (n, key1, key2)), pa.array(sig, lists), pa.array(bands, lists)]
                 yield pa.RecordBatch.from_arrays(
-                    columns, ["doc_id", "n_shingles", "key1", "key2", "sig", "bands"]
+                    columns, ["doc_id", "text_hash", "n_shingles", "key1", "key2", "sig", "bands"]
                 )
 
     return run
@@ -148,16 +148,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     smallest doc_id reachable, and ``kept`` marks it. One row per input row.
 
     Null and empty texts have no shingles and no links. Rows with a null doc_id have none
-    either: their component_id is null, kept is false. Rows with the same doc_id count as one
-    document. Extra columns are ignored; an empty table gives no rows.
+    either: their component_id is null, kept is false. Texts that have the same smallest doc_id
+    count as one document; one that has it and also belongs to a smaller doc_id is not linked
+    with the others by it. Extra columns are ignored; an empty table gives no rows.
 
     Sets are compared by 64-bit shingle hashes and, for copies, by two 64-bit sums of them.
     Links below the threshold by more than the margin of the estimate are never tested; a
     link at exactly 0.8 escapes all bands with a chance of 5 in a million.
     """
+    return _judged(docs, width, percent).drop("text_hash")
+
+
+def _judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``near_duplicates`` with the hash of each row's text."""
     rows = own_columns(docs, "doc_id", "text")
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    signed = written(rows.mapInArrow(_sign(width), f"doc_id {id_type}, {_SIGNED}"), "signed")
+    hashed = rows.withColumn("text_hash", F.xxhash64("text"))
+    signed = written(hashed.mapInArrow(_sign(width), f"doc_id {id_type}, {_SIGNED}"), "signed")
     able = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = written(
         able.groupBy("key1", "key2").agg(
@@ -173,12 +180,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     named = written(named, "named")
     # Rows without links need no class; the others look up theirs, hot classes split at run time.
     linked = (
-        able.select("doc_id", "n_shingles", "key1", "key2")
+        able.select("doc_id", "text_hash", "n_shingles", "key1", "key2")
         .join(named, (F.col("key1") == F.col("_key1")) & (F.col("key2") == F.col("_key2")))
-        .select("doc_id", "n_shingles", F.col("found").alias("component_id"))
+        .select("doc_id", "text_hash", "n_shingles", F.col("found").alias("component_id"))
     )
     alone = signed.filter("doc_id IS NULL OR n_shingles = 0").select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id")
+        "doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id")
     )
     return linked.unionByName(alone).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
@@ -256,24 +263,26 @@ def _components_of(rows: DataFrame, classes: DataFrame, width: int, percent: int
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with all its columns, one document of each near-duplicate group: the smallest doc_id.
+    """``docs`` with all its columns, one row of each near-duplicate group: the smallest doc_id.
 
-    Of rows with the same doc_id and shingles the first by text stays. Rows without a doc_id
-    or without shingles are linked with nothing and all stay.
+    Rows are judged by doc_id and text: a doc_id that occurs with texts of several groups may
+    stay with one and go with another. Of rows that stay with the same doc_id in the same group
+    the first by text is kept. Rows without a doc_id or without shingles are linked with nothing
+    and all stay.
     """
-    # One row per document, so that the join below can't multiply rows.
-    verdicts = near_duplicates(docs, width, percent).filter("doc_id IS NOT NULL")
-    verdicts = verdicts.groupBy(F.col("doc_id").alias("judged")).agg(
-        F.max("kept").alias("stays"), F.max("n_shingles").alias("shingles")
+    # One row per doc_id and text, so that the join below can't multiply rows.
+    verdicts = _judged(docs, width, percent).filter("kept")
+    verdicts = verdicts.groupBy(F.col("doc_id").alias("judged"), F.col("text_hash").alias("of_text")).agg(
+        F.max("n_shingles").alias("shingles")
     )
     fields = [f"row.`{c}`" for c in docs.columns]
     whole = F.struct(*(f"`{c}`" for c in docs.columns)).alias("row")
     rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body"), whole)
-    first = W.partitionBy("id").orderBy(F.asc_nulls_last("body"))
+    first = W.partitionBy("id", F.col("shingles") == 0).orderBy(F.asc_nulls_last("body"))
     judged = (
         rows.filter("id IS NOT NULL")
-        .join(verdicts, F.col("id") == F.col("judged"))
-        .filter("stays")
+        .withColumn("hash", F.xxhash64("body"))
+        .join(verdicts, (F.col("id") == F.col("judged")) & (F.col("hash") == F.col("of_text")))
         .withColumn("place", F.row_number().over(first))
         .filter("shingles = 0 OR place = 1")
     )

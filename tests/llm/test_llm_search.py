@@ -136,6 +136,14 @@ def test_keep_one(spark):
     assert ids == sorted([*stays, *free], key=repr)
 
 
+def test_keep_one_of_a_reused_id(spark):
+    a, b, c = (llm_cases.prose(seed, 80) for seed in (71, 72, 73))
+    rows = [(1, a), (2, a), (2, b), (3, ""), (3, c), (3, c), (4, None), (4, a)]
+    kept = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
+    want = [(1, a), (2, b), (3, ""), (3, c), (4, None)]
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, want))
+
+
 def test_estimate_follows_similarity():
     text = llm_cases.prose(9, 4000).encode()
     words = text.split()
