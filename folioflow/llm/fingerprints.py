@@ -4,7 +4,7 @@ A gear hash rolls over the bytes of a text; a boundary stands where its low bits
 a harder mask before the normal chunk size and an easier one after it, so that sizes stay near
 normal. Boundaries depend on nearby bytes only: after an edit, chunks fall into step again. A
 fingerprint is the set of chunk digests with the bytes each stands for; the likeness of two
-fingerprints is the share of bytes, of the longer text, whose chunks both have.
+fingerprints is their containment: the share of bytes, of the shorter text, whose chunks both have.
 """
 
 from __future__ import annotations
@@ -93,12 +93,15 @@ def chunk_set(text: bytes) -> Chunks:
 
 
 def likeness(a: Chunks, b: Chunks) -> float:
-    """Share of the longer text's bytes that lie in chunks of both; two empty sets are alike."""
+    """Share of the shorter text's bytes that lie in chunks of both: 1 where it is contained in the other.
+
+    Two empty sets are alike; an empty set and another are not.
+    """
     if not a or not b:
         return float(a == b)
     small, large = (a, b) if len(a) <= len(b) else (b, a)
     common = sum(min(n, large.get(k, 0)) for k, n in small.items())
-    return common / max(sum(a.values()), sum(b.values()))
+    return common / min(sum(a.values()), sum(b.values()))
 
 
 def as_string(chunks: Chunks) -> str:
@@ -117,9 +120,10 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     The edited text has its last quarter of code points replaced by the beginning of the next
     document in ascending order of doc_id (then text); the last is followed by the first.
     Result: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next, one row per input row. A null text is empty, an empty text has the empty
-    fingerprint. Rows with a null doc_id come before all others in one range of their own. A
-    single row follows itself; an empty table gives no rows; extra columns are ignored.
+    near_next, one row per input row; the last two are containments, as in ``likeness``. A null
+    text is empty, an empty text has the empty fingerprint. Rows with a null doc_id come before
+    all others in one range of their own. A single row follows itself; an empty table gives no
+    rows; extra columns are ignored.
 
     Texts are shuffled once, by ranges of ids. A row that begins a range also goes to the range
     before it, so that every range is worked through alone.

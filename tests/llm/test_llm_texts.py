@@ -132,6 +132,15 @@ def test_fingerprint_edits(spark, range_bytes, monkeypatch):
     assert len(single) == 1 and single[0].near_next == 1.0
 
 
+def test_a_contained_text_is_near(spark):
+    short = llm_cases.prose(81, 500)
+    long = short + " " + llm_cases.prose(82, 5000)
+    docs = spark.createDataFrame([(1, short), (2, long)], "doc_id long, text string")
+    got = {r.doc_id: r.near_next for r in fingerprints.fingerprint_edits(docs).collect()}
+    assert 0.85 < got[1] <= 1 and got[1] == got[2]
+    assert fingerprints.likeness(fingerprints.chunk_set(short.encode()), {}) == 0.0
+
+
 def test_range_of_many_starts(spark):
     starts = list(range(-50, 1000, 7))
     frame = spark.range(-50, 1100).select("id", order.range_of(F.col("id"), starts).alias("r"))
