@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -48,6 +49,28 @@ def _cosine_scorer(payloads: list) -> Scorer:
     return score
 
 
+def by_length(make_scorer: Callable[[list], Scorer], payloads: list) -> Scorer:
+    """Scores each row against the questions of its own length; -inf for the others."""
+    sizes = np.array([len(p) for p in payloads])
+    scorers = {
+        n: (of, make_scorer([payloads[i] for i in of]))
+        for n in np.unique(sizes)
+        for of in [np.flatnonzero(sizes == n)]
+    }
+
+    def score(column: pa.Array) -> np.ndarray:
+        lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+        out = np.full((len(column), len(payloads)), -np.inf)
+        for n in np.unique(lengths):
+            if n in scorers:
+                questions, scorer = scorers[n]
+                rows = np.flatnonzero(lengths == n)
+                out[np.ix_(rows, questions)] = scorer(column.take(pa.array(rows)))
+        return out
+
+    return score
+
+
 def _overlap_scorer(payloads: list) -> Scorer:
     """Share of the question's terms that a row's term set holds."""
     postings: dict[str, list[int]] = {}
@@ -154,7 +177,7 @@ def _scored(
                 if best:
                     best.push(ids, scores)
                 else:
-                    r, q = np.nonzero(scores >= floor)
+                    r, q = np.nonzero((scores >= floor) & (scores > -np.inf))
                     if len(r):
                         yield arrow(q_ids, q, ids[r].tolist(), scores[r, q])
         if best:
@@ -213,7 +236,7 @@ def best_k(hits: DataFrame, k: int, id_col: str) -> DataFrame:
 
 
 def comparable(questions: DataFrame, vectors: DataFrame, vector: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of both sides whose vectors can be compared: finite, and of the questions' usual length.
+    """Rows of both sides whose vectors can be compared: finite. ``by_length`` pairs equal lengths.
 
     ``vectorstore.vector_health`` reports the others.
     """
@@ -222,10 +245,7 @@ def comparable(questions: DataFrame, vectors: DataFrame, vector: str) -> tuple[D
         odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
         return df.filter(F.col(vector).isNotNull() & ~odd)
 
-    asked = finite(questions)
-    length = asked.groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), "n").first()
-    n = length["n"] if length else 0
-    return asked.filter(F.size(vector) == n), finite(vectors).filter(F.size(vector) == n)
+    return finite(questions), finite(vectors)
 
 
 def knn(
@@ -241,7 +261,7 @@ def knn(
     found = _scored(
         questions.select(F.col(query_id).alias("query_id"), vector),
         vectors.select(id_col, vector),
-        id_col, _cosine_scorer, k, -2.0,
+        id_col, partial(by_length, _cosine_scorer), k, -2.0,
     )
     return best_k(found, k, id_col)
 
@@ -259,7 +279,7 @@ def score_pairs(
     return _scored(
         questions.select(F.col(query_id).alias("query_id"), vector),
         vectors.select(id_col, vector),
-        id_col, _cosine_scorer, None, min_score,
+        id_col, partial(by_length, _cosine_scorer), None, min_score,
     )
 
 

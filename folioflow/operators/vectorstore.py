@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.text import words
 from folioflow.functions.vectors import l2_norm, l2_normalize
-from folioflow.operators.retrieval import SCORE_DIGITS, _scored, best_k, comparable
+from folioflow.operators.retrieval import SCORE_DIGITS, _scored, best_k, by_length, comparable
 
 
 def normalize_vectors(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -97,7 +97,7 @@ def ann(
     found = _scored(
         questions.select(F.col(query_id).alias("query_id"), vector),
         vectors.select(id_col, vector),
-        id_col, partial(_lsh_scorer, tables=tables, bits=bits, seed=seed), k, -2.0,
+        id_col, partial(by_length, partial(_lsh_scorer, tables=tables, bits=bits, seed=seed)), k, -2.0,
     )
     return best_k(found, k, id_col)
 

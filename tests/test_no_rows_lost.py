@@ -21,6 +21,19 @@ def test_bad_vectors_hide_no_neighbours(spark):
     assert {r.vec_id for r in vectorstore.ann(asked, vectors, k=3).collect()} <= {0, 1, 2, 3, 4}
 
 
+def test_questions_of_a_rarer_length_have_neighbours(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(4)] + [(20 + i, [1.0, float(i), 0.0]) for i in range(4)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0, 0.0]), (3, [1.0])]
+    asked = spark.createDataFrame(asked, "query_id long, embedding array<double>")
+    found = {(r.query_id, r.vec_id) for r in retrieval.knn(asked, vectors, k=2).collect()}
+    assert found == {(0, 0), (0, 1), (1, 3), (1, 2), (2, 23), (2, 22)}
+    pairs = {(r.query_id, r.vec_id) for r in retrieval.score_pairs(asked, vectors, 0.9).collect()}
+    assert pairs == {(0, 0), (1, 3), (2, 23)}
+    near = {(r.query_id, r.vec_id) for r in vectorstore.ann(asked, vectors, k=2).collect()}
+    assert (2, 23) in near and all((v >= 20) == (q == 2) for q, v in near)
+
+
 def test_citations_above_ten_count(spark):
     rows = [("g", [1, 11]), ("g", [1, 12]), ("h", [40]), ("n", [])]
     sets = joins.citation_sets(spark.createDataFrame(rows, "g string, citations array<int>"), "g", "citations")
