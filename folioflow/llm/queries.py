@@ -8,11 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from folioflow.llm import (
+    conversations,
     fingerprints,
+    importance,
     minhash,
     mixing,
     packing,
     quality,
+    repetition,
     substrings,
     token_counts,
     token_files,
@@ -72,11 +75,25 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, folder, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair(table(spark, folder, "conversations"))
+
+
+def op12_repetition_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return repetition.judge(table(spark, folder, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    docs, target = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return importance.resample(docs, target, percent=25, least_words=20)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_top_k, op3_near_duplicates, op4_best_fit, op5_toxicity,
-        op6_token_files, op7_quality, op8_mixing, op9_substrings, op10_fingerprints,
+        op6_token_files, op7_quality, op8_mixing, op9_substrings, op10_fingerprints, op11_conversation_repair,
+        op12_repetition_rules, op13_importance_resampling,
     )
 }
 ORACLES: dict[str, str] = {}
