@@ -17,8 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import ngrams, overlap_share, strip, token_set, words
-from folioflow.operators.joins import set_pairs
 from folioflow.operators.aggregates import mean_scores
+from folioflow.operators.joins import jaccard_sums
 from folioflow.operators.scale import each, heavy_light_join
 from folioflow.session import stored
 
@@ -423,15 +423,11 @@ def validate_response(answers: DataFrame, hits: DataFrame, similarity: str | Non
 def citation_consistency(sets: DataFrame, group: str) -> DataFrame:
     """Mean Jaccard over all answer pairs of a group that both cite something.
 
-    ``sets`` comes from ``citation_sets``. Pairs that share a citation are summed by
-    ``set_pairs``, all others count 0. A group without a pair gives 0.
+    ``sets`` comes from ``citation_sets``. ``jaccard_sums`` adds up the pairs without making
+    them; pairs that share no citation count 0. A group without a pair gives 0.
     """
     rows = sets.groupBy(group).agg(F.sum("answers").alias("answers"))
-    summed = (
-        set_pairs(sets, group)
-        .groupBy(F.col(group).alias("_of"))
-        .agg(F.sum(F.col("pairs") * F.col("jaccard")).alias("_sum"))
-    )
+    summed = jaccard_sums(sets, group).select(F.col(group).alias("_of"), F.col("jaccard_sum").alias("_sum"))
     pairs = F.col("answers") * (F.col("answers") - 1) / 2
     mean = F.when(pairs > 0, F.coalesce("_sum", F.lit(0.0)) / pairs).otherwise(F.lit(0.0))
     return rows.join(summed, F.col(group).eqNullSafe(F.col("_of")), "left").select(

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import content_hash
+from folioflow.operators.scale import each, join_same
+
+SUBSET_SIZE = 8  # citations of a set that is counted by its subsets
 
 
 def new_only(src: DataFrame, stored: DataFrame, text: str = "text", doc_hash: str = "doc_hash") -> DataFrame:
@@ -110,16 +116,122 @@ def set_pairs(sets: DataFrame, group: str) -> DataFrame:
         F.col(group).alias("_of"), F.col("_cited").alias("_other_cited"),
         F.col("citation_set").alias("other_set"), F.col("answers").alias("other_answers"),
     )
-    shared = F.array_intersect("citation_set", "other_set")
     # Arrays are ordered item by item, so each two sets meet in one direction only.
     met = keyed.join(
         right, F.col(group).eqNullSafe(F.col("_of")) & (F.col("_cited") == F.col("_other_cited"))
-    ).filter((F.col("citation_set") <= F.col("other_set")) & (F.array_min(shared) == F.col("_cited")))
+    ).filter(F.col("citation_set") <= F.col("other_set"))
+    return _jaccard_pairs(met, group)
+
+
+def _jaccard_pairs(met: DataFrame, group: str) -> DataFrame:
+    """Pairs that met under each citation they share, once, with the answer pairs behind them."""
+    shared = F.array_intersect("citation_set", "other_set")
+    once = met.filter(F.array_min(shared) == F.col("_cited"))
     pairs = F.when(
         F.col("citation_set") == F.col("other_set"),
         F.expr("answers * (answers - 1) div 2"),
     ).otherwise(F.col("answers") * F.col("other_answers"))
     union = F.size("citation_set") + F.size("other_set") - F.size(shared)
-    return met.withColumn("pairs", pairs).filter(F.col("pairs") > 0).select(
+    return once.withColumn("pairs", pairs).filter(F.col("pairs") > 0).select(
         group, "citation_set", "other_set", "pairs", (F.size(shared) / union).alias("jaccard")
     )
+
+
+def similar_sets(sets: DataFrame, group: str, at_least: float) -> DataFrame:
+    """Pairs of distinct citation sets of a group with a Jaccard of at least ``at_least`` (above 0).
+
+    Two such sets share an item among their rarest ones, so a set is only filed under its
+    first ``size - ceil(at_least * size) + 1`` items, rarest first, and meets sets of fitting
+    size there. A hot citation is seldom among the rarest. A pair is made once, under the
+    first item the two prefixes share.
+    """
+    if not 0 < at_least <= 1:
+        raise ValueError("at_least must be above 0 and at most 1")
+    items = sets.select(group, "citation_set", F.explode("citation_set").alias("_item"))
+    counts = items.groupBy(group, "_item").agg(F.count("*").alias("_n"))
+    ranked = join_same(items, counts, [group, "_item"]).groupBy(group, "citation_set").agg(
+        F.array_sort(F.collect_list(F.struct("_n", "_item"))).alias("_ranked")
+    )
+    # A hair is taken off before rounding up, so that no set of exactly the bound is missed.
+    needed = F.ceil(F.size("_ranked") * F.lit(at_least) - F.lit(1e-9)).cast("int")
+    prefix = F.slice("_ranked", 1, F.greatest(F.size("_ranked") - needed + 1, F.lit(1)))
+    filed = ranked.select(group, "citation_set", prefix.alias("_prefix"))
+    left = each(filed, [group, "citation_set", "_prefix"], "_prefix", "_item")
+    right = left.select(
+        F.col(group).alias("_of"), F.col("citation_set").alias("other_set"), F.col("_prefix").alias("_other_prefix"),
+        F.col("_item").alias("_other_item"),
+    )
+    a, b = F.size("citation_set"), F.size("other_set")
+    met = left.join(
+        right,
+        F.col(group).eqNullSafe(F.col("_of"))
+        & (F.col("_item") == F.col("_other_item"))
+        & (F.col("citation_set") < F.col("other_set"))
+        & (F.least(a, b) >= F.greatest(a, b) * F.lit(at_least) - F.lit(1e-9)),
+    ).filter(F.array_min(F.array_intersect("_prefix", "_other_prefix")) == F.col("_item"))
+    shared = F.size(F.array_intersect("citation_set", "other_set"))
+    return met.select(group, "citation_set", "other_set", (shared / (a + b - shared)).alias("jaccard")).filter(
+        F.col("jaccard") >= at_least
+    )
+
+
+def jaccard_sums(sets: DataFrame, group: str) -> DataFrame:
+    """Sum of the Jaccard over all answer pairs of each group, without making the pairs.
+
+    Sets of at most ``SUBSET_SIZE`` citations are counted by the subsets they hold: two sets
+    of sizes s and t that share n citations have C(n, r) subsets of size r in common, so the
+    numbers of sets by (subset, size) give the sum by inclusion and exclusion. Rows grow with
+    the sets; a hot citation only makes a count larger. Pairs with a larger set are made, if
+    they share a citation.
+    """
+    small = sets.filter(F.size("citation_set") <= SUBSET_SIZE)
+    subsets = F.expr(
+        "transform(sequence(1, shiftleft(1, size(citation_set)) - 1),"
+        " m -> filter(citation_set, (x, i) -> (m & shiftleft(1, i)) > 0))"
+    )
+    listed = small.select(group, "answers", F.size("citation_set").alias("_s"), subsets.alias("_subsets"))
+    counted = (
+        each(listed, [group, "answers", "_s"], "_subsets", "_subset")
+        .groupBy(group, "_subset")
+        .agg(*(F.sum(F.when(F.col("_s") == s, F.col("answers"))).alias(f"_c{s}") for s in range(1, SUBSET_SIZE + 1)))
+    )
+    # Subsets of one size together: pairs of answers with sets of sizes s and t that hold one.
+    n = {s: F.coalesce(F.col(f"_c{s}"), F.lit(0)).cast("decimal(19,0)") for s in range(1, SUBSET_SIZE + 1)}
+    sizes = [(s, t) for s in n for t in n if s <= t]
+    behind = {(s, t): n[s] * n[t] if s < t else n[s] * (n[s] - 1) / 2 for s, t in sizes}
+    moments = counted.groupBy(group, F.size("_subset").alias("_r")).agg(
+        *(F.sum(behind[s, t].cast("decimal(38,0)")).alias(f"_p{s}_{t}") for s, t in sizes)
+    )
+    total = F.lit(0.0)
+    for s, t in sizes:
+        weight = F.get(F.array(*[F.lit(_subset_weight(r, s, t)) for r in range(SUBSET_SIZE + 1)]), F.col("_r"))
+        total = total + F.col(f"_p{s}_{t}").cast("double") * weight
+    few = moments.select(group, total.alias("_sum"))
+    large = pairs_with(sets.filter(F.size("citation_set") > SUBSET_SIZE), sets, group)
+    many = large.select(group, (F.col("pairs") * F.col("jaccard")).alias("_sum"))
+    return few.unionByName(many).groupBy(group).agg(F.sum("_sum").alias("jaccard_sum"))
+
+
+def _subset_weight(r: int, s: int, t: int) -> float:
+    """What a common subset of size r adds to the Jaccard of sets of sizes s and t."""
+    if r > min(s, t):
+        return 0.0
+    return float(sum(Fraction((-1) ** (r - n) * comb(r, n) * n, s + t - n) for n in range(1, r + 1)))
+
+
+def pairs_with(some: DataFrame, sets: DataFrame, group: str) -> DataFrame:
+    """Pairs of each of ``some`` sets with all of ``sets`` that share a citation, as ``set_pairs`` gives them.
+
+    ``some`` holds the larger of the sets: where both are among them a pair is made once.
+    """
+    keyed = some.select(group, "citation_set", "answers", F.explode("citation_set").alias("_cited"))
+    right = sets.select(
+        F.col(group).alias("_of"), F.col("citation_set").alias("other_set"), F.col("answers").alias("other_answers"),
+        (F.size("citation_set") > SUBSET_SIZE).alias("_both"), F.explode("citation_set").alias("_other_cited"),
+    )
+    return _jaccard_pairs(
+        keyed.join(right, F.col(group).eqNullSafe(F.col("_of")) & (F.col("_cited") == F.col("_other_cited"))).filter(
+            ~F.col("_both") | (F.col("citation_set") <= F.col("other_set"))
+        ),
+        group,
+    )

@@ -1,291 +1,56 @@
-"""Nearest chunks for many questions at once.
-
-Scoring every question with every chunk is quadratic, so no pair table is ever
-built. A block of questions goes to the executors with the task; each task
-scores its own Arrow batches and keeps only the k best rows per question (or the
-rows above a threshold). Spark then merges the small partial results. When there
-are more questions than one block may hold, questions and rows are hashed into a
-grid of blocks and each grid cell is scored by itself.
-"""
+"""Nearest chunks and vectors for many questions at once, and what follows from the hits."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
-from functools import partial
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioflow.functions.text import overlap_share, token_set
+from folioflow.operators import termindex, vectorindex
+from folioflow.operators.termindex import TermIndex
+from folioflow.operators.vectorindex import SCORE_DIGITS, VectorIndex, unit_rows
+from folioflow.session import stored
 
-# A block of questions that goes to every task: at most so many, with so many items in all.
-MAX_QUESTIONS = 16_384
-MAX_ITEMS = 4_000_000
-ROWS_PER_CELL = 50_000
-SCORES_PER_SLICE = 262_144
-SCORE_DIGITS = 10
-
-Scorer = Callable[[pa.Array], np.ndarray]
-ARROW_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-
-
-def _cosine_scorer(payloads: list) -> Scorer:
-    """Cosine of each row vector with each question vector, rounded so equal vectors tie."""
-    q = np.stack([np.asarray(p, dtype=np.float64) for p in payloads])
-    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-    def score(column: pa.Array) -> np.ndarray:
-        m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        m = m.reshape(len(column), q.shape[1])
-        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        return np.round(m @ q.T, SCORE_DIGITS)
-
-    return score
-
-
-def by_length(make_scorer: Callable[[list], Scorer], payloads: list) -> Scorer:
-    """Scores each row against the questions of its own length; -inf for the others."""
-    sizes = np.array([len(p) for p in payloads])
-    scorers = {
-        n: (of, make_scorer([payloads[i] for i in of]))
-        for n in np.unique(sizes)
-        for of in [np.flatnonzero(sizes == n)]
-    }
-
-    def score(column: pa.Array) -> np.ndarray:
-        lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
-        out = np.full((len(column), len(payloads)), -np.inf)
-        for n in np.unique(lengths):
-            if n in scorers:
-                questions, scorer = scorers[n]
-                rows = np.flatnonzero(lengths == n)
-                out[np.ix_(rows, questions)] = scorer(column.take(pa.array(rows)))
-        return out
-
-    return score
-
-
-def _overlap_scorer(payloads: list) -> Scorer:
-    """Share of the question's terms that a row's term set holds."""
-    postings: dict[str, list[int]] = {}
-    for i, terms in enumerate(payloads):
-        for t in terms:
-            postings.setdefault(t, []).append(i)
-    vocabulary = pa.array(list(postings), pa.string())
-    starts = np.cumsum([0, *(len(v) for v in postings.values())])
-    members = np.array([i for v in postings.values() for i in v], dtype=np.int64)
-    n_q = len(payloads)
-    sizes = np.array([max(len(t), 1) for t in payloads], dtype=np.float64)
-
-    def score(column: pa.Array) -> np.ndarray:
-        n = len(column)
-        lengths = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
-        found = pc.index_in(column.flatten().cast(pa.string()), value_set=vocabulary)
-        term = found.fill_null(-1).to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(n), lengths)[term >= 0]
-        term = term[term >= 0]
-        fan = starts[term + 1] - starts[term]
-        inside = np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan, fan)
-        question = members[np.repeat(starts[term], fan) + inside]
-        cell = np.repeat(row, fan) * n_q + question
-        return np.bincount(cell, minlength=n * n_q).reshape(n, n_q) / sizes
-
-    return score
-
-
-class _Best:
-    """The k best (score, id) per question seen so far; ties go to the smaller id."""
-
-    def __init__(self, n_questions: int, k: int, floor: float):
-        self.k, self.floor = k, floor
-        self.scores = np.full((k, n_questions), -np.inf)
-        self.ids: np.ndarray | None = None
-
-    def push(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        scores = np.where(np.isnan(scores), -np.inf, scores)
-        by_id = np.argsort(ids, kind="stable")
-        ids, scores = ids[by_id], scores[by_id]
-        peak = scores.max(axis=0)
-        open_ = np.flatnonzero((peak > self.floor) & (peak >= self.scores[-1]))
-        if not len(open_):
-            return
-        if self.ids is None:
-            self.ids = np.zeros(self.scores.shape, dtype=ids.dtype)
-        elif self.ids.dtype != ids.dtype:
-            self.ids = self.ids.astype(np.promote_types(self.ids.dtype, ids.dtype))
-        fresh = scores[:, open_]
-        top = np.argsort(-fresh, axis=0, kind="stable")[: self.k]
-        fresh = np.take_along_axis(fresh, top, axis=0)
-        fresh = np.where(fresh > self.floor, fresh, -np.inf)
-        both = np.concatenate([self.scores[:, open_], fresh])
-        both_ids = np.concatenate([self.ids[:, open_], ids[top]])
-        keep = np.lexsort((both_ids, -both), axis=0)[: self.k]
-        self.scores[:, open_] = np.take_along_axis(both, keep, axis=0)
-        self.ids[:, open_] = np.take_along_axis(both_ids, keep, axis=0)
-
-    def rows(self) -> tuple[np.ndarray, list, np.ndarray]:
-        at, q = np.nonzero(self.scores > -np.inf)
-        ids = self.ids[at, q].tolist() if self.ids is not None else []
-        return q, ids, self.scores[at, q]
-
-
-def _slices(batch: pa.RecordBatch, n_questions: int) -> Iterator[tuple[np.ndarray, pa.Array]]:
-    """Slices whose score matrix has about a quarter million cells."""
-    step = min(max(SCORES_PER_SLICE // n_questions, 16), 1024)
-    for at in range(0, batch.num_rows, step):
-        part = batch.slice(at, step)
-        ids = part.column(0)
-        as_numpy = ids.to_numpy(zero_copy_only=False)
-        yield (as_numpy.astype(str) if pa.types.is_string(ids.type) else as_numpy), part.column(1)
-
-
-def _scored(
-    questions: DataFrame,
-    rows: DataFrame,
-    id_col: str,
-    make_scorer: Callable[[list], Scorer],
-    k: int | None,
-    floor: float,
-) -> DataFrame:
-    """(query_id, id, score): per task the k best per question, or all above the floor.
-
-    ``questions`` and ``rows`` have two columns, the id and the payload array.
-    """
-    q_type = questions.schema[0].dataType.simpleString()
-    id_type = rows.schema[0].dataType.simpleString()
-    schema = f"query_id {q_type}, {id_col} {id_type}, score double"
-    kinds = pa.schema(
-        [("query_id", ARROW_TYPES[q_type]), (id_col, ARROW_TYPES[id_type]), ("score", pa.float64())]
-    )
-
-    def arrow(q_ids: list, q: np.ndarray, ids: list, s: np.ndarray) -> pa.RecordBatch:
-        columns = ([q_ids[i] for i in q], ids, s)
-        arrays = [pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(arrays, schema=kinds)
-
-    def results(q_ids: list, scorer: Scorer, batches):
-        best = _Best(len(q_ids), k, floor) if k else None
-        for batch in batches:
-            for ids, payload in _slices(batch, len(q_ids)):
-                scores = scorer(payload)
-                if best:
-                    best.push(ids, scores)
-                else:
-                    r, q = np.nonzero((scores >= floor) & (scores > -np.inf))
-                    if len(r):
-                        yield arrow(q_ids, q, ids[r].tolist(), scores[r, q])
-        if best:
-            yield arrow(q_ids, *best.rows())
-
-    load = questions.limit(MAX_QUESTIONS + 1).agg(
-        F.count("*").alias("n"), F.coalesce(F.sum(F.size(questions.columns[1])), F.lit(0)).alias("items")
-    ).first()
-    if load.n <= MAX_QUESTIONS and load.items <= MAX_ITEMS:
-        block = questions.toPandas()
-        if block.empty:
-            return rows.sparkSession.createDataFrame([], schema)
-        q_ids, payloads = block.iloc[:, 0].tolist(), block.iloc[:, 1].tolist()
-
-        def one_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from results(q_ids, make_scorer(payloads), batches)
-
-        return rows.mapInArrow(one_block, schema)
-
-    zero = F.lit(0).cast("long")
-    whole = questions.agg(
-        F.count("*").alias("n"), F.sum(F.size(questions.columns[1])).alias("items")
-    ).first()
-    blocks = max(math.ceil(whole.n / MAX_QUESTIONS), math.ceil(whole.items / MAX_ITEMS))
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    cells = max(math.ceil(rows.count() / ROWS_PER_CELL), math.ceil(cores / blocks))
-    q_grid = questions.toDF("query_id", "payload").select(
-        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_block"),
-        F.explode(F.sequence(zero, F.lit(cells - 1).cast("long"))).alias("_cell"),
-        "query_id",
-        "payload",
-    )
-    r_grid = rows.toDF(id_col, "payload").select(
-        F.explode(F.sequence(zero, F.lit(blocks - 1).cast("long"))).alias("_block"),
-        F.pmod(F.xxhash64(id_col), F.lit(cells)).alias("_cell"),
-        id_col,
-        "payload",
-    )
-
-    def one_cell(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or r.empty:
-            return pd.DataFrame({"query_id": [], id_col: [], "score": []})
-        batch = pa.RecordBatch.from_pandas(r[[id_col, "payload"]], preserve_index=False)
-        scorer = make_scorer(q["payload"].tolist())
-        parts = list(results(q["query_id"].tolist(), scorer, [batch]))
-        return pa.Table.from_batches(parts, kinds).to_pandas()
-
-    grid = q_grid.groupBy("_block", "_cell").cogroup(r_grid.groupBy("_block", "_cell"))
-    return grid.applyInPandas(one_cell, schema)
 
-
-def best_k(hits: DataFrame, k: int, id_col: str) -> DataFrame:
-    """Rank hits per question by score, then id, and keep k (pruned before the shuffle)."""
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
-    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def comparable(questions: DataFrame, vectors: DataFrame, vector: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of both sides whose vectors can be compared: finite. ``by_length`` pairs equal lengths.
-
-    ``vectorstore.vector_health`` reports the others.
-    """
-
-    def finite(df: DataFrame) -> DataFrame:
-        odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-        return df.filter(F.col(vector).isNotNull() & ~odd)
-
-    return finite(questions), finite(vectors)
+def _vector_index(vectors: DataFrame | VectorIndex, id_col: str, vector: str) -> VectorIndex:
+    return vectors if isinstance(vectors, VectorIndex) else vectorindex.build(vectors, None, id_col, vector)
 
 
 def knn(
     questions: DataFrame,
-    vectors: DataFrame,
+    vectors: DataFrame | VectorIndex,
     k: int = 10,
     query_id: str = "query_id",
     id_col: str = "vec_id",
     vector: str = "embedding",
 ) -> DataFrame:
-    """Exact k nearest rows by cosine: (query_id, id, score, rank)."""
-    questions, vectors = comparable(questions, vectors, vector)
-    found = _scored(
-        questions.select(F.col(query_id).alias("query_id"), vector),
-        vectors.select(id_col, vector),
-        id_col, partial(by_length, _cosine_scorer), k, -2.0,
-    )
-    return best_k(found, k, id_col)
+    """Exact k nearest rows by cosine: (query_id, id, score, rank).
+
+    Finite vectors of the question's length are compared. A table is indexed first; hand in
+    an index to search again.
+    """
+    return _vector_index(vectors, id_col, vector).nearest(questions, k, query_id, vector)
 
 
 def score_pairs(
     questions: DataFrame,
-    vectors: DataFrame,
+    vectors: DataFrame | VectorIndex,
     min_score: float,
     query_id: str = "query_id",
     id_col: str = "vec_id",
     vector: str = "embedding",
 ) -> DataFrame:
     """All (question, row) pairs with a cosine of at least ``min_score``; others are never made."""
-    questions, vectors = comparable(questions, vectors, vector)
-    return _scored(
-        questions.select(F.col(query_id).alias("query_id"), vector),
-        vectors.select(id_col, vector),
-        id_col, partial(by_length, _cosine_scorer), None, min_score,
-    )
+    return _vector_index(vectors, id_col, vector).pairs(questions, min_score, query_id, vector)
 
 
 def nearest_by_terms(
     questions: DataFrame,
-    chunks: DataFrame,
+    chunks: DataFrame | TermIndex,
     k: int = 10,
     question: str = "question",
     id_col: str = "chunk_id",
@@ -293,19 +58,11 @@ def nearest_by_terms(
 ) -> DataFrame:
     """k best chunks per question by the share of question terms they hold.
 
-    Equal questions are scored once. Chunks sharing no term are no hits.
+    Equal questions are scored once. Chunks sharing no term are no hits. A table of chunks is
+    inverted for this search alone; hand in an index to search again.
     """
-    asked = questions.select("query_id", F.col(question).alias("_q"))
-    distinct = asked.groupBy("_q").agg(F.min("query_id").alias("_first"))
-    found = _scored(
-        distinct.select("_first", token_set("_q").alias("terms")),
-        chunks.select(id_col, token_set(text).alias("terms")),
-        id_col, _overlap_scorer, k, 0.0,
-    )
-    ranked = best_k(found, k, id_col).withColumnRenamed("query_id", "_first")
-    return ranked.join(asked.join(distinct, "_q"), "_first").select(
-        "query_id", id_col, "score", "rank"
-    )
+    index = chunks if isinstance(chunks, TermIndex) else termindex.once(chunks, id_col, text)
+    return index.search(questions, k, question)
 
 
 def above_threshold(hits: DataFrame, threshold: float, score: str = "score") -> DataFrame:
@@ -352,7 +109,7 @@ def retrieve(
 
     Without ``hits`` of an earlier vector search the first stage is term overlap.
     """
-    first = hits if hits is not None else nearest_by_terms(questions, chunks, fetch)
+    first = hits if hits is not None else stored(nearest_by_terms(questions, chunks, fetch), "term-hits")
     rows = hydrate_hits(
         first, chunks.select("chunk_id", "doc_id", "chunk_index", "chunk_text")
     ).join(questions.select("query_id", "question"), "query_id")
@@ -374,20 +131,21 @@ def mmr(candidates: DataFrame, k: int = 5, lam: float = 0.7, id_col: str = "vec_
     """Diverse choice of k among the few candidates of each question.
 
     ``candidates`` holds (query_id, id, score, embedding), already cut to the top N, so
-    a group has at most N rows.
+    a group has at most N rows. Ties go to the smaller id, null ids last.
     """
-    q_type = candidates.schema["query_id"].dataType.simpleString()
-    id_type = candidates.schema[id_col].dataType.simpleString()
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", id_col], ascending=[False, True], ignore_index=True)
-        m = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        relevance = pdf["score"].to_numpy(dtype=np.float64)
-        closest = np.zeros(len(pdf))
-        left = np.ones(len(pdf), dtype=bool)
+    types = {f.name: f for f in candidates.schema}
+    shape = T.StructType([types["query_id"]]).add("rank", "integer")
+    shape = shape.add(types[id_col]).add("mmr", "double")
+
+    def pick(rows: pa.Table) -> pa.Table:
+        order = [("score", "descending"), (id_col, "ascending")]
+        rows = rows.sort_by(order).combine_chunks()
+        m = unit_rows(rows.column("embedding").chunk(0))
+        relevance = rows.column("score").to_numpy()
+        closest = np.zeros(len(m))
+        left = np.ones(len(m), dtype=bool)
         chosen, values = [], []
-        for _ in range(min(k, len(pdf))):
+        for _ in range(min(k, len(m))):
             value = np.where(left, lam * relevance - (1 - lam) * closest, -np.inf)
             best = int(np.argmax(np.round(value, SCORE_DIGITS)))
             sims = m @ m[best]
@@ -395,20 +153,13 @@ def mmr(candidates: DataFrame, k: int = 5, lam: float = 0.7, id_col: str = "vec_
             left[best] = False
             chosen.append(best)
             values.append(float(value[best]))
-        return pd.DataFrame(
-            {
-                "query_id": pdf["query_id"].iloc[chosen].to_numpy(),
-                "rank": np.arange(1, len(chosen) + 1, dtype=np.int32),
-                id_col: pdf[id_col].iloc[chosen].to_numpy(),
-                "mmr": values,
-            }
+        of = rows.take(pa.array(chosen))
+        ranks = pa.array(np.arange(1, len(chosen) + 1, dtype=np.int32))
+        return pa.table(
+            [of.column("query_id"), ranks, of.column(id_col), pa.array(values)], names=["query_id", "rank", id_col, "mmr"]
         )
 
-    return (
-        candidates.select("query_id", id_col, "score", "embedding")
-        .groupBy("query_id")
-        .applyInPandas(pick, f"query_id {q_type}, rank int, {id_col} {id_type}, mmr double")
-    )
+    return candidates.select("query_id", id_col, "score", "embedding").groupBy("query_id").applyInArrow(pick, shape)
 
 
 def build_prompt(hits: DataFrame, questions: DataFrame, system_prompt: str) -> DataFrame:

@@ -6,11 +6,18 @@ from collections import deque
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioflow.functions.text import strip, token_windows, words
-from folioflow.operators.scale import each
+from folioflow.operators.matching import BETWEEN, Patterns
+from folioflow.operators.scale import broadcast_if_small, each
+from folioflow.session import stored
+
+SECTIONS_HELD = 65_536
+SEARCH_BYTES = 1 << 20
 
 # Separators of the recursive split, tried in this order.
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -145,18 +152,86 @@ def line_sections(df: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     return each(df, [key], full, "section")
 
 
+def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sections of a document that stand in its chunks, which stream past behind them."""
+    of: tuple | None = None
+    sections: list[bytes] = []
+    patterns: Patterns | None = None
+    left: set[int] = set()
+
+    def searched(texts: list[bytes]) -> list[str]:
+        nonlocal patterns
+        if patterns is None:
+            patterns = Patterns(sections)
+        new = left.intersection(patterns.found(BETWEEN.join(texts)).tolist())
+        left.difference_update(new)
+        return [sections[p].decode("utf-8") for p in new]
+
+    for batch in batches:
+        kind = batch.schema.field("key").type
+        keys, hits = [], []
+        held: list[bytes] = []
+        size = 0
+        for key, slot, chunk, body in zip(
+            *(batch.column(c).to_pylist() for c in ("key", "slot", "chunk", "body")), strict=True
+        ):
+            if of != (key, slot):
+                if held:
+                    found = searched(held)
+                    keys += [of[0]] * len(found)
+                    hits += found
+                of, sections, patterns, left, held, size = (key, slot), [], None, set(), [], 0
+            if not chunk:
+                left.add(len(sections))
+                sections.append(body)
+            elif left:
+                held.append(body)
+                size += len(body)
+                if size >= SEARCH_BYTES:
+                    found = searched(held)
+                    keys += [key] * len(found)
+                    hits += found
+                    held, size = [], 0
+        if held:
+            found = searched(held)
+            keys += [of[0]] * len(found)
+            hits += found
+        yield pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(hits, pa.string())], ["key", "section"])
+
+
 def found_sections(chunks: DataFrame, sections: DataFrame, key: str = "doc_id") -> DataFrame:
     """Sections that occur whole in some chunk of their document, one row each.
 
-    The sections of a document travel as one array, so only hits become rows.
+    A task holds the sections of a document, at most ``SECTIONS_HELD``, and searches its chunks
+    for all of them at once. Where a key has more, they are dealt into slots, and its chunks go
+    to each. Rows without a key, empty sections and null texts find nothing.
     """
-    lists = sections.groupBy(key).agg(F.collect_set("section").alias("_sections"))
-    hits = F.filter(F.col("_sections"), lambda s: F.contains(F.col("chunk_text"), s))
-    return each(chunks.select(key, "chunk_text").join(lists, key), [key], hits, "section").distinct()
+    wanted = sections.select(F.col(key).alias("key"), "section").filter("key IS NOT NULL AND section <> ''").distinct()
+    counts = wanted.groupBy("key").agg(F.ceil(F.count("*") / SECTIONS_HELD).cast("int").alias("slots"))
+    many = broadcast_if_small(counts.filter("slots > 1"))
+    slots = F.coalesce("slots", F.lit(1))
+    left = wanted.join(many, "key", "left").select(
+        "key", F.pmod(F.xxhash64("section"), slots).cast("int").alias("slot"), F.lit(False).alias("chunk"),
+        F.col("section").cast("binary").alias("body"),
+    )
+    texts = chunks.select(F.col(key).alias("key"), F.col("chunk_text").cast("binary").alias("body"))
+    right = texts.filter("key IS NOT NULL AND body IS NOT NULL").join(many, "key", "left").select(
+        "key", F.explode(F.sequence(F.lit(0), slots - 1)).alias("slot"), F.lit(True).alias("chunk"), "body"
+    )
+    shape = T.StructType([T.StructField("key", wanted.schema["key"].dataType)]).add("section", "string")
+    return (
+        left.unionByName(right)
+        .repartition("key", "slot")
+        .sortWithinPartitions("key", "slot", "chunk")
+        .mapInArrow(_matches, shape)
+        .distinct()
+        .withColumnRenamed("key", key)
+    )
 
 
 def section_preservation(chunks: DataFrame, sections: DataFrame, key: str = "doc_id") -> DataFrame:
     """Percentage of sections kept, per document."""
+    sections = stored(sections, "sections")
     found = found_sections(chunks, sections, key).withColumn("_found", F.lit(1))
     return (
         sections.join(found, [key, "section"], "left")
@@ -170,6 +245,7 @@ def section_preservation(chunks: DataFrame, sections: DataFrame, key: str = "doc
 
 
 def missing_sections(chunks: DataFrame, sections: DataFrame, key: str = "doc_id") -> DataFrame:
+    sections = stored(sections, "sections")
     return sections.join(found_sections(chunks, sections, key), [key, "section"], "left_anti")
 
 

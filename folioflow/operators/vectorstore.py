@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
-import numpy as np
-import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
@@ -14,7 +10,8 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.text import words
 from folioflow.functions.vectors import l2_norm, l2_normalize
-from folioflow.operators.retrieval import SCORE_DIGITS, _scored, best_k, by_length, comparable
+from folioflow.operators import vectorindex
+from folioflow.operators.vectorindex import VectorIndex
 
 
 def normalize_vectors(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -48,58 +45,17 @@ def vector_health(df: DataFrame, dim: int, vector: str = "embedding", tolerance:
     )
 
 
-def _planes(dim: int, tables: int, bits: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).normal(size=(dim, tables * bits))
-
-
-def _cells(m: np.ndarray, planes: np.ndarray, tables: int, bits: int) -> np.ndarray:
-    """Cell number of each vector in each table: one bit per plane."""
-    side = (m @ planes > 0).reshape(len(m), tables, bits)
-    return side @ (1 << np.arange(bits))
-
-
-def _lsh_scorer(payloads: list, tables: int, bits: int, seed: int):
-    """Cosine for rows that share a cell with a question in some table; -inf for others."""
-    q = np.stack([np.asarray(p, dtype=np.float64) for p in payloads])
-    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-    planes = _planes(q.shape[1], tables, bits, seed)
-    asked: list[dict[int, np.ndarray]] = []
-    q_cells = _cells(q, planes, tables, bits)
-    for t in range(tables):
-        asked.append({c: np.flatnonzero(q_cells[:, t] == c) for c in np.unique(q_cells[:, t])})
-
-    def score(column: pa.Array) -> np.ndarray:
-        m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        m = m.reshape(len(column), q.shape[1])
-        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        out = np.full((len(m), len(q)), -np.inf)
-        cells = _cells(m, planes, tables, bits)
-        for t in range(tables):
-            for cell, questions in asked[t].items():
-                rows = np.flatnonzero(cells[:, t] == cell)
-                if len(rows):
-                    out[np.ix_(rows, questions)] = np.round(m[rows] @ q[questions].T, SCORE_DIGITS)
-        return out
-
-    return score
-
-
 def ann(
-    questions: DataFrame, vectors: DataFrame, k: int = 10, tables: int = 16, bits: int = 4,
-    seed: int = 7, query_id: str = "query_id", id_col: str = "vec_id", vector: str = "embedding",
+    questions: DataFrame, vectors: DataFrame | VectorIndex, k: int = 10, probes: int = 16,
+    query_id: str = "query_id", id_col: str = "vec_id", vector: str = "embedding",
 ) -> DataFrame:
-    """Approximate k nearest: random-plane cells choose candidates, cosine ranks them.
+    """Approximate k nearest by cosine, from the ``probes`` nearest cells of an index.
 
-    Candidates are scored inside the scan and cut to k per question and task, so a cell
-    that holds much of the table makes no pair rows.
+    A table is indexed first; hand in an index to search again. More probes find more of the
+    exact hits (``recall``); as many as there are cells find all.
     """
-    questions, vectors = comparable(questions, vectors, vector)
-    found = _scored(
-        questions.select(F.col(query_id).alias("query_id"), vector),
-        vectors.select(id_col, vector),
-        id_col, partial(by_length, partial(_lsh_scorer, tables=tables, bits=bits, seed=seed)), k, -2.0,
-    )
-    return best_k(found, k, id_col)
+    index = vectors if isinstance(vectors, VectorIndex) else vectorindex.build(vectors, None, id_col, vector)
+    return index.search(questions, k, probes, query_id, vector)
 
 
 def recall(found: DataFrame, exact: DataFrame, id_col: str = "vec_id") -> DataFrame:

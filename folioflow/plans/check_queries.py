@@ -33,7 +33,7 @@ def keyword_search(spark, folder):
 )
 def above_threshold(spark, folder):
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
-    hits = retrieval.score_pairs(centroids(spark, folder), vectors, 0.0)
+    hits = retrieval.score_pairs(centroids(spark, folder), vectors, 0.3)
     return retrieval.above_threshold(hits, 0.3).select("query_id", "vec_id", r6("score").alias("score"))
 
 

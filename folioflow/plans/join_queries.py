@@ -136,6 +136,21 @@ def set_pairs(spark, folder):
     )
 
 
+@query(
+    "similar_sets",
+    f"""WITH {MARKED}, sets AS (SELECT DISTINCT role, c FROM cited),
+          j AS (SELECT a.role, array_to_string(a.c, ',') AS x, array_to_string(b.c, ',') AS y,
+                  len(list_intersect(a.c, b.c))::DOUBLE / len(list_distinct(list_concat(a.c, b.c))) AS m
+                FROM sets a JOIN sets b ON a.role = b.role AND array_to_string(a.c, ',') < array_to_string(b.c, ','))
+        SELECT role, x AS set_a, y AS set_b, round(m, 6) AS jaccard FROM j WHERE m >= 0.5""",
+)
+def similar_sets(spark, folder):
+    """Pairs of distinct citation sets that are at least half alike."""
+    out = joins.similar_sets(cited_sets(spark, folder), "role", 0.5)
+    a, b = (F.array_join(F.col(c).cast("array<string>"), ",") for c in ("citation_set", "other_set"))
+    return out.select("role", F.least(a, b).alias("set_a"), F.greatest(a, b).alias("set_b"), r6("jaccard").alias("jaccard"))
+
+
 @query(
     "citation_integrity",
     f"""WITH {q.chunk_ctes()} SELECT c.chunk_id, true AS source_exists,

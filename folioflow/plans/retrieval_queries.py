@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import vectors as vec
 from folioflow.functions.text import strip
-from folioflow.operators import retrieval, tables, training, vectorstore
+from folioflow.operators import retrieval, tables, termindex, training, vectorindex, vectorstore
 from folioflow.plans import sqltext as q
 from folioflow.plans.inputs import centroids, chunks, documents, questions, r6
 from folioflow.plans.registry import query
 from folioflow.plans.window_queries import PAIRS
-from folioflow.session import table
+from folioflow.session import stored, table
 
 
 def vectors(spark, folder):
@@ -74,7 +74,7 @@ _MANY = f"""
         FROM hits WHERE rank <= 5""",
 )
 def retrieve_batch(spark, folder):
-    """Benchmark items and all user turns as one batch of questions."""
+    """Benchmark items and all user turns as one batch of questions, over a written index."""
     turns = table(spark, folder, "conversations").filter(F.col("role") == "user")
     key = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
     asked = questions(spark, folder).select(
@@ -82,7 +82,7 @@ def retrieve_batch(spark, folder):
     ).unionByName(
         turns.select(key.alias("query_id"), F.substring(strip("text"), 1, 512).alias("question"))
     )
-    out = retrieval.nearest_by_terms(asked, chunks(spark, folder), 5)
+    out = termindex.build(chunks(spark, folder)).search(asked, 5)
     return out.withColumn("score", r6("score"))
 
 
@@ -157,9 +157,10 @@ def embed_chunks(spark, folder):
 
 @query("ann")
 def ann(spark, folder):
-    asked, rows = centroids(spark, folder), vectors(spark, folder)
-    found = vectorstore.ann(asked, rows, 10)
-    share = vectorstore.recall(found, retrieval.knn(asked, rows, 10))
+    """One index, searched twice: approximately, and exactly for the recall."""
+    asked, index = centroids(spark, folder), vectorindex.build(vectors(spark, folder))
+    found = stored(vectorstore.ann(asked, index, 10), "approximate-hits")
+    share = vectorstore.recall(found, retrieval.knn(asked, index, 10))
     return found.join(share, "query_id").select("query_id", "vec_id", "rank", r6("score").alias("score"), "recall")
 
 

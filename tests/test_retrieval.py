@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.operators import retrieval, vectorstore
+from folioflow.operators import retrieval, vectorindex, vectorstore
 
 QUESTIONS = [
     (1, "What does comprehensive auto insurance cover?"),
@@ -40,12 +40,11 @@ def test_knn_is_exact_with_many_copies(vectors, asked):
         assert [r.vec_id for r in got if r.query_id == q] == brute(m, q, 7)
 
 
-def test_grid_of_blocks_gives_the_same(vectors, asked, monkeypatch):
+def test_small_parts_give_the_same(vectors, asked, monkeypatch):
     _, df = vectors
     want = retrieval.knn(asked, df, 7).drop("score").collect()
     pairs = retrieval.score_pairs(asked, df, 0.2).select("query_id", "vec_id").collect()
-    monkeypatch.setattr(retrieval, "MAX_QUESTIONS", 2)
-    monkeypatch.setattr(retrieval, "ROWS_PER_CELL", 90)
+    monkeypatch.setattr(vectorindex, "PART_VALUES", 90 * 16)
     got = retrieval.knn(asked, df, 7).drop("score").collect()
     assert sorted(got) == sorted(want)
     again = retrieval.score_pairs(asked, df, 0.2).select("query_id", "vec_id").collect()
@@ -54,11 +53,12 @@ def test_grid_of_blocks_gives_the_same(vectors, asked, monkeypatch):
 
 def test_approximate_search_ranks_by_cosine_and_recalls(vectors, asked):
     _, df = vectors
-    exact = retrieval.knn(asked, df, 10)
-    found = vectorstore.ann(asked, df, 10, tables=24, bits=3)
+    index = vectorindex.build(df)
+    exact = retrieval.knn(asked, index, 10)
+    found = vectorstore.ann(asked, index, 10)
     recall = vectorstore.recall(found, exact).agg(F.avg("recall").alias("r")).first().r
-    assert recall >= 0.8
-    scores = {(r.query_id, r.vec_id): r.score for r in retrieval.score_pairs(asked, df, -1.0).collect()}
+    assert recall >= 0.9
+    scores = {(r.query_id, r.vec_id): r.score for r in retrieval.score_pairs(asked, index, -1.0).collect()}
     assert all(scores[(r.query_id, r.vec_id)] == pytest.approx(r.score) for r in found.collect())
 
 
