@@ -4,8 +4,9 @@ Each document's set of word shingles gives 240 minima. Bands of six minima make
 groups; the two low bits of every minimum, packed into a signature, estimate the similarity of
 candidates by bit counts, corrected for chance collisions. What may reach the threshold is
 compared on the whole texts. Copies (equal sets) are one class from the start. In a candidate
-group everyone meets the smallest member first; where that leaves more than one component,
-members of different components meet each other, until no untested candidate pair remains.
+group everyone meets the smallest member first. Where that leaves more than one component the
+group is dealt into tiles, and each two tiles are compared in one task, which returns only the
+links that join components.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,7 +30,8 @@ HASHES = ROWS * BANDS
 BITS = 2
 LONGS = -(-HASHES * BITS // 64)
 MARGIN = 0.13  # over four standard deviations of the estimate at a similarity of 0.8
-ASKED = 256  # candidate pairs of two components that are tested first; then eight times as many
+TILE = 1024  # members of a candidate group that meet in one task, and bytes of their sets
+TILE_BYTES = 32 << 20
 
 _rng = np.random.Generator(np.random.PCG64(411))
 _TIMES = _rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -118,19 +121,78 @@ def _verify(width: int, percent: int):
     return run
 
 
-def _may_reach(one: str, other: str, percent: int) -> Column:
-    """Whether two classes may be similar enough, by set sizes and by their signatures."""
-    differing = None
-    even = F.lit(0x5555555555555555)
-    for k in range(LONGS):
-        x = F.col(f"{one}.sig")[k].bitwiseXOR(F.col(f"{other}.sig")[k])
-        symbols = F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(even))
-        differing = symbols if differing is None else differing + symbols
-    n, m = F.col(f"{one}.n_shingles"), F.col(f"{other}.n_shingles")
+def _sets(width: int):
+    """Shingle set of each text, as sorted 64-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("text"))
+            for low, high in row_blocks(offsets):
+                sets = shingle_sets(Words(data, offsets[low : high + 1], lower=True), width)
+                packed = pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(low, high - low), packed], ["rep", "shingles"]
+                )
+
+    return run
+
+
+def _most_differing(percent: int) -> int:
+    """Differing symbols up to which two signatures may belong to sets of the asked similarity."""
     chance = 1 / (1 << BITS)
-    least = max(0.0, percent / 100 - MARGIN)
-    most = int(HASHES * (1 - (chance + (1 - chance) * least)))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differing <= most)
+    return int(HASHES * (1 - (chance + (1 - chance) * max(0.0, percent / 100 - MARGIN))))
+
+
+def _differing(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Symbols in which signatures differ."""
+    x = one ^ others
+    return np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1)
+
+
+def _spanning(percent: int):
+    """Links between components in a group of members, no more than it takes to join them.
+
+    Members outside the largest component look for links to others. The signatures say which
+    may be alike; these are compared by counting shared shingles of the whole sets.
+    """
+    most = _most_differing(percent)
+
+    def run(rows: pa.Table) -> pa.Table:
+        n = rows.num_rows
+        reps = rows.column("rep").combine_chunks()
+        tile = rows.column("tile").to_numpy()
+        across = rows.column("low")[0].as_py() != rows.column("high")[0].as_py()
+        label = np.unique(rows.column("component").to_numpy(), return_inverse=True)[1]
+        signature = rows.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(n, LONGS)
+        sets = [np.frombuffer(s.as_buffer(), "<u8") for s in rows.column("shingles")]
+        size = np.array([len(s) for s in sets], np.int64)
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        owner = np.repeat(np.arange(n), size)[order]
+        known, begins = np.unique(flat[order], return_index=True)
+        begins = np.append(begins, len(flat))
+        links: list[tuple[int, int]] = []
+        largest = np.bincount(label).argmax()
+        for x in np.flatnonzero(label != largest).tolist():
+            able = (label != label[x]) & (np.minimum(size, size[x]) * 100 >= np.maximum(size, size[x]) * percent)
+            if across:
+                able &= tile != tile[x]
+            able = np.flatnonzero(able)
+            able = able[_differing(signature[x], signature[able]) <= most]
+            if not len(able):
+                continue
+            at = np.searchsorted(known, sets[x])
+            holders = np.concatenate([owner[a:z] for a, z in zip(begins[at], begins[at + 1], strict=True)])
+            common = np.bincount(holders, minlength=n)[able]
+            found = able[100 * common >= percent * (size[x] + size[able] - common)]
+            for y in found[np.unique(label[found], return_index=True)[1]].tolist():
+                links.append((x, y))
+                label[label == label[y]] = label[x]
+        pairs = np.array(links, np.int64).reshape(-1, 2)
+        a, b = (reps.take(pa.array(side)) for side in pairs.T)
+        return pa.table([pc.min_element_wise(a, b), pc.max_element_wise(a, b)], names=["a", "b"])
+
+    return run
 
 
 def estimate(differing: int) -> float:
@@ -231,35 +293,35 @@ def _components_of(rows: DataFrame, classes: DataFrame, width: int, percent: int
         .filter("low < high"),
         "mixed",
     ).select("band")
-    open_members = written(placed.join(mixed, "band").join(slim, "rep"), "open")
-    x, y = open_members.alias("x"), open_members.alias("y")
-    cross = (
-        x.join(
-            y,
-            (F.col("x.band") == F.col("y.band"))
-            & (F.col("x.component") < F.col("y.component"))
-            & _may_reach("x", "y", percent),
+    open_members = written(placed.join(mixed, "band"), "open")
+    wanted = open_members.select(F.col("rep").alias("doc_id")).distinct()
+    sets = written(
+        texts.filter("text IS NOT NULL").join(wanted, "doc_id", "left_semi")
+        .mapInArrow(_sets(width), f"rep {texts.schema['doc_id'].dataType.simpleString()}, shingles binary"),
+        "sets",
+    )
+    whole = open_members.join(slim, "rep").join(sets, "rep")
+    sizes = whole.groupBy("band").agg(
+        F.ceil(F.greatest(F.count("*") / TILE, F.sum(F.octet_length("shingles").cast("long")) / TILE_BYTES)).cast("int").alias("tiles")
+    )
+    # Each two tiles of a group meet in one task; a group of one tile is one row per member.
+    tile = F.pmod(F.xxhash64("rep", "shingles"), F.col("tiles")).cast("int")
+    meets = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    dealt = (
+        whole.join(sizes, "band")
+        .withColumn("tile", tile)
+        .withColumn("other", meets)
+        .select(
+            "band", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"),
+            "tile", "rep", "component", "n_shingles", "sig", "shingles",
         )
-        .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-        .groupBy("a", "b").agg(F.count("*").alias("shared"))
     )
-    # Those with most shared bands of each two components first; once these are one, the rest needs no test.
-    left, asked = written(cross, "cross"), ASKED
-    while left.limit(1).count():
-        of = [labels.select(F.col("node").alias(k), F.col("component").alias(f"_{k}")) for k in ("a", "b")]
-        sides = (
-            left.join(of[0], "a", "left").join(of[1], "b", "left")
-            .withColumn("p", F.coalesce("_a", "a")).withColumn("q", F.coalesce("_b", "b"))
-            .filter("p <> q")
-        )
-        first = W.partitionBy(F.least("p", "q"), F.greatest("p", "q")).orderBy(F.desc("shared"), "a", "b")
-        ranked = written(sides.select("a", "b", "shared", F.row_number().over(first).alias("r")), "ranked")
-        more = verified(ranked.filter(F.col("r") <= asked).select("a", "b"), "verified")
-        tested = tested.unionByName(more.filter("linked").select("a", "b"))
-        if more.filter("linked").limit(1).count():
-            labels = written(components(tested), "labels")
-        left, asked = ranked.filter(F.col("r") > asked).select("a", "b", "shared"), asked * 8
-    return labels
+    id_type = classes.schema["rep"].dataType.simpleString()
+    spanning = dealt.groupBy("band", "low", "high").applyInArrow(_spanning(percent), f"a {id_type}, b {id_type}")
+    more = written(spanning.distinct(), "spanning")
+    if not more.limit(1).count():
+        return labels
+    return written(components(tested.unionByName(more)), "labels")
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
