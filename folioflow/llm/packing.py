@@ -4,7 +4,8 @@ Every task packs the pieces of its own partition online: of a fixed number of op
 one with the least free space that suffices takes the piece; if none does, a new bin is
 opened, and at the limit the fullest open bin closes first. Open bins are found in a bitset
 keyed by free space. What is still in open bins when a partition ends is packed again, for
-groups of partitions together, so that small partitions leave no half-filled sequences.
+groups of partitions together, so that small partitions leave no half-filled sequences; there
+are then as many bins as the partitions of a group had together.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -140,12 +141,15 @@ def pack(
 
     done = written(cells.mapInArrow(first_pass, shape), "packed")
 
-    def second_pass(left: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values(["length", "source", "doc_id", "piece"], ascending=[False, True, True, True])
+    names = done.columns
+
+    def second_pass(left: pa.Table) -> pa.Table:
+        order = [("length", "descending"), ("source", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")]
+        left = left.sort_by(order)
         # Ids of the second pass follow those of the group's first partition, above 2**32.
-        first, made = (int(left["source"].min()) << 33) + (1 << 32), 0
-        bins = OpenBins(capacity, max(1, len(left)))
-        sequence, offset = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
+        first, made = (pc.min(left.column("source")).as_py() << 33) + (1 << 32), 0
+        bins = OpenBins(capacity, GROUP * open_bins)
+        sequence, offset = np.zeros(left.num_rows, np.int64), np.zeros(left.num_rows, np.int64)
 
         def close(one: list[tuple[int, int]]) -> None:
             nonlocal made
@@ -153,18 +157,19 @@ def pack(
                 sequence[i], offset[i] = first + made, at
             made += 1
 
-        for i, length in enumerate(left["length"].tolist()):
+        for i, length in enumerate(left.column("length").to_pylist()):
             for one in bins.place(i, length):
                 close(one)
         for one in bins.rest():
             close(one)
-        return left.assign(sequence_id=sequence, offset=offset)
+        made_columns = {"sequence_id": pa.array(sequence), "offset": pa.array(offset)}
+        return pa.table({name: made_columns.get(name, left.column(name)) for name in names})
 
     closed = done.filter("sequence_id IS NOT NULL")
     again = (
         done.filter("sequence_id IS NULL")
         .groupBy(F.floor(F.col("source") / GROUP).alias("_group"))
-        .applyInPandas(second_pass, done.schema)
+        .applyInArrow(second_pass, done.schema)
     )
     return closed.unionByName(again).drop("source")
 

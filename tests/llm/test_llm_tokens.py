@@ -77,6 +77,13 @@ def test_pack(spark, open_bins):
     assert packing.pack(llm_cases.empty(spark), BYTE).count() == 0
 
 
+def test_large_ids_beside_a_missing_one_stay_whole(spark):
+    keys = [None, 2**53 + 1, 2**53 + 3, 2**62 + 1]
+    docs = spark.createDataFrame([(k, llm_cases.prose(i, 30)) for i, k in enumerate(keys)], "doc_id long, text string")
+    got = packing.pack(docs.coalesce(1), BYTE).collect()
+    assert {r.doc_id for r in got} == set(keys) and len(got) == 4
+
+
 def check_packing(got, encoded, size):
     by_sequence, by_doc = defaultdict(list), defaultdict(list)
     for r in got:
@@ -107,7 +114,7 @@ def test_packing_is_tight(spark, small):
     assert sequences <= 1.01 * -(-sum(len(e) for _, e in encoded) // 1024) + 1
 
 
-@pytest.mark.parametrize("bits", [1, 3, 7, 16, 17, 31])
+@pytest.mark.parametrize("bits", [1, 3, 7, 8, 16, 17, 31, 32])
 def test_bit_packing_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 200_003).astype("<u4")
     packed = token_files.pack_bits(ids, bits)
