@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from math import isqrt
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -135,14 +135,6 @@ def bleu(pairs: DataFrame, max_order: int = 4) -> DataFrame:
 # --- row scores in Arrow batches -----------------------------------------------------
 
 
-def _codes(a: Sequence[str], b: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    known: dict[str, int] = {}
-    return tuple(
-        np.fromiter((known.setdefault(t, len(known)) for t in side), np.int64, len(side))
-        for side in (a, b)
-    )
-
-
 def lcs_length(a: Sequence[str], b: Sequence[str]) -> int:
     """Longest common subsequence; a bit per position of ``a``."""
     where: dict[str, int] = {}
@@ -156,21 +148,44 @@ def lcs_length(a: Sequence[str], b: Sequence[str]) -> int:
     return len(a) - free.bit_count()
 
 
-def _lcs_positions(a: np.ndarray, b: np.ndarray) -> set[int]:
-    """Positions of ``a`` on one longest common subsequence with ``b``."""
-    table = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
+def lcs_positions(a: Sequence[object], b: Sequence[object]) -> set[int]:
+    """Positions of ``a`` on one longest common subsequence with ``b``, the last ones that fit.
+
+    A bit per position of ``a`` tells where a column of the table grows. Only every so many
+    columns are kept, about the square root of their number; those between are made again
+    when the way back comes to them.
+    """
+    where: dict[object, int] = {}
     for i, t in enumerate(a):
-        grown = np.maximum(table[i, 1:], np.where(b == t, table[i, :-1] + 1, 0))
-        table[i + 1, 1:] = np.maximum.accumulate(grown)
+        where[t] = where.get(t, 0) | (1 << i)
+    full = (1 << len(a)) - 1
+
+    def after(free: int, t: object) -> int:
+        hit = free & where.get(t, 0)
+        return ((free + hit) | (free - hit)) & full
+
+    step = max(1, isqrt(len(b)))
+    kept, free = [full], full
+    for j, t in enumerate(b, 1):
+        free = after(free, t)
+        if j % step == 0:
+            kept.append(free)
     i, j, on = len(a), len(b), set()
+    columns: list[int] = []
+    first = None
     while i and j:
+        if j // step != first:
+            first = j // step
+            columns = [kept[first]]
+            for t in b[first * step : (first + 1) * step - 1]:
+                columns.append(after(columns[-1], t))
         if a[i - 1] == b[j - 1]:
             on.add(i - 1)
             i, j = i - 1, j - 1
-        elif table[i, j - 1] > table[i - 1, j]:
-            j -= 1
-        else:
+        elif (columns[j - first * step] >> (i - 1)) & 1:
             i -= 1
+        else:
+            j -= 1
     return on
 
 
@@ -179,16 +194,16 @@ def rouge_lsum_hits(reference: Sequence[Sequence[str]], candidate: Sequence[Sequ
     have = Counter(t for s in candidate for t in s)
     left = Counter(t for s in reference for t in s)
     known = {t: i for i, t in enumerate(have.keys() | left.keys())}
-    others = [(set(s), np.array([known[t] for t in s])) for s in candidate if len(s)]
+    others = [(set(s), [known[t] for t in s]) for s in candidate if len(s)]
     hits = 0
     for sentence in reference:
         if not len(sentence):
             continue
-        bag, codes = set(sentence), np.array([known[t] for t in sentence])
+        bag, codes = set(sentence), [known[t] for t in sentence]
         on: set[int] = set()
         for other_bag, other in others:
             if not bag.isdisjoint(other_bag):
-                on |= _lcs_positions(codes, other)
+                on |= lcs_positions(codes, other)
         for i in sorted(on):
             t = sentence[i]
             if have[t] > 0 and left[t] > 0:
@@ -199,18 +214,27 @@ def rouge_lsum_hits(reference: Sequence[Sequence[str]], candidate: Sequence[Sequ
 
 
 def word_edits(a: Sequence[str], b: Sequence[str]) -> int:
-    """Word insertions, deletions and substitutions between two word lists."""
-    if not a or not b:
+    """Word insertions, deletions and substitutions between two word lists.
+
+    A bit per word of ``a`` holds the steps up and down of a column of the table, so a
+    column costs a few operations on long integers and no table is kept.
+    """
+    if not len(a) or not len(b):
         return len(a) + len(b)
-    a_codes, b_codes = _codes(a, b)
-    at = np.arange(len(b) + 1)
-    row = at.copy()
-    for i, t in enumerate(a_codes, 1):
-        best = np.empty_like(row)
-        best[0] = i
-        best[1:] = np.minimum(row[1:] + 1, row[:-1] + (b_codes != t))
-        row = np.minimum.accumulate(best - at) + at
-    return int(row[-1])
+    where: dict[str, int] = {}
+    for i, t in enumerate(a):
+        where[t] = where.get(t, 0) | (1 << i)
+    full, last = (1 << len(a)) - 1, len(a) - 1
+    up, down, edits = full, 0, len(a)
+    for t in b:
+        same = where.get(t, 0)
+        level = same | down
+        along = ((((same & up) + up) ^ up) | same) & full
+        more, fewer = down | (full & ~(along | up)), up & along
+        edits += (more >> last & 1) - (fewer >> last & 1)
+        more, fewer = (more << 1 | 1) & full, fewer << 1 & full
+        up, down = fewer | (full & ~(level | more)), more & level
+    return edits
 
 
 def meteor_score(reference: Sequence[str], candidate: Sequence[str]) -> float:
@@ -411,6 +435,13 @@ def answer_issues(
     return F.filter(found, lambda i: i.isNotNull())
 
 
+def term_similarity(a: Column | str, b: Column | str) -> Column:
+    """Cosine of two texts as 0/1 vectors of their terms; 0 if either has none."""
+    a, b = token_set(a), token_set(b)
+    norm = F.sqrt(F.size(a).cast("double") * F.size(b))
+    return F.when(norm > 0, F.size(F.array_intersect(a, b)) / norm).otherwise(F.lit(0.0))
+
+
 def validate_response(answers: DataFrame, hits: DataFrame, similarity: str | None = None) -> DataFrame:
     """Verdict, issues and grounding of each answer."""
     scored = answers.join(doc_overlap(answers, hits), "query_id")

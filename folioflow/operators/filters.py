@@ -101,10 +101,15 @@ def apply_rules(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
 
 
 def declared_rules(
-    turns: str = "conversations", sentiment: str = "sentiment", entities: str = "entities"
-) -> dict[str, Column]:
-    """The declared rule set: turn count, words per turn, sentiment present, entities present."""
-    return {
+    turns: str = "conversations", sentiment: str = "sentiment", entities: str = "entities",
+    fields: Sequence[str] = (),
+) -> dict[str, Column]:
+    """The declared rule set: turn count, words per turn, sentiment present, entities present.
+
+    With ``fields`` also that these columns are there and not null.
+    """
+    present = {"field_check": reduce(lambda a, f: a & F.col(f).isNotNull(), fields, F.lit(True))} if fields else {}
+    return present | {
         "length_check": F.size(turns).between(2, 10),
         "content_check": F.forall(turns, lambda t: F.size(words(t["value"])) >= 10),
         "sentiment_check": F.col(sentiment).isNotNull(),

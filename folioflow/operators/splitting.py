@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,19 +23,36 @@ SEARCH_BYTES = 1 << 20
 SEPARATORS = ("\n\n", "\n", " ", "")
 
 
-def _pieces(text: str, size: int, separators: Sequence[str]) -> Iterator[str]:
+Length = Callable[[str], int]
+
+
+def _cut(part: str, size: int, length: Length) -> Iterator[str]:
+    """Runs of characters no longer than ``size``; a single character is never cut."""
+    if length is len:
+        yield from (part[i : i + size] for i in range(0, len(part), size))
+        return
+    todo = [part]
+    while todo:
+        part = todo.pop()
+        if length(part) <= size or len(part) == 1:
+            yield part
+        else:
+            todo += [part[len(part) // 2 :], part[: len(part) // 2]]
+
+
+def _pieces(text: str, size: int, separators: Sequence[str], length: Length) -> Iterator[str]:
     """The text in order, cut into pieces no longer than ``size``."""
     todo = [(text, 0)]
     while todo:
         part, level = todo.pop()
-        if len(part) <= size:
+        if length(part) <= size:
             yield part
             continue
         while separators[level] and separators[level] not in part:
             level += 1
         mark = separators[level]
         if not mark:
-            yield from (part[i : i + size] for i in range(0, len(part), size))
+            yield from _cut(part, size, length)
             continue
         first, *rest = part.split(mark)
         cuts = [first, *(mark + r for r in rest)]
@@ -43,40 +60,70 @@ def _pieces(text: str, size: int, separators: Sequence[str]) -> Iterator[str]:
 
 
 def recursive_chunks(
-    text: str, size: int = 1000, overlap: int = 200, separators: Sequence[str] = SEPARATORS
-) -> Iterator[str]:
-    """Pieces packed up to ``size``; at most ``overlap`` characters repeat in the next chunk."""
-    held: deque[str] = deque()
-    length = 0
-    for piece in _pieces(text, size, separators):
-        if length + len(piece) > size:
-            chunk = "".join(held).strip()
+    text: str, size: int = 1000, overlap: int = 200, separators: Sequence[str] = SEPARATORS,
+    length: Length = len,
+) -> Iterator[str]:
+    """Pieces packed up to ``size``; at most ``overlap`` of it repeats in the next chunk.
+
+    ``length`` measures a text, in characters unless it says otherwise; the length of a chunk
+    is the sum of those of its pieces.
+    """
+    held: deque[tuple[str, int]] = deque()
+    total = 0
+    for piece in _pieces(text, size, separators, length):
+        n = length(piece)
+        if total + n > size:
+            chunk = "".join(p for p, _ in held).strip()
             if chunk:
                 yield chunk
-            while held and (length > overlap or length + len(piece) > size):
-                length -= len(held.popleft())
-        held.append(piece)
-        length += len(piece)
-    chunk = "".join(held).strip()
+            while held and (total > overlap or total + n > size):
+                total -= held.popleft()[1]
+        held.append((piece, n))
+        total += n
+    chunk = "".join(p for p, _ in held).strip()
     if chunk:
         yield chunk
 
 
+def count_words(text: str) -> int:
+    """A length for ``recursive_chunks``: white-space separated words."""
+    return len(text.split())
+
+
 def split_recursive(
-    df: DataFrame, size: int = 1000, overlap: int = 200, text: str = "text"
+    df: DataFrame, size: int = 1000, overlap: int = 200, text: str = "text", length: Length = len
 ) -> DataFrame:
-    """Chunk rows by the recursive character rule; other columns are copied."""
+    """Chunk rows by the recursive rule, measured by ``length``; other columns are copied."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and smaller than size")
 
     @F.pandas_udf("array<string>")
     def chunks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda t: list(recursive_chunks(t or "", size, overlap)))
+            yield batch.map(lambda t: list(recursive_chunks(t or "", size, overlap, length=length)))
 
     return number_chunks(df.withColumn("_chunks", chunks(F.col(text))).drop(text), "_chunks")
 
 
+@F.udtf(returnType="chunk_index int, chunk_text string")
+class RecursiveChunks:
+    """Table function form of ``split_recursive``: chunks of a text one by one, as rows.
+
+    Arguments: text, size, overlap, and the unit of both, ``chars`` (default) or ``words``.
+    """
+
+    def eval(self, text: str, size: int = 1000, overlap: int = 200, unit: str = "chars"):
+        if not 0 <= overlap < size:
+            raise ValueError("overlap must be at least 0 and smaller than size")
+        length = {"chars": len, "words": count_words}[unit]
+        yield from enumerate(recursive_chunks(text or "", size, overlap, length=length))
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Makes ``recursive_chunks(text, size, overlap, unit)`` known to SQL, for LATERAL joins."""
+    spark.udtf.register("recursive_chunks", RecursiveChunks)
+
+
 def split_tokens(
     df: DataFrame, size: int = 256, overlap: int = 128, text: str = "text"
 ) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from math import log
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -138,6 +139,45 @@ def default_lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(LEXICON.items()), "word string, polarity double")
 
 
+def learn_lexicon(
+    labelled: DataFrame, text: str = "text", label: str = "label", least: int = 3, sure: float = 1.96
+) -> DataFrame:
+    """A lexicon (word, polarity, texts) from texts with a label above 0 (good) or not.
+
+    A word's evidence is the logarithm of its odds to stand in a good text against those of
+    all words, smoothed by half a text. Words in fewer than ``least`` texts, and those whose
+    evidence is within ``sure`` standard errors of none, teach nothing. ``polarity`` is the
+    evidence brought to -1 to 1. Null texts and labels are left out.
+
+    Texts count a word once; counts are added up in the tasks first, so a word in every text
+    is no hot key.
+    """
+    known = labelled.select(F.col(text).alias("_t"), F.col(label).alias("_l")).filter("_t IS NOT NULL AND _l IS NOT NULL")
+    seen = each(known, [(F.col("_l") > 0).cast("int").alias("_good")], F.array_distinct(words(F.lower("_t"))), "word")
+    counts = seen.groupBy("word").agg(F.sum("_good").alias("good"), F.count("*").alias("texts"))
+    whole = counts.agg(F.sum("good").alias("g"), F.sum("texts").alias("n")).first()
+    good, bad = float(whole["g"] or 0), float((whole["n"] or 0) - (whole["g"] or 0))
+    up, down = F.col("good") + 0.5, F.col("texts") - F.col("good") + 0.5
+    evidence = F.log(up / down) - F.lit(log((good + 0.5) / (bad + 0.5)))
+    error = F.sqrt(1 / up + 1 / down)
+    return (
+        counts.filter(F.col("texts") >= least)
+        .withColumn("_e", evidence)
+        .filter(F.abs("_e") > sure * error)
+        .select("word", F.tanh(F.col("_e") / 2).alias("polarity"), "texts")
+    )
+
+
+def lexicon_accuracy(scored: DataFrame, label: str = "label") -> DataFrame:
+    """How well polarities (``polarity``) tell labels: texts, accuracy, and the share of the larger class."""
+    right = (F.col("polarity") >= 0) == (F.col(label) > 0)
+    good = F.avg((F.col(label) > 0).cast("double"))
+    return scored.filter(F.col(label).isNotNull()).agg(
+        F.count("*").alias("texts"), F.avg(right.cast("double")).alias("accuracy"),
+        F.greatest(good, 1 - good).alias("larger_class"),
+    )
+
+
 def sentiment(
     df: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "text", bound: float = 0.6
 ) -> DataFrame:

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.text import count_tokens, file_extension, file_name
 from folioflow.operators import aggregates as agg
-from folioflow.operators import evaluation
+from folioflow.operators import evaluation, sketches
 from folioflow.plans import sqltext as q
 from folioflow.plans.inputs import chunks, documents, log, pairs, r6, texts
 from folioflow.plans.registry import query
-from folioflow.session import table
+from folioflow.session import scratch_path, table
 
 _K = "json_extract(props, '$.k')::BIGINT"
 
@@ -77,6 +77,22 @@ def latency_stats(spark, folder):
     return out.withColumns({c: r6(c) for c in ("mean", "median", "std_dev")})
 
 
+@query(
+    "merged_summaries",
+    """SELECT event_type, count(*) AS rows, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std_dev,
+         min(value) AS min, max(value) AS max FROM events GROUP BY 1""",
+)
+def merged_summaries(spark, folder):
+    """Two increments stored as daily summaries, one of them twice, and merged on read."""
+    path, events = scratch_path(spark, "summaries"), log(spark, folder)
+    half = F.pmod(F.xxhash64("event_id"), F.lit(2))
+    for number in (0, 1, 0):
+        sketches.add_increment(events.filter(half == number), path, number, "ts", ["event_type"], "value", "user_id")
+    out = sketches.merged(sketches.read_summaries(spark, path), ["event_type"])
+    rounded = {c: r6(c) for c in ("mean", "std_dev")}
+    return out.withColumns(rounded).select("event_type", "rows", "mean", "std_dev", "min", "max")
+
+
 @query(
     "hit_rate",
     """SELECT event_type, count(*) FILTER (value < 50) AS cache_hits, count(*) FILTER (NOT value < 50) AS cache_misses,

@@ -164,6 +164,73 @@ def apply_rules(spark, folder):
     return out.select("conv_id", F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
+def exchanges(spark, folder):
+    """Each turn with the one after it, as an array of (from, value), and what a conversation file adds."""
+    turns = table(spark, folder, "conversations")
+    names = F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "gpt").otherwise(F.col("role"))
+    said = turns.select("conv_id", "turn", F.struct(names.alias("from"), F.col("text").alias("value")).alias("said"))
+    after = said.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("said").alias("reply"))
+    both = F.filter(F.array("said", "reply"), lambda t: t.isNotNull())
+    return said.join(after, ["conv_id", "turn"], "left").select(
+        "conv_id", "turn", both.alias("conversations"), "reply",
+        F.lit("conversations").alias("source"), F.when(F.col("conv_id") % 7 > 0, F.col("turn")).alias("timestamp"),
+        F.col("said.from").alias("metadata"),
+    )
+
+
+_EXCHANGES = """e AS (
+    SELECT a.conv_id, a.turn, a.role, a.text, b.role AS role2, b.text AS text2,
+      CASE WHEN a.conv_id % 7 > 0 THEN a.turn END AS timestamp
+    FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)"""
+
+
+@query(
+    "validate_sharegpt_arrays",
+    f"""WITH {_EXCHANGES} SELECT conv_id, turn,
+          role IN ('user', 'assistant') AND (role2 IS NULL OR role2 IN ('user', 'assistant')) AS is_valid FROM e""",
+)
+def validate_sharegpt_arrays(spark, folder):
+    """The structure check on arrays of (from, value), as conversation files hold them."""
+    return filters.validate_sharegpt(exchanges(spark, folder)).select("conv_id", "turn", "is_valid")
+
+
+@query(
+    "validate_conversation_arrays",
+    f"""WITH {_EXCHANGES} SELECT conv_id, turn, timestamp IS NOT NULL AND text2 IS NOT NULL
+          AND length(text) BETWEEN 50 AND 2000 AND length(text2) BETWEEN 50 AND 2000 AS is_valid FROM e""",
+)
+def validate_conversation_arrays(spark, folder):
+    """Required fields, turns and text lengths of arrays of (from, value)."""
+    return filters.validate_conversation(exchanges(spark, folder)).select("conv_id", "turn", "is_valid")
+
+
+_CAPS2 = _CAPS.replace("text", "coalesce(text2, '')")
+
+
+@query(
+    "apply_declared_rules",
+    f"""WITH {_EXCHANGES} SELECT conv_id, turn, concat_ws(',', CASE WHEN timestamp IS NULL THEN 'field_check' END,
+          CASE WHEN text2 IS NULL THEN 'length_check' END,
+          CASE WHEN len({q.words('text')}) < 10 OR len({q.words("coalesce(text2, text)")}) < 10 THEN 'content_check' END,
+          CASE WHEN role2 IS NULL THEN 'sentiment_check' END,
+          CASE WHEN len({_CAPS2}) < 1 THEN 'entity_check' END) AS failed_rules FROM e""",
+)
+def apply_declared_rules(spark, folder):
+    """All declared rules; the reply gives sentiment and entities."""
+    rows = exchanges(spark, folder)
+    scored = training.sentiment(
+        rows.filter("reply IS NOT NULL").select(
+            F.struct("conv_id", "turn").alias("doc_id"), F.col("reply.value").alias("text")
+        ),
+        training.default_lexicon(spark),
+    ).select("doc_id.*", "sentiment")
+    entities = training.capitalised_words(F.coalesce("reply.value", F.lit("")))
+    whole = rows.join(scored, ["conv_id", "turn"], "left").withColumn("entities", entities)
+    rules = filters.declared_rules(fields=("source", "conversations", "timestamp", "metadata"))
+    out = filters.apply_rules(whole, rules)
+    return out.select("conv_id", "turn", F.array_join("failed_rules", ",").alias("failed_rules"))
+
+
 _TRIMMED = f"list_transform(string_split(text, chr(10)), lambda t: {q.strip('t')})"
 
 

@@ -182,6 +182,28 @@ def validate_response(spark, folder):
     )
 
 
+@query(
+    "validate_response_similarity",
+    rf"""WITH {_GROUNDED}, w AS (SELECT query_id, answer, doc_overlap, {q.token_set('question')} AS x, {q.token_set('answer')} AS y
+            FROM grounded JOIN answers USING (query_id)),
+          s AS (SELECT *, CASE WHEN len(x) * len(y) > 0 THEN len(list_intersect(x, y)) / sqrt(len(x)::DOUBLE * len(y))
+            ELSE 0.0::DOUBLE END AS similarity FROM w),
+          v AS (SELECT query_id, similarity, concat_ws('; ',
+            CASE WHEN length(answer) < 10 THEN 'Response too short' END,
+            CASE WHEN similarity < 0.5 THEN 'Response not relevant to query' END,
+            CASE WHEN doc_overlap < 0.3 THEN 'Response not grounded in source documents' END,
+            CASE WHEN NOT regexp_matches(answer, '\[\d+\]|\(\d+\)') THEN 'No source citations found' END) AS issues FROM s)
+        SELECT query_id, round(similarity, 6) AS similarity, issues, issues = '' AS is_valid FROM v""",
+)
+def validate_response_similarity(spark, folder):
+    """The verdict with its similarity issue: question and answer as vectors of terms."""
+    asked = answers(spark, folder).withColumn("similarity", ev.term_similarity("question", "answer"))
+    out = ev.validate_response(asked, answer_hits(spark, folder), "similarity")
+    return out.select(
+        "query_id", r6("similarity").alias("similarity"), F.array_join("issues", "; ").alias("issues"), "is_valid"
+    )
+
+
 @query(
     "extract_citations",
     rf"""WITH {MARKED}, m AS (SELECT conv_id, turn, list_transform(regexp_extract_all(answer, '\[Document\s+\d+\]|\[\d+\]|\(\d+\)'),

@@ -15,6 +15,18 @@ def split_recursive(spark, folder):
     return splitting.split_recursive(texts(spark, folder).select("doc_id", "text"))
 
 
+@query("split_table_function")
+def split_table_function(spark, folder):
+    """The recursive rule as a table function in SQL, in characters and in words."""
+    splitting.register_functions(spark)
+    return spark.sql(
+        """SELECT doc_id, unit, chunk_index, chunk_text
+           FROM {docs} CROSS JOIN (VALUES ('chars', 1000, 200), ('words', 200, 40)) AS u(unit, size, overlap),
+             LATERAL recursive_chunks(text, size, overlap, unit)""",
+        docs=texts(spark, folder).select("doc_id", "text"),
+    )
+
+
 @query(
     "split_tokens",
     f"WITH {q.chunk_ctes()} SELECT doc_id, chunk_index, md5(chunk_text) AS chunk_hash FROM chunks",

@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import content_hash
-from folioflow.operators import tables
+from folioflow.operators import buckets, tables
 from folioflow.plans import sqltext as q
 from folioflow.plans.inputs import documents, questions
 from folioflow.plans.registry import query
-from folioflow.session import table
+from folioflow.session import scratch_path, table
 
 _STORED = ("src0", "src1", "src2", "src3", "src4")
 _STORED_SQL = q.string_list(_STORED)
@@ -135,6 +135,16 @@ def upsert(spark, folder):
     return tables.upsert(stored(spark, folder), load(spark, folder), "doc_id")
 
 
+@query("bucket_upsert", f"SELECT doc_id, source, {_CHANGED} AS text FROM documents WHERE source <> 'src3'")
+def bucket_upsert(spark, folder):
+    """A table in buckets, loaded with the changed texts and rid of one source; read back from its files."""
+    docs = documents(spark, folder).select("doc_id", "source", "text")
+    made = buckets.create(docs, scratch_path(spark, "bucket-table"), "doc_id")
+    made.upsert(load(spark, folder).join(documents(spark, folder).filter("lang = 'fr'").select("doc_id"), "doc_id", "left_semi"))
+    made.delete(docs.filter("source = 'src3'").select("doc_id"))
+    return made.rows()
+
+
 @query(
     "split_failures",
     """SELECT doc_id, CASE WHEN length(text) > 5000 THEN 'Input exceeds maximum length of 5000 characters' END AS error

@@ -8,12 +8,13 @@ from folioflow.functions.text import WORD_CHARS
 from folioflow.operators import training as tr
 from folioflow.operators.filters import trimmed_questions
 from folioflow.operators.scale import each
+from folioflow.operators.tables import hash_split
 from folioflow.plans import sqltext as q
 from folioflow.plans.inputs import chunks, questions, r6, texts
 from folioflow.plans.registry import query
 from folioflow.plans.text_queries import _PLAIN, _STOPS
 from folioflow.plans.window_queries import PAIRS
-from folioflow.session import table
+from folioflow.session import stored, table
 
 
 def caps(x: str) -> str:
@@ -117,6 +118,37 @@ def sentiment(spark, folder):
     return out.withColumn("polarity", r6("polarity"))
 
 
+def judged_texts(spark, folder):
+    """Documents with their quality label."""
+    labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
+    return texts(spark, folder).select("doc_id", "text").join(labels, "doc_id")
+
+
+@query(
+    "learn_lexicon",
+    f"""WITH s AS (SELECT quality > 0 AS g, unnest(list_distinct({q.words('lower(text)')})) AS word
+            FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND text IS NOT NULL),
+          c AS (SELECT word, count(*) FILTER (g) AS good, count(*) AS texts FROM s GROUP BY 1),
+          w AS (SELECT sum(good)::DOUBLE AS g, sum(texts)::DOUBLE AS n FROM c),
+          e AS (SELECT word, texts, ln((good + 0.5::DOUBLE) / (texts - good + 0.5::DOUBLE)) - ln((g + 0.5::DOUBLE) / (n - g + 0.5::DOUBLE)) AS e,
+                  sqrt(1 / (good + 0.5::DOUBLE) + 1 / (texts - good + 0.5::DOUBLE)) AS error FROM c, w WHERE texts >= 3)
+        SELECT word, round((exp(e) - 1) / (exp(e) + 1), 6) AS polarity, texts FROM e WHERE abs(e) > 1.96::DOUBLE * error""",
+)
+def learn_lexicon(spark, folder):
+    """Words that tell good documents from others, with their polarity."""
+    return tr.learn_lexicon(judged_texts(spark, folder)).withColumn("polarity", r6("polarity"))
+
+
+@query("lexicon_accuracy")
+def lexicon_accuracy(spark, folder):
+    """A lexicon learnt on the training documents, tried on the held-out ones."""
+    split = hash_split(judged_texts(spark, folder), F.col("doc_id"), 70)
+    learnt = stored(tr.learn_lexicon(split.filter("split = 'train'")), "lexicon")
+    held_out = split.filter("split = 'validation'").select("doc_id", "text", "label")
+    scored = tr.sentiment(held_out, learnt).join(held_out.select("doc_id", "label"), "doc_id")
+    return tr.lexicon_accuracy(scored)
+
+
 _N = 12
 _PHRASE = f"(?:^|[^{WORD_CHARS}])(?:regarding|about|on|for){q.SPACE}+([a-zA-Z{q.SPACE_CHARS}]+)"
 _SUBJECT = rf"(?:the|a|an){q.SPACE}+([a-zA-Z]{{5,}}(?:{q.SPACE}+[a-zA-Z]+){{0,2}})"

@@ -54,15 +54,27 @@ def finish(query: StreamingQuery) -> None:
         raise query.exception()
 
 
+def _newest(spark: SparkSession, folder: str, name: str) -> int | None:
+    """Number of the newest finished batch folder ``name=N``; also after a restart of the driver."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return None
+    done = [
+        s.getPath() for s in files.listStatus(path)
+        if files.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
+    ]
+    return max((int(p.getName().removeprefix(f"{name}=")) for p in done), default=None)
+
+
 def run_complete(df: DataFrame, label: str) -> DataFrame:
-    """Run an aggregate stream in complete mode; the rows of its last batch."""
+    """Run an aggregate stream in complete mode; the rows of its last batch, none if there was no batch."""
     spark = df.sparkSession
     out = scratch_path(spark, label)
-    last: list[int] = []
 
     def keep(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
-        last.append(n)
 
     query = (
         df.writeStream.outputMode("complete")
@@ -72,7 +84,8 @@ def run_complete(df: DataFrame, label: str) -> DataFrame:
         .start()
     )
     finish(query)
-    return spark.read.parquet(f"{out}/batch={last[-1]}")
+    newest = _newest(spark, out, "batch")
+    return spark.createDataFrame([], df.schema) if newest is None else spark.read.parquet(f"{out}/batch={newest}")
 
 
 def stream_chunks(documents: DataFrame, size: int = 256, overlap: int = 128) -> DataFrame:
@@ -170,66 +183,82 @@ def lockout(
     )
 
 
+LATE_REQUEST = "Request came too late"
+
+
 class _Limiter(StatefulProcessor):
-    """Limiter state of one key, kept in a value state; a quiet hour clears it."""
+    """Limiter state of one key and the newest time it has seen."""
 
-    def __init__(self, key: str, minute_limit: int, hour_limit: int):
-        self.key, self.minute_limit, self.hour_limit = key, minute_limit, hour_limit
+    def __init__(self, key: str, minute_limit: int, hour_limit: int, delay: float):
+        self.key, self.minute_limit, self.hour_limit, self.delay = key, minute_limit, hour_limit, delay
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState(
-            "limits", "minute_count long, hour_count long, minute_reset double, hour_reset double"
-        )
+        fields = "minute_count long, hour_count long, minute_reset double, hour_reset double, newest double"
+        self.state = handle.getValueState("limits", fields)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        now = LimiterState(self.minute_limit, self.hour_limit)
+        now, newest = LimiterState(self.minute_limit, self.hour_limit), None
         if self.state.exists():
-            minute_count, hour_count, minute_reset, hour_reset = self.state.get()
-            now.counts, now.resets = [minute_count, hour_count], [minute_reset, hour_reset]
-        pdf = pd.concat(rows, ignore_index=True).sort_values(["at", "event_id"], ignore_index=True)
-        verdicts = [now.admit(at) for at in pdf["at"]]
-        self.state.update((*map(int, now.counts), *map(float, now.resets)))
-        self.handle.registerTimer(int((max(now.resets) + 1) * 1000))
+            minute_count, hour_count, minute_reset, hour_reset, newest = self.state.get()
+            if minute_reset is not None:
+                now.counts, now.resets = [minute_count, hour_count], [minute_reset, hour_reset]
+        # Ids come as text, so that none passes through a float beside a missing one.
+        requests = [r for pdf in rows for r in zip(pdf["event_id"], pdf[self.key], pdf["at"], strict=True)]
+        requests.sort(key=lambda r: (r[2], r[0] is None, int(r[0] or 0)))
+        cut_off = None if newest is None else newest - self.delay
+        why: list[str | None] = []
+        for _, _, at in requests:
+            if at != at:
+                why.append(None)  # a request without a time is not limited
+                continue
+            if cut_off is not None and at < cut_off:
+                why.append(LATE_REQUEST)
+                continue
+            allowed, reason = now.admit(at)
+            why.append(None if allowed else reason)
+            newest = at if newest is None else max(newest, at)
+        resets = now.resets or (None, None)
+        self.state.update((*map(int, now.counts), *(None if r is None else float(r) for r in resets), newest))
+        ids, keys, _ = zip(*requests, strict=True)
         yield pd.DataFrame(
-            {
-                "event_id": pdf["event_id"],
-                self.key: pdf[self.key],
-                "is_allowed": [ok == 1 for ok, _ in verdicts],
-                "reason": [None if ok else why for ok, why in verdicts],
-            }
+            {"event_id": ids, self.key: keys, "is_allowed": [w is None for w in why], "reason": why}
         )
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        for timer in list(self.handle.listTimers()):
-            if timer > expiredTimerInfo.getExpiryTimeInMs():
-                return iter(())
-        self.state.clear()
-        return iter(())
-
     def close(self) -> None:
         pass
 
 
 def stream_rate_limit(
     log: DataFrame, key: str, minute_limit: int = MINUTE_LIMIT, hour_limit: int = HOUR_LIMIT,
-    delay: str = "10 minutes", tick_seconds: float = 1e-6,
+    delay_seconds: float = 600, tick_seconds: float = 1e-6,
 ) -> DataFrame:
-    """Verdict per request, counters anchored at a key's first request.
+    """Verdict for every request, counters anchored at a key's first request.
+
+    Requests of one micro-batch are taken in the order of time. A request that comes more than
+    ``delay_seconds`` behind the newest that its key had in an earlier micro-batch is denied as
+    late and moves no counter: nothing is dropped without a word, as a watermark would do.
+    ``late_requests`` gives these rows by themselves. Requests without a time pass.
 
-    Needs the RocksDB state store. The clock ticks like that of the batch form. A task
-    orders the requests of one key and one micro-batch, so ``maxFilesPerTrigger`` bounds
-    what it holds.
+    Needs the RocksDB state store, which keeps five numbers for every key it has seen: without
+    a watermark there is no time to let them go. The clock ticks like that of the batch form.
+    A task orders the requests of one key and one micro-batch, so ``maxFilesPerTrigger``
+    bounds what it holds.
     """
     at = F.floor(F.unix_micros("ts") / F.lit(max(1, round(tick_seconds * 1e6)))) * tick_seconds
-    rows = log.withWatermark("ts", delay).select("event_id", key, "ts", at.alias("at"))
+    rows = log.select(F.col("event_id").cast("string").alias("event_id"), key, at.cast("double").alias("at"))
     key_type = log.schema[key].dataType.simpleString()
-    return rows.groupBy(key).transformWithStateInPandas(
-        _Limiter(key, minute_limit, hour_limit),
-        f"event_id long, {key} {key_type}, is_allowed boolean, reason string",
+    verdicts = rows.groupBy(key).transformWithStateInPandas(
+        _Limiter(key, minute_limit, hour_limit, delay_seconds),
+        f"event_id string, {key} {key_type}, is_allowed boolean, reason string",
         "Append",
-        "EventTime",
+        "None",
     )
+    return verdicts.withColumn("event_id", F.col("event_id").cast("long"))
+
+
+def late_requests(verdicts: DataFrame) -> DataFrame:
+    """The requests that ``stream_rate_limit`` found too late."""
+    return verdicts.filter(F.col("reason") == LATE_REQUEST)
 
 
 class ProgressLog(StreamingQueryListener):
@@ -288,14 +317,12 @@ def run_last_n(log: DataFrame, label: str, n: int, keys: list[str], order: list[
     """
     spark = log.sparkSession
     out = scratch_path(spark, label)
-    done: list[int] = []
 
     def merge(batch: DataFrame, number: int) -> None:
         rows = batch
         if number > 0:
             rows = rows.unionByName(spark.read.parquet(f"{out}/history={number - 1}"))
         last_n(rows, n, order, keys).write.mode("overwrite").parquet(f"{out}/history={number}")
-        done.append(number)
 
     query = (
         log.writeStream.foreachBatch(merge)
@@ -304,4 +331,5 @@ def run_last_n(log: DataFrame, label: str, n: int, keys: list[str], order: list[
         .start()
     )
     finish(query)
-    return spark.read.parquet(f"{out}/history={done[-1]}")
+    newest = _newest(spark, out, "history")
+    return spark.createDataFrame([], log.schema) if newest is None else spark.read.parquet(f"{out}/history={newest}")

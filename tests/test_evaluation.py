@@ -1,5 +1,6 @@
 import itertools
 import random
+import tracemalloc
 from collections import Counter
 
 import pytest
@@ -28,6 +29,33 @@ def edits(a, b):
     return row[-1]
 
 
+def table_positions(a, b):
+    """The way back through the whole table: up while nothing is lost, else to the left."""
+    rows = [[lcs(a[:i], b[:j]) for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    i, j, on = len(a), len(b), []
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            on.append(i - 1)
+            i, j = i - 1, j - 1
+        elif rows[i][j - 1] > rows[i - 1][j]:
+            j -= 1
+        else:
+            i -= 1
+    return on[::-1]
+
+
+def test_long_pairs_need_little_memory():
+    rng = random.Random(1)
+    a = [rng.choice("abcdefgh") for _ in range(20_000)]
+    b = [t if rng.random() < 0.9 else "z" for t in a if rng.random() < 0.95]
+    tracemalloc.start()
+    distance, on = ev.word_edits(a, b), ev.lcs_positions(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+    assert len(on) == ev.lcs_length(a, b) and len(a) - len(b) <= distance <= len(a)
+
+
 def test_row_scores_against_plain_loops():
     rng = random.Random(5)
     for _ in range(150):
@@ -36,8 +64,9 @@ def test_row_scores_against_plain_loops():
         assert ev.lcs_length(a, b) == lcs(a, b)
         assert ev.word_edits(a, b) == edits(a, b)
         if a and b:
-            positions = ev._lcs_positions(*ev._codes(a, b))
+            positions = ev.lcs_positions(a, b)
             assert len(positions) == lcs(a, b)
+            assert sorted(positions) == table_positions(a, b)
         # With one sentence on each side the union LCS is the LCS.
         assert ev.rouge_lsum_hits([a], [b]) == lcs(a, b)
 

@@ -83,3 +83,26 @@ def test_retry_halves_the_window(spark):
     rows = splitting.split_with_retry(df, 256, 128, max_chars=1500).collect()
     assert {(r.doc_id, r.status) for r in rows} == {(0, "retried"), (1, "ok")}
     assert max(len(r.chunk_text.split()) for r in rows) == 128
+
+
+def test_table_function_gives_what_the_splitter_gives(spark):
+    rows = ["", None, "Test content. " * 300, "a\n\nb c\n" * 200, "x" * 2500, "Ünïcödé 世界 🌍 " * 90]
+    df = docs(spark, *rows)
+    splitting.register_functions(spark)
+    for unit, size, overlap, length in (("chars", 1000, 200, len), ("words", 50, 10, splitting.count_words)):
+        made = spark.sql(
+            "SELECT doc_id, chunk_index, chunk_text FROM {docs}, LATERAL recursive_chunks(text, {size}, {overlap}, {unit})",
+            docs=df, size=size, overlap=overlap, unit=unit,
+        )
+        want = splitting.split_recursive(df, size, overlap, length=length)
+        assert sorted(map(tuple, made.collect())) == sorted(
+            (r.doc_id, r.chunk_index, r.chunk_text) for r in want.collect()
+        )
+
+
+def test_length_function_bounds_every_chunk():
+    text = "\n\n".join(" ".join(f"w{i}" for i in range(n)) for n in (5, 80, 3, 41, 200))
+    chunks = list(splitting.recursive_chunks(text, 40, 8, length=splitting.count_words))
+    assert max(map(splitting.count_words, chunks)) <= 40
+    assert set(text.split()) == {w for c in chunks for w in c.split()}
+    assert "".join(splitting.recursive_chunks("é" * 50, 7, 0, length=lambda t: len(t.encode()))) == "é" * 50

@@ -48,6 +48,34 @@ def test_limits_carry_over_micro_batches(spark, tmp_path):
     assert got == {1: None, 2: None, 3: None, 4: windows.MINUTE_DENIED, 5: None}
 
 
+def test_late_requests_get_a_verdict_of_their_own(spark, tmp_path):
+    day = dt.datetime(2024, 1, 5)
+    big = 2**53 + 1
+    batches = [
+        [event(1, "a", 0), event(2, "b", 0)],
+        [(3, "a", day), (None, "a", day), (big, None, day)],
+        # Three days behind "a", but not behind what "b" had.
+        [event(4, "a", 1), event(5, "b", 1), (big + 2, None, day + dt.timedelta(minutes=1)), (7, "a", None)],
+        [(8, "a", day - dt.timedelta(minutes=9)), (9, "a", day - dt.timedelta(minutes=11))],
+    ]
+    stream = files(tmp_path, spark, batches, SCHEMA)
+    with _rocksdb(spark):
+        out = jobs.run_to_files(jobs.stream_rate_limit(stream, "user", 60, 1000), "test-late-requests")
+    verdicts = spark.read.parquet(out)
+    rows = verdicts.collect()
+    late = {r.event_id for r in jobs.late_requests(verdicts).collect()}
+    assert len(rows) == 11 and late == {4, 9}
+    assert {r.event_id for r in rows} == {1, 2, 3, None, big, 4, 5, big + 2, 7, 8, 9}
+    assert all(r.is_allowed == (r.event_id not in late) for r in rows)
+
+
+def test_a_stream_without_files_gives_no_rows(spark, tmp_path):
+    stream = files(tmp_path, spark, [], SCHEMA)
+    assert jobs.run_last_n(stream, "test-none", 3, ["user"], [F.desc("ts")]).count() == 0
+    totals = stream.groupBy("user").agg(F.count("*").alias("n"))
+    assert jobs.run_complete(totals, "test-none").count() == 0
+
+
 def test_upsert_skips_known_contents_across_batches(spark, tmp_path):
     batches = [[(1, "a"), (2, "a"), (3, "b")], [(4, "b"), (5, "c")]]
     stream = files(tmp_path, spark, batches, "doc_id long, text string")
