@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.tables import own_columns, written
+from folioflow.llm.tables import own_columns, releasing, written
 from folioflow.llm.token_ids import encoder
 
 OPEN_BINS = 256
@@ -102,7 +102,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> Data
             )
 
     rows = own_columns(docs, "doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {PIECE}")
+    return rows.mapInArrow(releasing(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {PIECE}")
 
 
 def pack(
@@ -139,7 +139,7 @@ def pack(
         left = [(b, i, None, None) for one in bins.rest() for (b, i), _ in one]
         yield from _placed(left, held, waiting, here)
 
-    done = written(cells.mapInArrow(first_pass, shape), "packed")
+    done = written(cells.mapInArrow(releasing(first_pass), shape), "packed")
 
     names = done.columns
 

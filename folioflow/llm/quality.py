@@ -16,15 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from folioflow.llm.logistic import Logistic
-from folioflow.llm.tables import written
+from folioflow.llm.tables import release_memory, written
 from folioflow.llm.wordhash import Words, row_blocks, text_bytes
 
 SAMPLE = 20_000  # labelled documents, at most, that the classifier is fitted on
 SITES_BROADCAST = 100_000
 SALTS = 64
+BLOCK = 1 << 18  # bytes of text whose features are made at a time
 SHIFT = 1.0  # a site moves a document's log-odds by at most this
 ACCEPT = 0.5
 
@@ -73,22 +73,26 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _map_features(model: Logistic | None, extra: list[str]):
-    """Carries ``extra`` columns along; adds the features, or with a model the probability."""
+def _labelled_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Label and features of each row."""
+    for batch in batches:
+        data, offsets = text_bytes(batch.column("text"))
+        for low, high in row_blocks(offsets, BLOCK):
+            made = pa.array(list(features(data, offsets[low : high + 1])), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("good").slice(low, high - low), made], ["good", "made"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
-            for low, high in row_blocks(offsets):
-                x = features(data, offsets[low : high + 1])
-                own = [batch.column(c).slice(low, high - low) for c in extra]
-                if model is None:
-                    made = pa.array(list(x), pa.list_(pa.float64()))
-                else:
-                    made = pa.array(model.probability(x))
-                yield pa.RecordBatch.from_arrays([*own, made], [*extra, "made"])
 
-    return run
+def _evidence(model: Logistic, text: Column) -> Column:
+    """The classifier's probability. Only texts go to the Python workers, and one number comes back."""
+
+    @F.arrow_udf("double")
+    def probability(column: pa.Array) -> pa.Array:
+        data, offsets = text_bytes(column)
+        found = [model.probability(features(data, offsets[a : z + 1])) for a, z in row_blocks(offsets, BLOCK)]
+        release_memory()
+        return pa.array(np.concatenate(found) if found else np.zeros(0))
+
+    return probability(text)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Logistic:
@@ -108,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Logistic:
     rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("labelled"))
     seen = (
         rows.select("text", "good")
-        .mapInArrow(_map_features(None, ["good"]), "good int, made array<double>")
+        .mapInArrow(_labelled_features, "good int, made array<double>")
         .limit(sample)
         .collect()
     )
@@ -163,21 +167,19 @@ def _judge(docs: DataFrame, labels: DataFrame, sample: int, carried: list[str])
     host, path = (
         F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string") for c in ("source", "lang")
     )
-    row = F.struct(*(f"`{c}`" for c in carried)).alias("row")
-    rows = docs.select(host.alias("host"), path.alias("path"), "text", row)
-    shape = T.StructType([rows.schema["host"], rows.schema["path"]]).add("made", "double")
-    judged = rows.drop("row").mapInArrow(_map_features(model, ["host", "path"]), shape)
-    sites = written(site_posteriors(judged), "sites")
-    whole = T.StructType([rows.schema["host"], rows.schema["path"], rows.schema["row"]]).add("made", "double")
-    again = rows.mapInArrow(_map_features(model, ["host", "path", "row"]), whole)
+    rows = docs.select(
+        host.alias("host"), path.alias("path"), F.struct(*(f"`{c}`" for c in carried)).alias("row"),
+        _evidence(model, F.col("text")).alias("made"),
+    )
+    sites = written(site_posteriors(rows.select("host", "path", "made")), "sites")
     named = sites.select(F.col("host").alias("h"), F.col("path").alias("p"), "path_share", "global_share")
     meets = F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p"))
     if sites.limit(SITES_BROADCAST + 1).count() <= SITES_BROADCAST:
-        met = again.join(F.broadcast(named), meets)
+        met = rows.join(F.broadcast(named), meets)
     else:
         # Beyond the bound sites are copied to salts, so that a hot site spreads over tasks.
         salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = again.withColumn("slot", F.pmod(F.xxhash64("row", "made"), F.lit(SALTS)).cast("int"))
+        dealt = rows.withColumn("slot", F.pmod(F.xxhash64("row", "made"), F.lit(SALTS)).cast("int"))
         met = dealt.join(salted, meets & (F.col("slot") == F.col("salt")))
 
     def odds(p: Column) -> Column:

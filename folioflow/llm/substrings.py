@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.tables import own_columns
+from folioflow.llm.tables import own_columns, releasing
 from folioflow.llm.wordhash import Words, row_blocks, text_bytes
 
 BATCH_WINDOWS = 1_500_000
@@ -163,7 +163,7 @@ def repeated_windows(docs: DataFrame, width: int, parts: int) -> DataFrame:
     """Windows to remove, as blocks: bucket (doc_id modulo ``parts``), ids, counts, hashes."""
     rows = own_columns(docs, "doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
-    blocks = rows.mapInArrow(_spread_windows(width, parts), _BLOCK)
+    blocks = rows.mapInArrow(releasing(_spread_windows(width, parts)), _BLOCK)
     # Settled repeats (part -1) need no meeting; they are spread by their content.
     place = F.when(F.col("part") >= 0, F.col("part")).otherwise(F.pmod(F.crc32("hashes"), F.lit(parts)))
     return (
@@ -171,7 +171,7 @@ def repeated_windows(docs: DataFrame, width: int, parts: int) -> DataFrame:
         .repartition("place")
         .sortWithinPartitions("part")
         .select("part", "ids", "counts", "hashes")
-        .mapInArrow(_later_owners(parts), _BLOCK)
+        .mapInArrow(releasing(_later_owners(parts)), _BLOCK)
         .withColumnRenamed("part", "bucket")
     )
 
@@ -219,7 +219,7 @@ def _dedup(docs: DataFrame, width: int, rest: Column) -> DataFrame:
         texts.unionByName(marks, allowMissingColumns=True)
         .repartition("bucket")
         .sortWithinPartitions("bucket", "kind")
-        .mapInArrow(_remove(width), shape)
+        .mapInArrow(releasing(_remove(width)), shape)
     )
 
 
