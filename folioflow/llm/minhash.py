@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioflow.llm.components import components
-from folioflow.llm.tables import own_columns, written
+from folioflow.llm.tables import own_columns, releasing, written
 from folioflow.llm.wordhash import Words, mix, row_blocks, text_bytes
 
 ROWS, BANDS = 6, 40
@@ -226,7 +226,7 @@ def _judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
     rows = own_columns(docs, "doc_id", "text")
     id_type = rows.schema["doc_id"].dataType.simpleString()
     hashed = rows.withColumn("text_hash", F.xxhash64("text"))
-    signed = written(hashed.mapInArrow(_sign(width), f"doc_id {id_type}, {_SIGNED}"), "signed")
+    signed = written(hashed.mapInArrow(releasing(_sign(width)), f"doc_id {id_type}, {_SIGNED}"), "signed")
     able = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = written(
         able.groupBy("key1", "key2").agg(
@@ -273,7 +273,7 @@ def _components_of(rows: DataFrame, classes: DataFrame, width: int, percent: int
         )
         tested = pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b")
         shape = "a {0}, b {0}, linked boolean".format(pairs.schema["a"].dataType.simpleString())
-        return written(tested.mapInArrow(_verify(width, percent), shape), label)
+        return written(tested.mapInArrow(releasing(_verify(width, percent)), shape), label)
 
     # Everyone meets the likeliest of the smallest members of its groups.
     stars = members.filter("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("shared"))
@@ -297,7 +297,7 @@ def _components_of(rows: DataFrame, classes: DataFrame, width: int, percent: int
     wanted = open_members.select(F.col("rep").alias("doc_id")).distinct()
     sets = written(
         texts.filter("text IS NOT NULL").join(wanted, "doc_id", "left_semi")
-        .mapInArrow(_sets(width), f"rep {texts.schema['doc_id'].dataType.simpleString()}, shingles binary"),
+        .mapInArrow(releasing(_sets(width)), f"rep {texts.schema['doc_id'].dataType.simpleString()}, shingles binary"),
         "sets",
     )
     whole = open_members.join(slim, "rep").join(sets, "rep")
@@ -333,19 +333,29 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     and all stay.
     """
     # One row per doc_id and text, so that the join below can't multiply rows.
-    verdicts = _judged(docs, width, percent).filter("kept")
-    verdicts = verdicts.groupBy(F.col("doc_id").alias("judged"), F.col("text_hash").alias("of_text")).agg(
+    judged = _judged(docs, width, percent).filter("kept")
+    judged = judged.groupBy(F.col("doc_id").alias("judged"), F.col("text_hash").alias("of_text")).agg(
         F.max("n_shingles").alias("shingles")
     )
+    verdicts = written(judged, "verdicts")
+    # Only where several texts of a doc_id stay do texts have to be compared.
+    several = verdicts.filter("shingles > 0").groupBy("judged").agg(F.count("*").alias("texts")).filter("texts > 1")
+    contested = written(several.select(F.col("judged").alias("doc_id")), "contested")
+    if contested.limit(1).count():
+        texts = docs.select("doc_id", "text").join(contested, "doc_id", "left_semi").withColumn("hash", F.xxhash64("text"))
+        meets = (F.col("doc_id") == F.col("judged")) & (F.col("hash") == F.col("of_text")) & (F.col("shingles") > 0)
+        first = texts.join(verdicts, meets).groupBy(F.col("doc_id").alias("id")).agg(F.min_by("hash", "text").alias("first"))
+        verdicts = verdicts.join(first, F.col("judged") == F.col("id"), "left").filter(
+            "shingles = 0 OR first IS NULL OR first = of_text"
+        )
     fields = [f"row.`{c}`" for c in docs.columns]
-    whole = F.struct(*(f"`{c}`" for c in docs.columns)).alias("row")
-    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body"), whole)
-    first = W.partitionBy("id", F.col("shingles") == 0).orderBy(F.asc_nulls_last("body"))
-    judged = (
-        rows.filter("id IS NOT NULL")
-        .withColumn("hash", F.xxhash64("body"))
-        .join(verdicts, (F.col("id") == F.col("judged")) & (F.col("hash") == F.col("of_text")))
-        .withColumn("place", F.row_number().over(first))
-        .filter("shingles = 0 OR place = 1")
+    rows = docs.select(
+        F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.struct(*(f"`{c}`" for c in docs.columns)).alias("row")
+    )
+    # Equal rows meet where the join has brought them, so texts are shuffled once.
+    place = F.row_number().over(W.partitionBy("id", "hash").orderBy("shingles"))
+    met = rows.join(
+        verdicts.select("judged", "of_text", "shingles"), (F.col("id") == F.col("judged")) & (F.col("hash") == F.col("of_text"))
     )
-    return judged.select(*fields).unionByName(rows.filter("id IS NULL").select(*fields))
+    stay = met.withColumn("place", place).filter("shingles = 0 OR place = 1")
+    return stay.select(*fields).unionByName(rows.filter("id IS NULL").select(*fields))
