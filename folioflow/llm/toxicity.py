@@ -25,8 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.logistic import Logistic
-from folioflow.llm.tables import own_columns, written
+from folioflow.llm.tables import own_columns, release_memory, releasing, written
 from folioflow.llm.wordhash import LETTERS, Words, mix, row_blocks, text_bytes
+from folioflow.operators.scale import broadcast_if_small
 
 FOLDS = 3
 HELD_OUT = 1  # fold that never trains
@@ -39,6 +40,8 @@ SIEVE = 1 << 18  # longs of the sieve that keeps most expressions without weight
 SAMPLE = 20_000  # labelled documents, at most, that the weighing of evidence is fitted on
 DISCOUNT = 3.0  # seen no more often than this in a class, an expression is left to what both classes share
 FLUSH = 2_000_000
+PART_BYTES = 16 << 20
+LABELS_BROADCAST = 500_000  # labels up to which they are sent to the texts; beyond, both are shuffled
 PARTS = 5  # additive parts of the evidence: in context, by word, the strong of each, the ordinary
 FEATURES = 6
 
@@ -60,36 +63,124 @@ def _bigrams(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     before = np.empty_like(words)
     before[1:] = words[:-1]
     before[first[:-1][np.diff(first) > 0]] = BEGIN
+    return row, before, _gram_hash(before, words)
+
+
+# What travels between tasks: packed arrays of keys and of their counts in every half and class.
+GRAM, WORD, CONTEXT, KINDS = range(4)
+_BLOCK = "part int, kind int, keys binary, words binary, counts binary"
+_STATS = "kind int, key long, before long, word long, " + ", ".join(f"c{i} long" for i in range(9))
+
+
+def _grouped(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, a place of each, and the summed rows of ``counts``."""
+    known, at, which = np.unique(keys, return_index=True, return_inverse=True)
+    return known, at, np.stack([np.bincount(which, c, len(known)).astype(np.int64) for c in counts])
+
+
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys.view(np.uint64) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+
+
+def _gram_hash(before: np.ndarray, words: np.ndarray) -> np.ndarray:
     pair = mix(before.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) + words.view(np.uint64)
-    return row, before, mix(pair).view(np.int64)
+    return mix(pair).view(np.int64)
+
+
+def _count(parts: int):
+    """Bigrams of labelled texts, counted per half and class within a task, as blocks for the parts of their hashes.
 
+    What words and contexts occur in all is counted beside them.
+    """
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bigrams of labelled texts, counted per half and class within a task."""
-    held: list[tuple] = []
-    size = 0
+    def blocks(
+        kind: int, keys: np.ndarray, words: np.ndarray | None, counts: np.ndarray, part: np.ndarray
+    ) -> Iterator[tuple]:
+        order = np.lexsort((keys, part))
+        edges = np.searchsorted(part[order], np.arange(parts + 1))
+        for p in np.flatnonzero(np.diff(edges)).tolist():
+            own = order[edges[p] : edges[p + 1]]
+            second = b"" if words is None else words[own].tobytes()
+            yield p, kind, keys[own].tobytes(), second, counts[:, own].astype("<u4").tobytes()
+
+    def flush(held: list[tuple]) -> pa.RecordBatch:
+        before, word, kind = (np.concatenate(x) for x in zip(*held, strict=True))
+        one = np.stack([kind == k for k in range(len(HALF_CLASSES))])
+        grams, at, counts = _grouped(_gram_hash(before, word), one)
+        rows = list(blocks(GRAM, before[at], word[at], counts, _part(grams, parts)))
+        for what, values in ((WORD, word), (CONTEXT, before)):
+            keys, _, counts = _grouped(values, one)
+            rows += blocks(what, keys, None, counts, _part(keys, parts))
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, ["part", "kind", "keys", "words", "counts"])
 
-    def flush() -> pa.RecordBatch:
-        bigram, before, word, kind = (np.concatenate(x) for x in zip(*held, strict=True))
-        keys, at, which = np.unique(bigram, return_index=True, return_inverse=True)
-        n = [np.bincount(which[kind == k], minlength=len(keys)) for k in range(len(HALF_CLASSES))]
-        columns = [keys, before[at], word[at], *n]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bigram", "before", "word", *HALF_CLASSES])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("text"))
+            half, toxic = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("half", "toxic"))
+            kind = half * len(CLASSES) + toxic
+            for low, high in row_blocks(offsets):
+                words, first = _tokens(data, offsets[low : high + 1])
+                row, before, _ = _bigrams(words, first)
+                held.append((before, words, kind[low + row]))
+                size += len(row)
+                if size >= FLUSH:
+                    yield flush(held)
+                    held, size = [], 0
+        if size:
+            yield flush(held)
+
+    return run
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of one part: bigrams seen often, totals of words and contexts, and how many bigrams end in a word."""
+
+    def rows(kind: int, key: np.ndarray, columns: np.ndarray, before=None, word=None) -> pa.RecordBatch:
+        n = len(key)
+        full = np.zeros((9, n), np.int64)
+        full[: len(columns)] = columns
+        named = [pa.array(np.full(n, kind, np.int32)), pa.array(key)]
+        named += [pa.nulls(n, pa.int64()) if x is None else pa.array(x) for x in (before, word)]
+        return pa.RecordBatch.from_arrays(
+            [*named, *map(pa.array, full)], ["kind", "key", "before", "word", *(f"c{i}" for i in range(9))]
+        )
 
+    def summed(held: dict[int, list[tuple]]) -> Iterator[pa.RecordBatch]:
+        for kind in (WORD, CONTEXT):
+            if held.get(kind):
+                keys, _, counts = zip(*held[kind], strict=True)
+                known, _, total = _grouped(np.concatenate(keys), np.concatenate(counts, axis=1))
+                yield rows(kind, known, total)
+        if not held.get(GRAM):
+            return
+        before, word, counts = zip(*held[GRAM], strict=True)
+        before, word, counts = np.concatenate(before), np.concatenate(word), np.concatenate(counts, axis=1)
+        grams, at, total = _grouped(_gram_hash(before, word), counts)
+        before, word = before[at], word[at]
+        # For either half and both: is the bigram seen in a class, and in any?
+        n = len(CLASSES)
+        seen = []
+        for chosen in (total[:n], total[n:], total[:n] + total[n:]):
+            seen += [chosen[0] > 0, chosen[1] > 0, chosen.sum(axis=0) > 0]
+        words, _, kinds = _grouped(word, np.stack(seen))
+        yield rows(KINDS, words, kinds)
+        often = np.flatnonzero((total[:n] + total[n:]).max(axis=0) > DISCOUNT)
+        yield rows(GRAM, grams[often], total[:, often], before[often], word[often])
+
+    part, held = None, {}
     for batch in batches:
-        data, offsets = text_bytes(batch.column("text"))
-        half, toxic = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("half", "toxic"))
-        kind = half * len(CLASSES) + toxic
-        for low, high in row_blocks(offsets):
-            words, first = _tokens(data, offsets[low : high + 1])
-            row, before, bigram = _bigrams(words, first)
-            held.append((bigram, before, words, kind[low + row]))
-            size += len(row)
-            if size >= FLUSH:
-                yield flush()
-                held, size = [], 0
-    if size:
-        yield flush()
+        for r, (p, kind) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("part", "kind")), strict=True)):
+            if p != part:
+                yield from summed(held)
+                part, held = p, {}
+            keys, words = (np.frombuffer(batch.column(c)[r].as_buffer(), np.int64) for c in ("keys", "words"))
+            counts = np.frombuffer(batch.column("counts")[r].as_buffer(), "<u4").reshape(len(HALF_CLASSES), -1)
+            held.setdefault(kind, []).append((keys, words, counts))
+    yield from summed(held)
 
 
 @dataclass
@@ -127,28 +218,35 @@ def train_counts(labelled: DataFrame) -> KneserNey:
 
 
 def count_bigrams(labelled: DataFrame) -> DataFrame:
-    """Counts of every bigram of ``labelled`` (text, toxic, half 0 or 1) by half and class."""
-    shape = "bigram long, before long, word long, " + ", ".join(f"{c} long" for c in HALF_CLASSES)
-    counted = labelled.select("text", "toxic", "half").mapInArrow(_count, shape)
-    sums = counted.groupBy("bigram", "before", "word").agg(*(F.sum(c).alias(c) for c in HALF_CLASSES))
-    return written(sums, "bigrams")
+    """What the models need of the bigrams of ``labelled`` (text, toxic, half 0 or 1), by half and class."""
+    rows = labelled.select("text", "toxic", "half")
+    size = labelled.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    partitions = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(2 * partitions, size // PART_BYTES, 1)
+    blocks = rows.mapInArrow(releasing(_count(parts)), _BLOCK).repartition(parts, "part").sortWithinPartitions("part")
+    return written(blocks.mapInArrow(releasing(_add_up), _STATS), "bigrams")
 
 
-def fitted(counts: DataFrame, *halves: int) -> KneserNey:
+def fitted(stats: DataFrame, *halves: int) -> KneserNey:
     """Models of the counts of the given halves."""
     classes = CLASSES
-    of = {c: sum((F.col(f"{c}{h}") for h in halves[1:]), F.col(f"{c}{halves[0]}")) for c in classes}
-    grams = counts.select("bigram", "before", "word", *(x.alias(c) for c, x in of.items()))
-    grams = grams.filter("ordinary + toxic > 0")
+    size = len(classes)
+    of = {c: sum((F.col(f"c{size * h + i}") for h in halves[1:]), F.col(f"c{size * halves[0] + i}")) for i, c in enumerate(classes)}
+    chosen = 3 * (halves[0] if len(halves) == 1 else 2)
+    kind, none_seen = F.col("kind"), F.lit(0).cast("long")
+    grams = stats.filter(kind == GRAM).select(F.col("key").alias("bigram"), "before", "word", *(x.alias(c) for c, x in of.items()))
 
     def beyond(c: str) -> Column:
         return F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))
 
+    def total(what: int, value: Column) -> Column:
+        return F.sum(F.when(kind == what, value).otherwise(none_seen))
+
     counted = written(
-        grams.groupBy("word").agg(
-            *(F.count_if(F.col(c) > 0).alias(c) for c in classes),
-            F.count("*").alias("both"), F.sum(F.col("ordinary") + F.col("toxic")).alias("occurs"),
-        ),
+        stats.filter(kind.isin(WORD, KINDS)).groupBy(F.col("key").alias("word")).agg(
+            *(total(KINDS, F.col(f"c{chosen + i}")).alias(c) for i, c in enumerate((*classes, "both"))),
+            total(WORD, of["ordinary"] + of["toxic"]).alias("occurs"),
+        ).filter("both > 0"),
         "words",
     )
     sums = counted.agg(
@@ -166,12 +264,16 @@ def fitted(counts: DataFrame, *halves: int) -> KneserNey:
             for i, c in enumerate(classes)
         ),
     ).withColumn("ratio", F.log(F.col("share1") / F.col("share0")))
-    contexts = grams.groupBy("before").agg(
-        *(F.sum(c).alias(f"own_{c}") for c in classes), F.sum(beyond("ordinary") + beyond("toxic")).alias("kept")
-    )
-    total = F.greatest(F.col("own_ordinary") + F.col("own_toxic"), F.lit(1))
+    context = F.when(kind == GRAM, F.col("before")).otherwise(F.col("key")).alias("before")
+    beyond_both = sum(F.greatest(of[c] - DISCOUNT, F.lit(0.0)) for c in classes)
+    contexts = (
+        stats.filter(kind.isin(GRAM, CONTEXT)).groupBy(context)
+        .agg(*(total(CONTEXT, of[c]).alias(f"own_{c}") for c in classes), F.sum(F.when(kind == GRAM, beyond_both).otherwise(0.0)).alias("kept"))
+        .filter("own_ordinary + own_toxic > 0")
+    )
+    all_own = F.greatest(F.col("own_ordinary") + F.col("own_toxic"), F.lit(1))
     contexts = written(
-        contexts.withColumn("fallback", F.greatest(1.0 - F.col("kept") / total, F.lit(1e-3))), "contexts"
+        contexts.withColumn("fallback", F.greatest(1.0 - F.col("kept") / all_own, F.lit(1e-3))), "contexts"
     )
 
     # A word or bigram that neither class has seen often weighs the same in both, and adds nothing:
@@ -244,8 +346,9 @@ def _frequent(weights: DataFrame) -> tuple[Frequent, DataFrame]:
         if kept + row["count"] > HOT:
             break
         least, kept = row["level"], kept + row["count"]
-    hot = levelled.filter(F.col("level") >= least).select("key", *names).toPandas()
-    order = np.argsort(hot["key"].to_numpy(np.int64))
+    hot = levelled.filter(F.col("level") >= least).select("key", *names).toArrow()
+    keys = hot.column("key").to_numpy()
+    order = np.argsort(keys)
     rest = levelled.filter(F.col("level") < least).select("key", *names)
     sieve = np.zeros(SIEVE, np.uint64)
     slots = (
@@ -254,8 +357,8 @@ def _frequent(weights: DataFrame) -> tuple[Frequent, DataFrame]:
         .toPandas()
     )
     sieve[slots["slot"].to_numpy(np.int64)] = slots["bits"].to_numpy(np.int64).view(np.uint64)
-    parts = np.ascontiguousarray(hot[names].to_numpy(float)[order].T)
-    return Frequent(hot["key"].to_numpy(np.int64)[order], parts, sieve), rest
+    parts = np.stack([hot.column(n).to_numpy()[order] for n in names])
+    return Frequent(keys[order], parts, sieve), rest
 
 
 def evidence(rows: DataFrame, model: KneserNey) -> DataFrame:
@@ -285,7 +388,11 @@ def evidence(rows: DataFrame, model: KneserNey) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*own, *map(pa.array, parts.T), *lists], labels)
                 uid += len(n)
 
-    looked = written(rows.mapInArrow(run, shape), "looked-up")
+    looked = written(rows.mapInArrow(releasing(run), shape), "looked-up")
+    # What follows starts from that table: the driver and the executors may let the weights go.
+    sent.destroy()
+    del frequent
+    release_memory()
     left = looked.filter("size(keys) > 0").select(
         "uid", F.explode(F.arrays_zip("keys", "counts")).alias("of")
     ).select("uid", F.col("of.keys").alias("key"), F.col("of.counts").alias("n"))
@@ -332,7 +439,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: in
         return chosen.join(some, F.col("doc_id") == F.col("labelled")).select("text", "toxic", half)
 
     teaching = known.filter(fold(F.col("labelled")) != HELD_OUT)
-    counts = count_bigrams(labelled(teaching))
+    counts = count_bigrams(labelled(broadcast_if_small(teaching, LABELS_BROADCAST)))
     few = teaching.orderBy(F.xxhash64("labelled"), "labelled").limit(sample)
     names = [f"x{i}" for i in range(FEATURES)]
     # At most ``sample`` label rows are broadcast.
