@@ -24,7 +24,8 @@ from folioflow.llm.token_ids import encoder
 from folioflow.session import scratch_path
 
 BLOCK_IDS = 1 << 16
-_STEP = 1 << 16  # ids unpacked at a time; a multiple of 8, so steps begin on whole bytes
+_STEP = 1 << 16  # ids packed or unpacked at a time; a multiple of 64, so steps begin on whole words
+_PLAIN = {8: "<u1", 16: "<u2", 32: "<u4"}
 
 
 def bits_for(vocabulary_size: int) -> int:
@@ -32,25 +33,43 @@ def bits_for(vocabulary_size: int) -> int:
 
 
 def pack_bits(ids: np.ndarray, bits: int) -> bytes:
-    """Ids in ``bits`` bits each, least bit first."""
-    places = np.arange(bits, dtype=np.uint32)
-    steps = (ids[i : i + _STEP].astype(np.uint32) for i in range(0, len(ids), _STEP))
-    return b"".join(
-        np.packbits(((s[:, None] >> places) & 1).astype(np.uint8).ravel(), bitorder="little").tobytes()
-        for s in steps
-    )
+    """Ids in ``bits`` bits each, least bit first.
+
+    Whole bytes are a plain view. Other widths go by rows of 64 ids, which fill ``bits`` words.
+    """
+    if bits in _PLAIN:
+        return ids.astype(_PLAIN[bits]).tobytes()
+    out = []
+    for at in range(0, len(ids), _STEP):
+        step = ids[at : at + _STEP].astype(np.uint64)
+        rows = np.zeros((-(-len(step) // 64), 64), np.uint64)
+        rows.ravel()[: len(step)] = step
+        words = np.zeros((len(rows), bits), "<u8")
+        for j in range(64):
+            word, shift = divmod(j * bits, 64)
+            words[:, word] |= rows[:, j] << np.uint64(shift)
+            if shift + bits > 64:
+                words[:, word + 1] |= rows[:, j] >> np.uint64(64 - shift)
+        out.append(words.tobytes()[: -(-len(step) * bits // 8)])
+    return b"".join(out)
 
 
 def unpack_bits(packed: bytes, bits: int, start: int, count: int) -> np.ndarray:
     """Ids ``start`` to ``start + count`` of a block, reading only their bytes."""
+    if bits in _PLAIN:
+        return np.frombuffer(packed, _PLAIN[bits], count, start * bits // 8).astype("<u4")
     out = np.empty(count, "<u4")
-    weights = np.uint32(1) << np.arange(bits, dtype=np.uint32)
     for at in range(0, count, _STEP):
         n = min(_STEP, count - at)
         bit = (start + at) * bits
         raw = np.frombuffer(packed, np.uint8, -(-(bit % 8 + n * bits) // 8), bit // 8)
-        flat = np.unpackbits(raw, bitorder="little")[bit % 8 : bit % 8 + n * bits]
-        out[at : at + n] = flat.reshape(n, bits) @ weights
+        # An id of up to 32 bits lies within five bytes.
+        raw = np.concatenate([raw, np.zeros(5, np.uint8)])
+        place = bit % 8 + np.arange(n) * bits
+        held = np.zeros(n, np.uint64)
+        for k in range(5):
+            held |= raw[(place >> 3) + k].astype(np.uint64) << np.uint64(8 * k)
+        out[at : at + n] = (held >> (place & 7).astype(np.uint64)) & np.uint64((1 << bits) - 1)
     return out
 
 
