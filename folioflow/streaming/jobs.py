@@ -19,14 +19,12 @@ from folioflow.session import scratch_path
 def stream_table(
     spark: SparkSession, folder: str, name: str, files_per_trigger: int = 100
 ) -> DataFrame:
-    """File stream over the parquet files of a table."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .option("pathGlobFilter", f"{name}.parquet*")
-        .parquet(folder)
-    )
+    """File stream over the parquet files of a table, a single file or a folder of them."""
+    path = f"{folder}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    # A stream takes a folder as it is; a single file must be named by a pattern.
+    source = path if _is_folder(spark, path) else f"{folder}/{name}.parque[t]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
 
 
 def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -54,11 +52,21 @@ def finish(query: StreamingQuery) -> None:
         raise query.exception()
 
 
+def _files(spark: SparkSession, name: str):
+    """A path and the file system it is in."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _is_folder(spark: SparkSession, name: str) -> bool:
+    path, files = _files(spark, name)
+    return files.getFileStatus(path).isDirectory()
+
+
 def _newest(spark: SparkSession, folder: str, name: str) -> int | None:
     """Number of the newest finished batch folder ``name=N``; also after a restart of the driver."""
+    path, files = _files(spark, folder)
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(path):
         return None
     done = [

@@ -121,3 +121,11 @@ def test_late_rows_are_dropped_in_append_mode(spark, tmp_path):
     rows = spark.read.parquet(jobs.run_to_files(metrics, "test-late")).collect()
     first = [r for r in rows if r.window_start.day == 1]
     assert [r.queries for r in first] == [2]
+
+
+def test_a_table_stream_reads_a_file_and_a_folder_of_files(spark, small, tmp_path):
+    whole = spark.read.parquet(f"{small}/documents.parquet")
+    whole.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("stream_chunks", "stream_upsert", "stream_progress"):
+        got = sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()))
+        assert got and got == sorted(map(tuple, QUERIES[name](spark, small).collect()))
