@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,3 +230,20 @@ def test_similar_sets(spark, at_least):
                 want.add((role, a, b))
     got = [(r.role, tuple(r.citation_set), tuple(r.other_set)) for r in joins.similar_sets(sets, "role", at_least).collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("dense", [0, 3, 1_024])
+def test_block_counts_terms_as_rows_or_places(spark, monkeypatch, dense):
+    """Frequent terms, rare ones, and more terms than a byte counts."""
+    monkeypatch.setattr(termindex, "DENSE_TERMS", dense)
+    rng = random.Random(4)
+    sets = [{t for t in range(400) if rng.random() < (0.95 if t < 300 else 0.05)} for _ in range(90)]
+    places = [[i for i, s in enumerate(sets) if t in s] for t in range(400)]
+    held = [(pa.array(range(0, 150)), pa.array(places[:150], pa.list_(pa.int32()))),
+            (pa.array(range(150, 400)), pa.array(places[150:], pa.list_(pa.int32())))]
+    block = termindex._Block(pa.array([str(i) for i in range(90)]), held)
+    for asked in (list(range(400)), [1, 2, 305, 306, 307, 9_999], [399], [9_999]):
+        terms = block.terms(np.array(asked))
+        want = sorted((-len(s & set(asked)), i) for i, s in enumerate(sets) if s & set(asked))[:7]
+        got, shared = block.best(terms[terms >= 0], 7)
+        assert list(zip([-n for n in shared], got)) == want
