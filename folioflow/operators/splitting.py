@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +17,7 @@ from folioflow.session import stored
 
 SECTIONS_HELD = 65_536
 SEARCH_BYTES = 1 << 20
+HELD_CHARS = 1 << 22
 
 # Separators of the recursive split, tried in this order.
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -97,12 +97,39 @@ def split_recursive(
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and smaller than size")
 
-    @F.pandas_udf("array<string>")
-    def chunks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(lambda t: list(recursive_chunks(t or "", size, overlap, length=length)))
+    rest = [f for f in df.schema if f.name != text]
+    names = [f.name for f in rest]
 
-    return number_chunks(df.withColumn("_chunks", chunks(F.col(text))).drop(text), "_chunks")
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for of, number, found in _some_chunks(batch.column(text), size, overlap, length):
+                rows = batch.select(names).take(pa.array(of, pa.int64()))
+                made = [pa.array(number, pa.int32()), pa.array(found, pa.string())]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *made], [*names, "chunk_index", "chunk_text"])
+
+    shape = T.StructType(rest).add("chunk_index", "integer").add("chunk_text", "string")
+    return _with_chunk_id(df.select(*(f"`{n}`" for n in names), F.col(text)).mapInArrow(chunks, shape))
+
+
+def _some_chunks(
+    texts: pa.Array, size: int, overlap: int, length: Length
+) -> Iterator[tuple[list[int], list[int], list[str]]]:
+    """(row, number, chunk) lists of at most ``HELD_CHARS`` and one chunk; no text's chunks are held at once."""
+    of: list[int] = []
+    number: list[int] = []
+    found: list[str] = []
+    held = 0
+    for i, value in enumerate(texts):
+        for n, chunk in enumerate(recursive_chunks(value.as_py() or "", size, overlap, length=length)):
+            of.append(i)
+            number.append(n)
+            found.append(chunk)
+            held += len(chunk)
+            if held >= HELD_CHARS:
+                yield of, number, found
+                of, number, found, held = [], [], [], 0
+    if of:
+        yield of, number, found
 
 
 @F.udtf(returnType="chunk_index int, chunk_text string")
@@ -145,7 +172,11 @@ def split_sentences(df: DataFrame, text: str = "text") -> DataFrame:
 def number_chunks(df: DataFrame, chunks: str, key: str = "doc_id") -> DataFrame:
     """Array of chunk texts to rows with ordinal and a chunk id unique in the table."""
     rest = [c for c in df.columns if c != chunks]
-    return each(df, rest, chunks, "chunk_text", "chunk_index").withColumn(
+    return _with_chunk_id(each(df, rest, chunks, "chunk_text", "chunk_index"), key)
+
+
+def _with_chunk_id(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    return rows.withColumn(
         "chunk_id", F.concat_ws("-", F.col(key).cast("string"), F.col("chunk_index").cast("string"))
     )
 

@@ -1,4 +1,5 @@
 import pytest
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -106,3 +107,12 @@ def test_length_function_bounds_every_chunk():
     assert max(map(splitting.count_words, chunks)) <= 40
     assert set(text.split()) == {w for c in chunks for w in c.split()}
     assert "".join(splitting.recursive_chunks("é" * 50, 7, 0, length=lambda t: len(t.encode()))) == "é" * 50
+
+
+def test_recursive_chunks_leave_a_task_in_bounded_batches(spark, monkeypatch):
+    monkeypatch.setattr(splitting, "HELD_CHARS", 50)
+    texts = ["ab cd " * 200, None, "", "one"]
+    parts = list(splitting._some_chunks(pa.array(texts), 40, 10, len))
+    assert len(parts) > 5 and max(sum(map(len, found)) for _, _, found in parts) < 50 + 40
+    want = [(i, n, c) for i, t in enumerate(texts) for n, c in enumerate(splitting.recursive_chunks(t or "", 40, 10))]
+    assert [row for part in parts for row in zip(*part)] == want
