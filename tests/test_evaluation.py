@@ -174,3 +174,12 @@ def test_generate_citations(spark):
     assert ev.generate_citations(hits, limit=2).filter("query_id = 2").count() == 2
     with pytest.raises(ValueError):
         ev.generate_citations(hits, limit=-1)
+
+
+def test_grams_are_counted_without_a_shuffle_of_grams(spark):
+    rows = [(1, "a b a b c", "a b a x"), (2, None, "a b"), (3, "a", ""), (4, None, None)]
+    pairs = spark.createDataFrame(rows, "pair_id int, reference string, candidate string")
+    counts = ev._ngram_counts(pairs, ev.rouge_tokens, (1, 2))
+    got = {tuple(r) for r in counts.collect()}
+    assert got == {(1, 1, 3, 5, 4), (1, 2, 2, 4, 3), (2, 1, 0, 0, 2), (2, 2, 0, 0, 1), (3, 1, 0, 1, 0)}
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
