@@ -76,21 +76,23 @@ class Encoder:
 
     def _dropping(self, chunk: str) -> bytes:
         body = lowered(chunk)
-        plain = self._plain("", body)
+        plain = self._plain(body)
         return self._joined(body) if plain is None else plain
 
-    def _plain(self, space: str, chunk: str) -> bytes | None:
+    def _plain(self, chunk: str) -> bytes | None:
         """Ids of most new chunks, which need no word rule: letters and perhaps a mark at the end."""
         if chunk.isalpha():
-            return self.word_ids[space + chunk]
+            return self.word_ids[chunk]
         if chunk[-1:] in MARKS and chunk[:-1].isalpha():
-            return self.word_ids[space + chunk[:-1]] + self.word_ids[chunk[-1]]
+            return self.word_ids[chunk[:-1]] + self.word_ids[chunk[-1]]
         return None
 
     def _spaced(self, chunk: str) -> bytes:
         """A chunk after a space, or one that begins with its line end."""
-        if (plain := self._plain(" ", chunk)) is not None:
-            return plain
+        if chunk.isalpha():
+            return self._word(" " + chunk)
+        if chunk[-1:] in MARKS and chunk[:-1].isalpha():
+            return self.chunk_ids[chunk[:-1]] + self.word_ids[chunk[-1]]
         body = chunk.removeprefix("\n")
         if not body or body[0].isspace() or body[-1].isspace():
             raise _Irregular
@@ -101,6 +103,8 @@ class Encoder:
         return _little([t.id for t in self.model.tokenize(symbols)])
 
     def _symbols(self, word: str) -> str:
+        if word[0] == " " and word.isascii() and word[1:].isalnum():
+            return self.symbols[32] + word[1:]
         return word.encode("utf-8").decode("latin-1").translate(self.symbols)
 
 

@@ -146,3 +146,14 @@ def test_token_files(spark, monkeypatch):
     empty_path = scratch_path(spark, "test-token-files")
     token_files.write_token_files(llm_cases.empty(spark), empty_path, WORD)
     assert token_files.read_documents(spark, empty_path).count() == 0
+
+
+def test_words_after_a_space_are_kept_once():
+    import public_tokenizers
+
+    from folioflow.llm.token_ids import Encoder
+
+    encoder = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("x alpha beta, gamma1 beta", "é ünder\nline a, b", " a  b ", "it's 5. Ok"):
+        assert encoder.encode(text) == encoder.encode_whole(text)
+    assert "beta" in encoder.chunk_ids and " beta" not in encoder.word_ids
