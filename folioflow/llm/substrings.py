@@ -23,6 +23,7 @@ from folioflow.llm.tables import own_columns, releasing
 from folioflow.llm.wordhash import Words, row_blocks, text_bytes
 
 BATCH_WINDOWS = 1_500_000
+RANGE_WINDOWS = 1 << 17
 PART_BYTES = 8 << 20
 
 
@@ -43,23 +44,36 @@ def _later(order: np.ndarray, begins: np.ndarray, first: np.ndarray, owner: np.n
 def _spread_windows(width: int, parts: int):
     """Windows of a task as blocks of (part, doc_ids, counts, hashes); part -1: settled repeats."""
 
-    def flush(held: list[tuple]) -> pa.RecordBatch:
-        keys, part, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
-        ids, owner = np.unique(keys, return_inverse=True)
+    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        keys, counts, part, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        ids, number = np.unique(keys, return_inverse=True)
+        owner = np.repeat(number.astype(np.int32), counts)
+        # Equal windows share a part, so ranges of parts are settled one after the other in little memory.
+        ranges = min(parts, -(-len(hashes) // RANGE_WINDOWS))
+        for k in range(ranges):
+            low, high = parts * k // ranges, parts * (k + 1) // ranges
+            here = np.flatnonzero((part >= low) & (part < high))
+            if len(here):
+                yield _batch(settled(ids, owner[here], part[here], hashes[here], low, high))
+
+    def settled(
+        ids: np.ndarray, owner: np.ndarray, part: np.ndarray, hashes: np.ndarray, low: int, high: int
+    ) -> list[tuple]:
         order, begins, first = _first_of_equal(hashes, owner)
         out: list[tuple] = []
-        settled = _later(order, begins, first, owner)
-        if len(settled):
-            settled = settled[np.argsort(owner[settled])]
-            out.append(_packed(-1, ids, owner[settled], hashes[settled]))
+        later = _later(order, begins, first, owner)
+        if len(later):
+            later = later[np.argsort(owner[later])]
+            out.append(_packed(-1, ids, owner[later], hashes[later]))
         kept = order[begins]
         by_part = np.argsort(part[kept].astype(np.int64) * len(ids) + first)
         kept, first = kept[by_part], first[by_part]
-        edges = np.searchsorted(part[kept], np.arange(parts + 1))
+        edges = np.searchsorted(part[kept], np.arange(low, high + 1))
         for p in np.flatnonzero(np.diff(edges)).tolist():
             chosen = slice(edges[p], edges[p + 1])
-            out.append(_packed(p, ids, first[chosen], hashes[kept[chosen]]))
-        return _batch(out)
+            out.append(_packed(low + p, ids, first[chosen], hashes[kept[chosen]]))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -71,13 +85,14 @@ def _spread_windows(width: int, parts: int):
                 row, _, hashes, second = Words(data, offsets[low : high + 1]).windows(width, second=True)
                 if len(hashes):
                     part = ((second >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
-                    held.append((keys[low + row].astype(np.int64), part, hashes))
+                    counts = np.bincount(row, minlength=high - low)
+                    held.append((keys[low:high].astype(np.int64), counts, part, hashes))
                     size += len(hashes)
                 if size >= BATCH_WINDOWS:
-                    yield flush(held)
-                    held, size = [], 0
+                    yield from flush(held)
+                    size = 0
         if held:
-            yield flush(held)
+            yield from flush(held)
 
     return run
 

@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import llm_cases
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +56,24 @@ def test_dedup_substrings_on_a_table(spark, small):
     assert any(r.n_removed for r in got)
 
 
+def test_windows_are_settled_in_little_memory():
+    """A batch of windows takes no more than a few times its own 24 MB."""
+    rng = np.random.default_rng(5)
+    words = rng.integers(0, 50_000, 1_600_000)
+    texts = [" ".join(map(str, words[i : i + 4000].tolist())) for i in range(0, len(words), 4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    spread = substrings._spread_windows(50, 101)
+    list(spread(iter([batch.slice(0, 20)])))
+    tracemalloc.start()
+    try:
+        sizes = [sum(len(h.as_py()) // 8 for h in b.column("hashes")) for b in spread(iter([batch]))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(sizes) == sum(len(t.split()) - 49 for t in texts)
+    assert peak < 120 << 20
+
+
 def test_without_substrings_keeps_columns_and_clean_texts(spark):
     docs = llm_cases.awkward(spark)
     got = substrings.without_substrings(docs, 13)
