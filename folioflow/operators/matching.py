@@ -29,19 +29,19 @@ def _power(base: U64, n: int) -> np.ndarray:
     return held[:n]
 
 
-def _sums(data: np.ndarray) -> np.ndarray:
+def byte_sums(data: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, U64), np.cumsum(_BYTE[data] * _power(_UP, len(data)))])
 
 
-def _spread(h: np.ndarray) -> np.ndarray:
+def spread_bits(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> U64(31))) * U64(0xBF58476D1CE4E5B9)
     return h ^ (h >> U64(29))
 
 
-def _hashes(sums: np.ndarray, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+def range_hashes(sums: np.ndarray, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
     """Hash of each range of bytes; ranges of different sizes differ."""
     raw = (sums[start + size] - sums[start]) * _power(_DOWN, len(sums))[start]
-    return _spread(raw + np.asarray(size).astype(U64) * U64(0xD6E8FEB86659FD93))
+    return spread_bits(raw + np.asarray(size).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
 class Patterns:
@@ -52,8 +52,8 @@ class Patterns:
         data = np.frombuffer(b"".join(patterns), np.uint8)
         size = np.array([len(p) for p in patterns], np.int64)
         start = np.cumsum(size) - size
-        sums = _sums(data)
-        whole = _hashes(sums, start, size)
+        sums = byte_sums(data)
+        whole = range_hashes(sums, start, size)
         self.order = np.argsort(whole)
         self.whole = whole[self.order]
         # For each power of two: hashes of first bytes, and the lengths of patterns behind each.
@@ -61,7 +61,7 @@ class Patterns:
         level = np.int64(1) << np.int64(np.floor(np.log2(np.maximum(size, 1))))
         for first in np.unique(level):
             of = np.flatnonzero(level == first)
-            head = _hashes(sums, start[of], int(first))
+            head = range_hashes(sums, start[of], int(first))
             known = np.unique(np.stack([head, size[of].astype(U64)]), axis=1)
             heads, begins = np.unique(known[0], return_index=True)
             self.levels.append((int(first), heads, np.append(begins, known.shape[1]), known[1].astype(np.int64)))
@@ -69,13 +69,13 @@ class Patterns:
     def found(self, data: bytes) -> np.ndarray:
         """Numbers of the patterns that stand somewhere in ``data``."""
         raw = np.frombuffer(data, np.uint8)
-        sums = _sums(raw)
+        sums = byte_sums(raw)
         hits = []
         for first, heads, begins, lengths in self.levels:
             n = len(raw) - first + 1
             if n <= 0:
                 continue
-            here = _hashes(sums, np.arange(n), first)
+            here = range_hashes(sums, np.arange(n), first)
             at = np.minimum(np.searchsorted(heads, here), len(heads) - 1)
             place = np.flatnonzero(heads[at] == here)
             fan = begins[at[place] + 1] - begins[at[place]]
@@ -84,7 +84,7 @@ class Patterns:
             place = np.repeat(place, fan)
             fits = place + size <= len(raw)
             place, size = place[fits], size[fits]
-            h = _hashes(sums, place, size)
+            h = range_hashes(sums, place, size)
             which = np.minimum(np.searchsorted(self.whole, h), len(self.whole) - 1)
             same = self.whole[which] == h
             number, one = np.unique(self.order[which[same]], return_index=True)

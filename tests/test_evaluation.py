@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 import tracemalloc
 from collections import Counter
@@ -183,3 +184,34 @@ def test_grams_are_counted_without_a_shuffle_of_grams(spark):
     got = {tuple(r) for r in counts.collect()}
     assert got == {(1, 1, 3, 5, 4), (1, 2, 2, 4, 3), (2, 1, 0, 0, 2), (2, 2, 0, 0, 1), (3, 1, 0, 1, 0)}
     assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("k", [1.0, 0.25])
+def test_perplexity_by_hand(spark, k):
+    """Unknown words, final words, odd spaces, nulls, repeated ids; and no row of a bigram meets a join."""
+    taught = ["a b a b c", "C  d\u2003a\tb", None, "", "e", "\u00e9t\u00e9 b a"]
+    asked = [("x", "a b c d"), ("y", "b e a"), ("x", "q a b"), ("z", "a"), ("n", None), (None, "A z"), ("long", "a b " * 9000)]
+    train = spark.createDataFrame(list(enumerate(taught)), "doc_id long, text string")
+    df = spark.createDataFrame(asked, "doc_id string, text string")
+    out = ev.ngram_perplexity(train, df, k=k)
+    assert "Join" not in out._jdf.queryExecution().toString()
+    pairs, firsts, vocabulary = Counter(), Counter(), set()
+    for t in taught:
+        w = (t or "").lower().split()
+        vocabulary.update(w)
+        pairs.update(zip(w, w[1:], strict=False))
+        firsts.update(w[:-1])
+    want = {}
+    for key, t in asked:
+        w = (t or "").lower().split()
+        logs = [
+            math.log((pairs[g] + k) / (firsts[g[0]] + k * len(vocabulary))) for g in zip(w, w[1:], strict=False)
+        ]
+        if logs:
+            want[key] = want.get(key, []) + logs
+    got = {r.doc_id: (r.bigrams, r.perplexity) for r in out.collect()}
+    assert got.keys() == want.keys()
+    for key, logs in want.items():
+        assert got[key] == (len(logs), pytest.approx(math.exp(-sum(logs) / len(logs))))
+    nothing = ev.ngram_perplexity(train.filter("false"), df).collect()
+    assert {r.doc_id for r in nothing} == want.keys() and all(r.perplexity is None for r in nothing)
