@@ -17,6 +17,8 @@ from folioflow.session import stored
 
 SECTIONS_HELD = 65_536
 SEARCH_BYTES = 1 << 20
+# Sections times bytes up to which a plain search of each section is quicker than hashes.
+PLAIN_SEARCH = 1 << 22
 HELD_CHARS = 1 << 22
 
 # Separators of the recursive split, tried in this order.
@@ -230,61 +232,78 @@ def line_sections(df: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     return each(df, [key], full, "section")
 
 
-def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sections of a document that stand in its chunks, which stream past behind them."""
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sections of a document, and whether they stand in its chunks, which stream past behind them."""
     of: tuple | None = None
-    sections: list[bytes] = []
+    kind: pa.DataType | None = None
+    sections: dict[bytes, int] = {}
     patterns: Patterns | None = None
-    left: set[int] = set()
+    left: set[bytes] = set()
+    held: list[bytes] = []
+    size = 0
+    out: tuple[list, ...] = ([], [], [], [])
+
+    def search() -> None:
+        nonlocal patterns, held, size
+        data = BETWEEN.join(held)
+        if len(left) * len(data) <= PLAIN_SEARCH:
+            left.difference_update([s for s in left if s in data])
+        else:
+            if patterns is None:
+                patterns = Patterns(list(sections))
+            left.difference_update([patterns.patterns[p] for p in patterns.found(data).tolist()])
+        held, size = [], 0
 
-    def searched(texts: list[bytes]) -> list[str]:
-        nonlocal patterns
-        if patterns is None:
-            patterns = Patterns(sections)
-        new = left.intersection(patterns.found(BETWEEN.join(texts)).tolist())
-        left.difference_update(new)
-        return [sections[p].decode("utf-8") for p in new]
+    def close() -> None:
+        if held:
+            search()
+        out[0].extend([of[0]] * len(sections))
+        out[1].extend(s.decode("utf-8") for s in sections)
+        out[2].extend(sections.values())
+        out[3].extend(s not in left for s in sections)
+
+    def judged() -> pa.RecordBatch:
+        kinds = (kind, pa.string(), pa.int64(), pa.bool_())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["key", "section", "copies", "found"]
+        )
 
     for batch in batches:
         kind = batch.schema.field("key").type
-        keys, hits = [], []
-        held: list[bytes] = []
-        size = 0
         for key, slot, chunk, body in zip(
             *(batch.column(c).to_pylist() for c in ("key", "slot", "chunk", "body")), strict=True
         ):
             if of != (key, slot):
-                if held:
-                    found = searched(held)
-                    keys += [of[0]] * len(found)
-                    hits += found
-                of, sections, patterns, left, held, size = (key, slot), [], None, set(), [], 0
+                if sections:
+                    close()
+                of, sections, patterns, left, held, size = (key, slot), {}, None, set(), [], 0
             if not chunk:
-                left.add(len(sections))
-                sections.append(body)
+                sections[body] = sections.get(body, 0) + 1
+                left.add(body)
             elif left:
                 held.append(body)
                 size += len(body)
                 if size >= SEARCH_BYTES:
-                    found = searched(held)
-                    keys += [key] * len(found)
-                    hits += found
-                    held, size = [], 0
-        if held:
-            found = searched(held)
-            keys += [of[0]] * len(found)
-            hits += found
-        yield pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(hits, pa.string())], ["key", "section"])
+                    search()
+        yield judged()
+        out = ([], [], [], [])
+    if sections:
+        close()
+        yield judged()
 
 
-def found_sections(chunks: DataFrame, sections: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Sections that occur whole in some chunk of their document, one row each.
+def judged_sections(chunks: DataFrame, sections: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Distinct sections of each document, the number of their rows (``copies``) and whether they
+    occur whole in some chunk of it (``found``).
 
     A task holds the sections of a document, at most ``SECTIONS_HELD``, and searches its chunks
     for all of them at once. Where a key has more, they are dealt into slots, and its chunks go
-    to each. Rows without a key, empty sections and null texts find nothing.
+    to each. Rows without a key, empty sections and null sections find nothing; they are not made
+    distinct. ``sections`` is read several times.
     """
-    wanted = sections.select(F.col(key).alias("key"), "section").filter("key IS NOT NULL AND section <> ''").distinct()
+    named = sections.select(F.col(key).alias("key"), "section")
+    sought = F.coalesce(F.expr("key IS NOT NULL AND section <> ''"), F.lit(False))
+    wanted, rest = named.filter(sought), named.filter(~sought)
     counts = wanted.groupBy("key").agg(F.ceil(F.count("*") / SECTIONS_HELD).cast("int").alias("slots"))
     many = broadcast_if_small(counts.filter("slots > 1"))
     slots = F.coalesce("slots", F.lit(1))
@@ -296,35 +315,40 @@ def found_sections(chunks: DataFrame, sections: DataFrame, key: str = "doc_id")
     right = texts.filter("key IS NOT NULL AND body IS NOT NULL").join(many, "key", "left").select(
         "key", F.explode(F.sequence(F.lit(0), slots - 1)).alias("slot"), F.lit(True).alias("chunk"), "body"
     )
-    shape = T.StructType([T.StructField("key", wanted.schema["key"].dataType)]).add("section", "string")
-    return (
+    shape = T.StructType([T.StructField("key", named.schema["key"].dataType)])
+    shape.add("section", "string").add("copies", "long").add("found", "boolean")
+    judged = (
         left.unionByName(right)
         .repartition("key", "slot")
         .sortWithinPartitions("key", "slot", "chunk")
-        .mapInArrow(_matches, shape)
-        .distinct()
-        .withColumnRenamed("key", key)
+        .mapInArrow(_judged, shape)
     )
+    unsought = rest.select("key", "section", F.lit(1).cast("long").alias("copies"), F.lit(False).alias("found"))
+    return judged.unionByName(unsought).withColumnRenamed("key", key)
+
+
+def found_sections(chunks: DataFrame, sections: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Sections that occur whole in some chunk of their document, one row each."""
+    return judged_sections(chunks, sections, key).filter("found").select(key, "section")
 
 
 def section_preservation(chunks: DataFrame, sections: DataFrame, key: str = "doc_id") -> DataFrame:
     """Percentage of sections kept, per document."""
-    sections = stored(sections, "sections")
-    found = found_sections(chunks, sections, key).withColumn("_found", F.lit(1))
-    return (
-        sections.join(found, [key, "section"], "left")
-        .groupBy(key)
-        .agg(
-            F.count("*").alias("sections"),
-            F.count("_found").alias("preserved"),
-            (F.count("_found") / F.count("*") * 100).alias("preservation_rate"),
-        )
+    judged = judged_sections(chunks, stored(sections.select(key, "section"), "sections"), key)
+    kept, every = F.sum(F.when(F.col("found"), F.col("copies")).otherwise(0)), F.sum("copies")
+    return judged.groupBy(key).agg(
+        every.alias("sections"), kept.alias("preserved"), (kept / every * 100).alias("preservation_rate")
     )
 
 
 def missing_sections(chunks: DataFrame, sections: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of sections that no chunk of their document holds."""
     sections = stored(sections, "sections")
-    return sections.join(found_sections(chunks, sections, key), [key, "section"], "left_anti")
+    if set(sections.columns) != {key, "section"}:
+        return sections.join(found_sections(chunks, sections, key), [key, "section"], "left_anti")
+    missing = judged_sections(chunks, sections, key).filter("NOT found")
+    every = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
+    return missing.select(key, "section", every.alias("_")).drop("_")
 
 
 def chunk_overlap(chunks: DataFrame, key: str = "doc_id") -> DataFrame:

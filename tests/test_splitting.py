@@ -2,6 +2,7 @@ import pytest
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from folioflow.operators import splitting
 from folioflow.operators.splitting import recursive_chunks
@@ -116,3 +117,24 @@ def test_recursive_chunks_leave_a_task_in_bounded_batches(spark, monkeypatch):
     assert len(parts) > 5 and max(sum(map(len, found)) for _, _, found in parts) < 50 + 40
     want = [(i, n, c) for i, t in enumerate(texts) for n, c in enumerate(splitting.recursive_chunks(t or "", 40, 10))]
     assert [row for part in parts for row in zip(*part)] == want
+
+
+@pytest.mark.parametrize("plain", [0, 1 << 22])
+def test_sections_are_judged_where_they_are_searched(spark, monkeypatch, plain):
+    """Copies, nulls and empty sections keep their rows; sections meet no second join."""
+    monkeypatch.setattr(splitting, "PLAIN_SEARCH", plain)
+    chunks = [(1, "a b c"), (1, "c d"), (2, "x é y"), (None, "a"), (3, None)]
+    sections = [
+        (1, "a b"), (1, "a b"), (1, "b c d"), (1, "b c d"), (1, ""), (1, None), (2, "é"), (3, "q"), (None, "a"), (4, "z"),
+    ]
+    chunks = spark.createDataFrame(chunks, "doc_id long, chunk_text string")
+    frame = spark.createDataFrame(sections, "doc_id long, section string")
+    found = {(1, "a b"), (2, "é")}
+    missing = splitting.missing_sections(chunks, frame)
+    assert "LeftAnti" not in missing._jdf.queryExecution().toString()
+    lost = sorted((s for s in sections if s not in found), key=repr)
+    assert sorted(map(tuple, missing.collect()), key=repr) == lost
+    wide = splitting.missing_sections(chunks, frame.withColumn("place", F.lit(7)))
+    assert sorted(((r.doc_id, r.section) for r in wide.collect()), key=repr) == lost and "place" in wide.columns
+    rates = {r.doc_id: (r.sections, r.preserved) for r in splitting.section_preservation(chunks, frame).collect()}
+    assert rates == {1: (6, 2), 2: (1, 1), 3: (1, 0), None: (1, 0), 4: (1, 0)}
