@@ -23,6 +23,7 @@ from folioflow.functions.text import (
 from folioflow.operators.filters import validate_conversation
 from folioflow.operators.scale import broadcast_if_small, each
 from folioflow.operators.windows import pair_turns
+from folioflow.session import stored
 
 # Expansions per question word, in this order.
 QUESTION_WORDS = {
@@ -87,6 +88,8 @@ LEXICON = {
     "worst": -1.0, "poor": -0.4, "unfair": -0.5, "wrong": -0.5, "difficult": -0.5,
     "denied": -0.4, "expensive": -0.5, "unhappy": -0.6,
 }
+# Words of a lexicon that are written into an expression.
+LEXICON_HELD = 1_000
 
 
 # --- entities and sentiment ----------------------------------------------------------
@@ -187,14 +190,45 @@ def sentiment(
         F.avg("polarity").alias("_mean")
     )
     polarity = F.coalesce("_mean", F.lit(0.0))
-    label = F.when(polarity > bound, "positive").when(polarity < -bound, "negative").otherwise("neutral")
     return (
         df.select(key)
         .join(mean, key, "left")
-        .select(key, polarity.alias("polarity"), label.alias("sentiment"))
+        .select(key, polarity.alias("polarity"), _mood(polarity, bound).alias("sentiment"))
     )
 
 
+def _mood(polarity: Column, bound: float = 0.6) -> Column:
+    return F.when(polarity > bound, "positive").when(polarity < -bound, "negative").otherwise("neutral")
+
+
+def _moods(df: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``df`` with polarity and sentiment of its text.
+
+    A lexicon of at most ``LEXICON_HELD`` words is part of the expression, so that no text is
+    shuffled or made twice. A larger one meets the words in a join, and the texts are written first.
+    """
+    known = lexicon.filter("word IS NOT NULL").select("word", F.col("polarity").cast("double").alias("p"))
+    held = known.limit(LEXICON_HELD + 1).collect()
+    if len(held) > LEXICON_HELD:
+        # Rows get a number of their own, so that those without a key or with equal keys stay apart.
+        df = stored(df.withColumn("_row", F.monotonically_increasing_id()), "moods")
+        return df.join(sentiment(df, lexicon, "_row"), "_row").drop("_row")
+    scores: dict[str, list[float]] = {}
+    for word, p in held:
+        # As in a mean, a word without a polarity is left out.
+        if p is not None:
+            scores.setdefault(word, []).append(p)
+    polarity = F.lit(0.0)
+    if scores:
+        table = F.create_map(*(F.lit(x) for w, ps in scores.items() for x in (w, ps)))
+        hits = F.filter(words(F.lower("text")), lambda w: w.isin(list(scores)))
+        found = F.flatten(F.transform(hits, lambda w: F.element_at(table, w)))
+        df = df.withColumn("_found", found)
+        total = F.aggregate("_found", F.lit(0.0), lambda a, x: a + x)
+        polarity = F.when(F.size("_found") > 0, total / F.size("_found")).otherwise(0.0)
+    return df.withColumn("polarity", polarity).withColumn("sentiment", _mood(F.col("polarity"))).drop("_found")
+
+
 # --- questions -----------------------------------------------------------------------
 
 
@@ -300,8 +334,7 @@ def payload_to_conversation(
     def turn(who: str, value: Column) -> Column:
         return F.struct(F.lit(who).alias("from"), value.alias("value"))
 
-    moods = sentiment(cleaned, lexicon, key)
-    rows = cleaned.join(moods, key).select(
+    rows = _moods(cleaned, lexicon).select(
         key, "source", "timestamp",
         F.struct("polarity", "sentiment", entity_texts("text").alias("entities")).alias("metadata"),
         F.array(

@@ -107,3 +107,18 @@ def test_length_accounting(spark):
     df = spark.createDataFrame([("a b c ", "d e"), ("a " * 12, "x")], "prompt string, completion string")
     got = [tuple(r)[2:] for r in tr.length_accounting(df, 10).collect()]
     assert got == [(3, 5, 0, 3, 2), (12, 13, 3, 10, 0)]
+
+
+@pytest.mark.parametrize("held", [0, 1000])
+def test_a_conversation_for_every_post(spark, monkeypatch, held):
+    """Posts without an id or with the same one stay apart; no text is shuffled for a small lexicon."""
+    monkeypatch.setattr(tr, "LEXICON_HELD", held)
+    texts = ["good bad  great trip", "terrible", "plain words", None, "great"]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[2]), (None, texts[3]), (None, texts[4])]
+    posts = spark.createDataFrame(rows, "doc_id long, text string").withColumn("title", F.col("text"))
+    lexicon = spark.createDataFrame([("good", 0.5), ("great", 1.0), ("bad", -0.5), ("good", 0.7), ("trip", None)], "word string, polarity double")
+    out = tr.payload_to_conversation(posts, lexicon, "doc_id", "title", "text", F.lit("s"), F.lit("t"))
+    assert held == 0 or "Join" not in out._jdf.queryExecution().toString()
+    want = [(1, (0.5 + 0.7 - 0.5 + 1.0) / 4, "neutral"), (1, 0.0, "neutral"), (2, 0.0, "neutral"), (None, 0.0, "neutral"), (None, 1.0, "positive")]
+    got = [(r.doc_id, round(r.metadata.polarity, 9), r.metadata.sentiment) for r in out.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
