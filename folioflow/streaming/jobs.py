@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from folioflow.functions.text import content_hash
 from folioflow.operators.splitting import split_tokens
-from folioflow.operators.windows import HOUR_LIMIT, MINUTE_LIMIT, LimiterState, last_n
+from folioflow.operators.windows import HOUR_DENIED, HOUR_LIMIT, MINUTE_DENIED, MINUTE_LIMIT, LimiterState, last_n
 from folioflow.session import scratch_path
 
 
@@ -192,6 +193,12 @@ def lockout(
 
 
 LATE_REQUEST = "Request came too late"
+REASONS = (None, LATE_REQUEST, MINUTE_DENIED, HOUR_DENIED)
+ROWS_HELD = 10_000
+
+
+def _numbers(ids: pd.Series) -> np.ndarray:
+    return ids.fillna("0").astype("int64").to_numpy()
 
 
 class _Limiter(StatefulProcessor):
@@ -210,27 +217,38 @@ class _Limiter(StatefulProcessor):
             minute_count, hour_count, minute_reset, hour_reset, newest = self.state.get()
             if minute_reset is not None:
                 now.counts, now.resets = [minute_count, hour_count], [minute_reset, hour_reset]
-        # Ids come as text, so that none passes through a float beside a missing one.
-        requests = [r for pdf in rows for r in zip(pdf["event_id"], pdf[self.key], pdf["at"], strict=True)]
-        requests.sort(key=lambda r: (r[2], r[0] is None, int(r[0] or 0)))
+        # Ids come as text, so that none passes through a float beside a missing one; they are held as numbers.
+        parts = [(_numbers(pdf["event_id"]), pdf["event_id"].isna().to_numpy(), pdf["at"].to_numpy(float)) for pdf in rows]
+        ids, lost, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        order = np.lexsort((ids, lost, at))  # requests without a time come last
         cut_off = None if newest is None else newest - self.delay
-        why: list[str | None] = []
-        for _, _, at in requests:
-            if at != at:
-                why.append(None)  # a request without a time is not limited
-                continue
-            if cut_off is not None and at < cut_off:
-                why.append(LATE_REQUEST)
-                continue
-            allowed, reason = now.admit(at)
-            why.append(None if allowed else reason)
-            newest = at if newest is None else max(newest, at)
+        why = np.zeros(len(ids), np.int8)
+        for low in range(0, len(ids), ROWS_HELD):
+            some = order[low : low + ROWS_HELD]
+            for i, moment in zip(some.tolist(), at[some].tolist(), strict=True):
+                if moment != moment:
+                    continue  # a request without a time is not limited
+                if cut_off is not None and moment < cut_off:
+                    why[i] = REASONS.index(LATE_REQUEST)
+                    continue
+                allowed, reason = now.admit(moment)
+                if not allowed:
+                    why[i] = REASONS.index(reason)
+                newest = moment if newest is None else max(newest, moment)
+        del at
         resets = now.resets or (None, None)
         self.state.update((*map(int, now.counts), *(None if r is None else float(r) for r in resets), newest))
-        ids, keys, _ = zip(*requests, strict=True)
-        yield pd.DataFrame(
-            {"event_id": ids, self.key: keys, "is_allowed": [w is None for w in why], "reason": why}
-        )
+        for low in range(0, len(ids), ROWS_HELD):
+            some = order[low : low + ROWS_HELD]
+            yield pd.DataFrame(
+                {
+                    "event_id": [None if n else str(i) for i, n in zip(ids[some].tolist(), lost[some].tolist(), strict=True)],
+                    self.key: [key[0]] * len(some),
+                    "is_allowed": why[some] == 0,
+                    "reason": [REASONS[w] for w in why[some].tolist()],
+                }
+            )
 
     def close(self) -> None:
         pass
@@ -249,8 +267,8 @@ def stream_rate_limit(
 
     Needs the RocksDB state store, which keeps five numbers for every key it has seen: without
     a watermark there is no time to let them go. The clock ticks like that of the batch form.
-    A task orders the requests of one key and one micro-batch, so ``maxFilesPerTrigger``
-    bounds what it holds.
+    A task orders the requests of one key and one micro-batch, as some 30 bytes each, so
+    ``maxFilesPerTrigger`` bounds what it holds.
     """
     at = F.floor(F.unix_micros("ts") / F.lit(max(1, round(tick_seconds * 1e6)))) * tick_seconds
     rows = log.select(F.col("event_id").cast("string").alias("event_id"), key, at.cast("double").alias("at"))

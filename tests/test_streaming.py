@@ -1,6 +1,10 @@
 import datetime as dt
 import os
+import tracemalloc
+from collections import Counter
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from folioflow.operators import windows
@@ -129,3 +133,43 @@ def test_a_table_stream_reads_a_file_and_a_folder_of_files(spark, small, tmp_pat
     for name in ("stream_chunks", "stream_upsert", "stream_progress"):
         got = sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()))
         assert got and got == sorted(map(tuple, QUERIES[name](spark, small).collect()))
+
+
+class _Kept:
+    def exists(self):
+        return False
+
+    def update(self, value):
+        self.value = value
+
+
+def test_limiter_holds_a_key_in_few_bytes():
+    """300,000 requests of one key, some without a time or an id, in bounded batches."""
+    n = 300_000
+    rng = np.random.default_rng(3)
+    at = rng.integers(0, 10**6, n).astype(float)
+    at[::7] = np.nan
+    ids = [None if i % 11 == 0 else str((1 << 53) + i) for i in range(n)]
+    limiter = jobs._Limiter("user", 1, 3, 600)
+    limiter.state = _Kept()
+    batches = (pd.DataFrame({"event_id": ids[a : a + 10_000], "user": "u", "at": at[a : a + 10_000]}) for a in range(0, n, 10_000))
+    tracemalloc.start()
+    try:
+        counts, passed, most = Counter(), set(), 0
+        for out in limiter.handleInputRows(("u",), batches, None):
+            counts.update(zip(out["is_allowed"], out["reason"]))
+            passed.update(i for i in out["event_id"][out["is_allowed"]] if i is not None)
+            most = max(most, len(out))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    state = windows.LimiterState(1, 3)
+    want, verdicts = set(), []
+    for i in sorted((i for i in range(n) if i % 7), key=lambda i: (at[i], ids[i] is None, int(ids[i] or 0))):
+        ok, why = state.admit(at[i])
+        verdicts.append((bool(ok), None if ok else why))
+        want |= {ids[i]} if ok else set()
+    want |= {ids[i] for i in range(0, n, 7)}
+    assert counts == Counter([*verdicts, *[(True, None)] * len(range(0, n, 7))])
+    assert passed == want - {None} and limiter.state.value[4] == np.nanmax(at)
+    assert most <= 10_000 and peak < 45 << 20
