@@ -11,7 +11,7 @@ are then as many bins as the partitions of a group had together.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,8 +80,8 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(s, (first if s == 0 and first else capacity)) for s in starts]
 
 
-def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFrame:
-    """Pieces of every document: doc_id, piece, start, length, ids_crc32."""
+def _pieces(vocabulary: str, end_id: int, capacity: int) -> Callable[[Iterator], Iterator[pa.RecordBatch]]:
+    """Pieces of every document of a task: doc_id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(vocabulary).encode, np.array([end_id], "<u4").tobytes()
@@ -101,8 +101,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> Data
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    rows = own_columns(docs, "doc_id", "text")
-    return rows.mapInArrow(releasing(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {PIECE}")
+    return run
 
 
 def pack(
@@ -117,8 +116,9 @@ def pack(
     The first pass is written to the shared folder, so that a lost executor can't deal a
     piece to two sequences.
     """
-    cells = pieces(docs, vocabulary, end_id, capacity)
-    id_type = cells.schema["doc_id"].dataType.simpleString()
+    rows = own_columns(docs, "doc_id", "text")
+    cut_up = _pieces(vocabulary, end_id, capacity)
+    id_type = rows.schema["doc_id"].dataType.simpleString()
     shape = f"doc_id {id_type}, {PIECE}, sequence_id long, offset long, source int"
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +126,7 @@ def pack(
         bins, made = OpenBins(capacity, open_bins), 0
         held: dict[int, pa.RecordBatch] = {}  # batches with pieces in open bins
         waiting: dict[int, int] = {}
-        for number, batch in enumerate(batches):
+        for number, batch in enumerate(cut_up(batches)):
             held[number], waiting[number] = batch, batch.num_rows
             lengths = batch.column("length").to_numpy()
             out: list[tuple[int, int, int, int]] = []
@@ -139,7 +139,8 @@ def pack(
         left = [(b, i, None, None) for one in bins.rest() for (b, i), _ in one]
         yield from _placed(left, held, waiting, here)
 
-    done = written(cells.mapInArrow(releasing(first_pass), shape), "packed")
+    # Texts are cut and placed by one worker: a second mapInArrow would keep two workers for every task.
+    done = written(rows.mapInArrow(releasing(first_pass), shape), "packed")
 
     names = done.columns
 

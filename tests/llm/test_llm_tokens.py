@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from folioflow.llm import packing, token_counts, token_files, token_ids
+from folioflow.llm import packing, tables, token_counts, token_files, token_ids
 from folioflow.session import scratch_path, table
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
@@ -114,6 +114,18 @@ def test_packing_is_tight(spark, small):
     assert sequences <= 1.01 * -(-sum(len(e) for _, e in encoded) // 1024) + 1
 
 
+def test_one_python_worker_cuts_and_places_the_texts_of_a_task(spark, monkeypatch):
+    plans = []
+
+    def written(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return tables.written(df, label)
+
+    monkeypatch.setattr(packing, "written", written)
+    assert packing.pack(llm_cases.awkward(spark), BYTE).count() >= len(llm_cases.rows())
+    assert [p.count("MapInArrow") for p in plans] == [1]
+
+
 @pytest.mark.parametrize("bits", [1, 3, 7, 8, 16, 17, 31, 32])
 def test_bit_packing_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 200_003).astype("<u4")
