@@ -84,22 +84,25 @@ def _pieces(vocabulary: str, end_id: int, capacity: int) -> Callable[[Iterator],
     """Pieces of every document of a task: doc_id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(vocabulary).encode, np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            row, number, start, length, crc = [], [], [], [], []
-            for r, text in enumerate(batch.column("text")):
-                ids = encode(text.as_py() or "") + end
-                for k, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
-                    row.append(r)
-                    number.append(k)
-                    start.append(s)
-                    length.append(n)
-                    crc.append(zlib.crc32(ids[4 * s : 4 * (s + n)]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(number, pa.int32())]
-                + [pa.array(v, pa.int64()) for v in (start, length, crc)],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+        coder, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        try:
+            for batch in batches:
+                row, number, start, length, crc = [], [], [], [], []
+                for r, text in enumerate(batch.column("text")):
+                    ids = coder.encode(text.as_py() or "") + end
+                    for k, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
+                        row.append(r)
+                        number.append(k)
+                        start.append(s)
+                        length.append(n)
+                        crc.append(zlib.crc32(ids[4 * s : 4 * (s + n)]))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(number, pa.int32())]
+                    + [pa.array(v, pa.int64()) for v in (start, length, crc)],
+                    ["doc_id", "piece", "start", "length", "ids_crc32"],
+                )
+        finally:
+            coder.forget()
 
     return run
 

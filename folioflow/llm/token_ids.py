@@ -71,6 +71,12 @@ class Encoder:
         self.chunk_ids.trim()
         return ids
 
+    def forget(self) -> None:
+        """Empties the caches, for workers that live on after a task."""
+        for cache in (self.word_ids, self.chunk_ids):
+            cache.clear()
+            cache.older.clear()
+
     def _joined(self, text: str) -> bytes:
         return b"".join(map(self.word_ids.__getitem__, self.words(text)))
 

@@ -7,6 +7,7 @@ from collections import defaultdict
 import llm_cases
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -126,6 +127,28 @@ def test_one_python_worker_cuts_and_places_the_texts_of_a_task(spark, monkeypatc
     assert [p.count("MapInArrow") for p in plans] == [1]
 
 
+def test_workers_hold_no_words_after_packing(spark, small):
+    packing.pack(table(spark, small, "documents"), BYTE).count()
+
+    def held(batches):
+        for batch in batches:
+            code = token_ids.encoder(BYTE)
+            n = sum(len(c) + len(c.older) for c in (code.word_ids, code.chunk_ids))
+            yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    # Workers that packed serve these tasks too.
+    rows = spark.range(64).repartition(16).mapInArrow(held, "n long").collect()
+    assert rows and {r.n for r in rows} == {0}
+
+
+def test_a_coder_that_forgot_gives_the_same_ids(texts):
+    code = token_ids.Encoder(BYTE)
+    before = [code.encode(t) for t in texts]
+    code.forget()
+    assert not any((code.word_ids, code.word_ids.older, code.chunk_ids, code.chunk_ids.older))
+    assert [code.encode(t) for t in texts] == before
+
+
 @pytest.mark.parametrize("bits", [1, 3, 7, 8, 16, 17, 31, 32])
 def test_bit_packing_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 200_003).astype("<u4")
