@@ -247,3 +247,55 @@ def test_block_counts_terms_as_rows_or_places(spark, monkeypatch, dense):
         want = sorted((-len(s & set(asked)), i) for i, s in enumerate(sets) if s & set(asked))[:7]
         got, shared = block.best(terms[terms >= 0], 7)
         assert list(zip([-n for n in shared], got)) == want
+
+
+def test_group_finds_every_chunk_that_reaches_a_level(monkeypatch):
+    """Rows of bits, rare places and both together, in blocks of a bad fit, against plain sets."""
+    rng = random.Random(11)
+    sets = [{f"t{t}" for t in range(120) if rng.random() < (0.6 if t < 20 else 0.15 if t < 60 else 0.01)} for _ in range(700)]
+    sets[650] |= {f"t{t}" for t in range(100, 120)}
+    names = [f"id{i:03d}" for i in range(700)]
+    for share, most in ((128, 4_096), (4, 4_096), (4, 7), (10**6, 4_096), (1, 0)):
+        monkeypatch.setattr(termindex, "BIT_SHARE", share)
+        monkeypatch.setattr(termindex, "BIT_TERMS", most)
+        ids, held = {}, []
+        for block, (low, high) in enumerate([(0, 130), (130, 131), (131, 520), (520, 700)]):
+            own = pa.array([sorted(s) for s in sets[low:high]], pa.list_(pa.string()))
+            rows = termindex._inverted(pa.array(names[low:high][::-1]), own.take(pa.array(range(high - low)[::-1])), block, 3, None)
+            ids[block] = rows.column("ids")[0].values
+            for i in range(1, rows.num_rows):
+                sizes = rows.column("sizes")[i].values.to_numpy()
+                held.append((block, rows.column("terms")[i].values, sizes, rows.column("places")[i].as_py()))
+        group = termindex._Group(ids, held)
+        questions = [rng.sample(range(125), rng.randint(1, 40)) for _ in range(60)] + [list(range(120)), list(range(100, 120)), [124]]
+        known = pa.array([f"t{t}" for t in range(125)])
+        asked = termindex._Asked(known, np.array([t for q in questions for t in q]), np.array([len(q) for q in questions]))
+        levels = np.array([rng.randint(1, 12) for _ in questions])
+        numbers, counts, found = group.hits(asked, levels, 6)
+        got, want = iter(zip(found.to_pylist(), counts.tolist(), strict=True)), []
+        for q, level, n in zip(questions, levels, numbers, strict=True):
+            shared = [(-len(s & {f"t{t}" for t in q}), i) for i, s in zip(names, sets, strict=True)]
+            want = [(i, -c) for c, i in sorted(shared)[:6] if -c >= level]
+            assert [next(got) for _ in range(n)] == want
+        assert next(got, None) is None
+
+
+def test_search_in_rounds_copies_no_question_for_each_block(spark, monkeypatch, tmp_path):
+    """Many blocks in few groups: the same hits, and packs are dealt by group."""
+    rows = chunk_rows(8, 400)
+    rng = random.Random(3)
+    questions = [(i, " ".join(rng.choices([f"w{j}" for j in range(70)], k=rng.randint(1, 12)))) for i in range(90)]
+    frame = spark.createDataFrame(questions, "query_id int, question string")
+    chunks = spark.createDataFrame(rows, "chunk_id string, chunk_text string").repartition(30)
+    dealt = []
+    inner = termindex.TermIndex._round
+    monkeypatch.setattr(termindex.TermIndex, "_round", lambda *a: dealt.append(a[3]) or inner(*a))
+    monkeypatch.setattr(termindex, "GROUP_CHUNKS", 60)
+    monkeypatch.setattr(termindex, "BLOCK_CHUNKS", 20)
+    monkeypatch.setattr(termindex, "MAX_BROADCAST_ROWS", 5)
+    index = termindex.build(chunks, str(tmp_path / "index"), buckets=3)
+    assert {(r.query_id, r.chunk_id, round(r.score, 9), r.rank) for r in index.search(frame, 4).collect()} == plain_hits(rows, questions, 4)
+    assert sum(len(of) for of in dealt[0]) == 1 and len(dealt) > 2
+    blocks = [b for groups in dealt[1:] for of in groups for b in of]
+    assert len(blocks) == len(set(blocks)) >= 20 and sum(map(len, dealt[1:])) < len(blocks)
+    assert {(r.query_id, r.chunk_id, round(r.score, 9), r.rank) for r in retrieval.nearest_by_terms(frame, chunks, 4).collect()} == plain_hits(rows, questions, 4)
