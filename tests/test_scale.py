@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioflow.operators import scale
+from folioflow.operators import retrieval, scale
 
 
 @pytest.fixture(scope="module")
@@ -92,3 +92,26 @@ def test_each_keeps_nulls_and_drops_empty(spark):
 def test_at_most(spark):
     assert scale.at_most(spark.range(10), 10)
     assert not scale.at_most(spark.range(11), 10)
+
+
+def test_maybe_among_keeps_every_partner_and_leaves_most_others(spark, monkeypatch):
+    """Rows of a key that others hold all stay, repeated and null ones too; few of the others do."""
+    rows = [(f"k{i % 5_000}", i) for i in range(6_000)] + [(None, -1)]
+    wanted = [(f"k{i}",) for i in range(0, 5_000, 100)] + [("absent",), (None,), ("k0",)]
+    df = spark.createDataFrame(rows, "id string, n int")
+    others = spark.createDataFrame(wanted, "id string")
+    named = {k for (k,) in wanted}
+    for bits in (1 << 25, 1 << 15):
+        monkeypatch.setattr(scale, "MARK_BITS", bits)
+        kept = scale.maybe_among(df, "id", others)
+        got = [tuple(r) for r in kept.collect()]
+        assert kept.columns == df.columns and len(got) == len(set(got))
+        assert {r for r in rows if r[0] in named} <= set(got) <= set(rows) and len(got) < 200
+    assert scale.maybe_among(df, "id", others.limit(0)).count() == 0
+
+
+def test_hits_keep_their_rows_when_chunks_are_left_out(spark):
+    chunks = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z"), (None, "w")], "chunk_id string, chunk_text string")
+    hits = spark.createDataFrame([(1, "a"), (2, "a"), (3, "gone"), (4, None)], "query_id int, chunk_id string")
+    got = {(r.query_id, r.chunk_id, r.chunk_text) for r in retrieval.hydrate_hits(hits, chunks).collect()}
+    assert got == {(1, "a", "x"), (1, "a", "y"), (2, "a", "x"), (2, "a", "y"), (3, "gone", None), (4, None, None)}
